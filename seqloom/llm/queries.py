@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, simhash, topk
+from . import bpe, mixing, quality, simhash, spotsigs, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_topk_search": topk.query,
         "op2_source_mix": mixing.query,
         "op3_simhash_neardup": simhash.query,
+        "op5_spotsigs": spotsigs.query,
         "op9_bpe": bpe.query,
         "op10_quality_gam": quality.query,
     }
