@@ -22,8 +22,8 @@ ANCHORS = (
 ).split()
 #: Content words in a chain.
 CHAIN = 3
-#: Where fewer than one content word in so many follows an anchor (tables, lists, one word again and again), every word is an anchor.
-SPARSE = 20
+#: Tables and lists hold no common words: one content word in so many, by its hash, is an anchor for the chain that it begins.
+RARER = 8
 _GLUE = "\x01"
 
 
@@ -31,8 +31,8 @@ def with_signatures(rows: DataFrame, text: str, out: str, chain: int = CHAIN) ->
     """rows plus `out`: the sorted distinct 32-bit spot signatures of the whole text.
 
     Words are runs of letters and digits, lower-cased. A run of anchor words and the `chain` content words after it
-    make a signature; in texts with hardly any anchors each chain of words does. A text without a whole chain (null and
-    empty ones too) has one signature, of all its words, so it equals only itself."""
+    make a signature; so does a chain whose first word counts as an anchor by its hash. A text without an anchored whole
+    chain (null and empty ones too) has one signature, of all its words, so it equals only itself."""
     keep = rows.columns
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     step = rows.select(*keep, words.alias("_words"))
@@ -43,14 +43,12 @@ def with_signatures(rows: DataFrame, text: str, out: str, chain: int = CHAIN) ->
     after = F.slice("_content", 2, F.size("_content"))
     for i in range(3, chain + 1):
         after = F.zip_with(after, F.slice("_content", i, F.size("_content")), lambda a, b: F.concat(a, F.lit(" "), b))
-    step = step.select(*keep, "_words", "_tokens", "_content", after.alias("_after"))
+    step = step.select(*keep, "_words", "_tokens", after.alias("_after"))
     full = lambda b: b.isNotNull() & ~b.endswith(" ") & (b != "")
     chosen = lambda xs: F.array_sort(F.array_distinct(F.filter(xs, lambda s: s.isNotNull())))
-    spots = F.zip_with("_tokens", "_after", lambda a, b: F.when(a.startswith(_GLUE) & full(b), F.hash(a, b)))
-    step = step.select(*keep, "_words", "_content", "_after", chosen(spots).alias(out))
-    chains = chosen(F.zip_with("_content", "_after", lambda a, b: F.when(full(b), F.hash(a, b, F.lit(chain)))))
-    sparse = F.size(out) * SPARSE < F.size("_content")
-    step = step.select(*keep, "_words", F.when(sparse, chains).otherwise(F.col(out)).alias(out))
+    own = lambda a: F.pmod(F.hash(F.substring_index(a, _GLUE, -1)), F.lit(RARER)) == 0
+    spots = F.zip_with("_tokens", "_after", lambda a, b: F.when(full(b) & (a.startswith(_GLUE) | own(a)), F.hash(a, b)))
+    step = step.select(*keep, "_words", chosen(spots).alias(out))
     return step.select(*keep, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(F.hash(F.array_join("_words", " "), F.lit("whole text")))).alias(out))
 
 
