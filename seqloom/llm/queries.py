@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, simhash, spotsigs, topk
+from . import bpe, mixing, quality, simhash, spotsigs, suffix, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_source_mix": mixing.query,
         "op3_simhash_neardup": simhash.query,
         "op5_spotsigs": spotsigs.query,
+        "op8_suffix_dedup": suffix.query,
         "op9_bpe": bpe.query,
         "op10_quality_gam": quality.query,
     }
