@@ -396,6 +396,20 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
     return rows.mapInArrow(_kept(length), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def deduplicated_documents(docs: DataFrame, length: int = 100) -> DataFrame:
+    """docs with what deduplicate() keeps of their texts (and n_chars, if there, to match). Where a cut falls inside a
+    character, its remaining bytes go; documents that lose all their bytes go, empty ones stay."""
+
+    @F.pandas_udf("string")
+    def whole_characters(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    out = deduplicate(docs, length).where("n_removed = 0 or n_removed < n_bytes").withColumn("text", whole_characters("kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def query(spark, sf_dir):
     from .common import read
 
