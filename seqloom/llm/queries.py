@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, simhash, spotsigs, suffix, topk
+from . import bpe, html, mixing, quality, simhash, spotsigs, suffix, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_topk_search": topk.query,
         "op2_source_mix": mixing.query,
         "op3_simhash_neardup": simhash.query,
+        "op4_html_extract": html.query,
         "op5_spotsigs": spotsigs.query,
         "op8_suffix_dedup": suffix.query,
         "op9_bpe": bpe.query,
