@@ -16,30 +16,47 @@ from .common import connected_components, cut, shuffle_partitions
 BYTES = 8
 
 
+#: Shingle hashes that are unpacked to bits at a time.
+AT_ONCE = 1 << 16
+
+
 def _fingerprints(shingle: int, seed: int):
+    digest = xxhash.xxh64_intdigest
+
+    def pieces(words: list[bytes]):
+        """The shingle hashes of one text, some thousands at a time."""
+        if len(words) <= shingle:
+            yield [digest(b" ".join(words), seed)] if words else []
+            return
+        for i in range(0, len(words) - shingle + 1, AT_ONCE):
+            part = words[i : i + AT_ONCE + shingle - 1]
+            at = [0, *np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1).tolist()]
+            line = b" ".join(part)
+            yield [digest(line[a : b - 1], seed) for a, b in zip(at, at[shingle:])]
+
     def run(batches):
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            hashes, starts, has = [], [0], []
-            for text in batch.column(1).to_pylist():
-                words = (text or b"").lower().split()
-                if len(words) <= shingle:
-                    if words:
-                        hashes.append(digest(b" ".join(words), seed))
-                else:
-                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                    line, at = b" ".join(words), [0, *ends.tolist()]
-                    hashes += [digest(line[a : b - 1], seed) for a, b in zip(at, at[shingle:])]
-                has.append(bool(words))
-                starts.append(len(hashes))
-            n, out = len(has), np.zeros(len(has), np.uint64)
-            if hashes:
+            counts, total = np.zeros((batch.num_rows, 64), np.int64), np.zeros(batch.num_rows, np.int64)
+            hashes, starts, rows = [], [], []
+
+            def flush():
                 bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, BYTES), axis=1)
-                there = np.array(has)
-                counts = np.add.reduceat(bits, np.array(starts[:-1])[there], axis=0, dtype=np.int32)
-                over = 2 * counts > np.diff(starts)[there][:, None]
-                out[there] = np.packbits(over, axis=1).view(">u8").ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), pa.array(np.diff(starts)[:n])], ["doc_id", "fp", "n_shingles"])
+                np.add.at(counts, rows, np.add.reduceat(bits, starts, axis=0, dtype=np.int32))
+                hashes.clear(), starts.clear(), rows.clear()
+
+            for i, text in enumerate(batch.column(1)):
+                for some in pieces((text.as_py() or b"").lower().split()):
+                    if some:
+                        starts.append(len(hashes))
+                        rows.append(i)
+                        hashes.extend(some)
+                        total[i] += len(some)
+                    if len(hashes) >= AT_ONCE:
+                        flush()
+            if hashes:
+                flush()
+            out = np.packbits(2 * counts > total[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), pa.array(total)], ["doc_id", "fp", "n_shingles"])
 
     return run
 
