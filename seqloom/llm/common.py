@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
+    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors. Shuffle files
+    that only served to compute df go with the collection of garbage that follows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +78,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         changed = new.where("component <> was").limit(1).count()
         drop_cut(labels)
-        labels = new
+        labels = new.select("node", "component")
         if not changed:
             drop_cut(both)
-            return labels.select("node", "component")
+            return labels

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections import defaultdict
@@ -369,8 +368,6 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     places = shared.groupBy("doc_key").agg(F.collect_list("pos").alias("places"))
     contexts = docs.join(places, "doc_key").select("doc_key", "code", "text", "places")
     contexts = cut(contexts.mapInArrow(_contexts(length, groups), "shard int, context array<binary>, left binary, count binary, at binary"))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing needs any more go
     found = contexts.groupBy("shard").applyInPandas(_repeats(length), "doc_key long, code long, start long, stop long")
     return found.union(copies).groupBy("doc_key", "code").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
