@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, mixing, quality, simhash, spotsigs, suffix, topk
+from . import bpe, html, langid, lm, mixing, quality, simhash, spotsigs, suffix, topk
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_html_extract": html.query,
         "op5_spotsigs": spotsigs.query,
         "op6_langid_bigru": langid.query,
+        "op7_ctw_lm": lm.query,
         "op8_suffix_dedup": suffix.query,
         "op9_bpe": bpe.query,
         "op10_quality_gam": quality.query,
