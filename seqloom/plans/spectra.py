@@ -1 +1,76 @@
+"""Queries of the time-frequency operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seqloom.operators import spectral as sp
+from seqloom.sources import adapters as src
+
+from .ordered import units
+from .registry import query
+
+DFT = """i AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY sequence_counter) - 1 AS i, count(*) OVER (PARTITION BY sequence_id) AS n FROM samples),
+f AS (SELECT sequence_id, acc_x, i, n, unnest(range(0, greatest(n - 16, 0) // 8 + 1)) AS frame FROM i), g AS (SELECT sequence_id, frame, acc_x, i - frame * 8 AS k, unnest([1, 2, 3, 4]) AS bin FROM f WHERE frame * 8 <= i AND i < frame * 8 + 16 AND frame * 8 + 16 <= n),
+p AS (SELECT sequence_id, frame, bin, pow(sum(acc_x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 16)) * cos(2 * pi() * k * bin / 16)), 2) + pow(sum(acc_x * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / 16)) * sin(2 * pi() * k * bin / 16)), 2) AS power FROM g GROUP BY 1, 2, 3)"""
+
+
+@query("z01_frame_spectrum", f"WITH {DFT} SELECT sequence_id, CAST(frame AS BIGINT) AS frame, bin, round(power, 4) AS power FROM p", "samples")
+def z01(spark, d):
+    return sp.frame_spectrum(src.samples(spark, d), "acc_x").withColumn("power", F.round("power", 4))
+
+
+@query("z03_band_powers", f"WITH {DFT} SELECT sequence_id, round(sum(CASE WHEN bin * 1.25::DOUBLE < 1 THEN power ELSE 0 END), 3) AS band0, round(sum(CASE WHEN bin * 1.25::DOUBLE >= 1 AND bin * 1.25::DOUBLE < 3 THEN power ELSE 0 END), 3) AS band1, round(sum(CASE WHEN bin * 1.25::DOUBLE >= 3 AND bin * 1.25::DOUBLE < 6 THEN power ELSE 0 END), 3) AS band2, round(sum(CASE WHEN bin * 1.25::DOUBLE >= 6 THEN power ELSE 0 END), 3) AS band3 FROM p GROUP BY 1", "samples")
+def z03(spark, d):
+    b = sp.band_powers(sp.frame_spectrum(src.samples(spark, d), "acc_x"), 20.0, 16)
+    return b.select("sequence_id", *(F.round(f"band{i}", 3).alias(f"band{i}") for i in range(4)))
+
+
+@query("z04_spectral_entropy", f"WITH {DFT}, m AS (SELECT sequence_id, bin, avg(power) AS p FROM p GROUP BY 1, 2), t AS (SELECT sequence_id, p / sum(p) OVER (PARTITION BY sequence_id) AS p FROM m) SELECT sequence_id, round(-sum(p * log2(p)), 6) AS entropy_bits FROM t GROUP BY 1", "samples")
+def z04(spark, d):
+    return sp.spectral_entropy(sp.frame_spectrum(src.samples(spark, d), "acc_x")).withColumn("entropy_bits", F.round("entropy_bits", 6))
+
+
+@query("z02_stft_summary")
+def z02(spark, d):
+    return sp.stft_features(src.samples(spark, d), ["acc_x"])
+
+
+@query("z05_cwt_summary")
+def z05(spark, d):
+    return sp.cwt_features(src.samples(spark, d), ["acc_x"], n_scales=16, max_scale=16.0)
+
+
+@query("z07_fft_features")
+def z07(spark, d):
+    return sp.fft_features(src.samples3(spark, d), ["acc_x", "acc_y", "acc_z"])
+
+
+@query("z08_fft_without_dc")
+def z08(spark, d):
+    return sp.fft_features(src.samples(spark, d), ["acc_x"], dc_offset=0.5)
+
+
+@query("z09_fft_integral")
+def z09(spark, d):
+    return sp.integrated(src.samples(spark, d), "acc_x")
+
+
+@query("z12_power_spectrum_scalings")
+def z12(spark, d):
+    return sp.stft_features(src.samples(spark, d), ["acc_x"], size=16, scaling="spectrum")
+
+
+@query("z13_polyphase_resample")
+def z13(spark, d):
+    return sp.resampled(src.samples(spark, d), ["acc_x"], 20, 10)
+
+
+@query("z14_slerp_resample")
+def z14(spark, d):
+    return sp.resampled(units(spark, d), [], 20, 10, ["rot_w", "rot_x", "rot_y", "rot_z"])
+
+
+@query("z15_rows_preserved", "SELECT sequence_id, count(*) AS n, CAST(sum(sequence_counter) AS BIGINT) AS counters FROM samples GROUP BY 1", "samples")
+def z15(spark, d):
+    return z13(spark, d).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("sequence_counter").alias("counters"))
