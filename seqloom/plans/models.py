@@ -1 +1,122 @@
+"""Queries of the models, augmentations and the whole pipeline."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seqloom.functions.branches import branch
+from seqloom.operators import augment as au
+from seqloom.operators import models as ml
+from seqloom.operators import stats as st
+from seqloom.operators import windows as w
+from seqloom.sources import adapters as src
+
+from .pipeline import SensorPipeline
+from .registry import query
+
+
+def features(spark, d):
+    f = st.frame(src.samples3(spark, d), ["acc_x", "acc_y", "acc_z"], ("mean", "std", "max"))
+    y = src.sequences(spark, d).select("sequence_id", "sequence_type")
+    return f.join(y, "sequence_id"), [f"acc_{c}_{s}" for s in ("mean", "std", "max") for c in "xyz"]
+
+
+@query("l01_random_forest")
+def l01(spark, d):
+    f, names = features(spark, d)
+    return ml.forest(f, names, "sequence_type", trees=20, depth=5).transform(f.withColumn("class_weight", F.lit(1.0))).select("sequence_id", "prediction")
+
+
+@query("l05_feature_importance")
+def l05(spark, d):
+    f, names = features(spark, d)
+    values = ml.forest(f, names, "sequence_type", trees=10, depth=4).stages[2].featureImportances.toArray()
+    t = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
+    return t.groupBy(F.substring_index("feature", "_", 2).alias("axis")).agg(F.sum("importance").alias("importance")).orderBy(F.desc("importance"))
+
+
+@query("l07_branches", """SELECT name, CASE WHEN regexp_matches(name, '_stft\\d*_') THEN 'stft' WHEN regexp_matches(name, '_cwt\\d*_') THEN 'cwt' WHEN name LIKE 'tof_%' THEN 'tof' WHEN name LIKE 'thm_%' THEN 'thermo' WHEN name LIKE 'rot%' THEN 'rotation' WHEN regexp_matches(name, '^(lin_acc|acc_mag)|_(velocity|displacement|jerk|smooth)$') THEN 'derived_imu' WHEN name LIKE 'acc_%' THEN 'acc' ELSE 'other' END AS branch
+FROM (SELECT DISTINCT (['acc_x', 'acc_x_jerk', 'rot_w', 'tof_1_mean', 'thm_1', 'acc_x_stft0_mean', 'acc_x_cwt0_mean'])[1 + user_id % 7] || '' AS name FROM events)""")
+def l07(spark, d):
+    names = F.array(*map(F.lit, ("acc_x", "acc_x_jerk", "rot_w", "tof_1_mean", "thm_1", "acc_x_stft0_mean", "acc_x_cwt0_mean")))
+    n = src.table(spark, d, "events").select(F.element_at(names, (F.col("user_id") % 7 + 1).cast("int")).alias("name")).distinct()
+    return n.select("name", branch(F.col("name")).alias("branch"))
+
+
+@query("l09_feature_selection")
+def l09(spark, d):
+    f, names = features(spark, d)
+    kept = ml.selected(f.withColumn("y", (F.col("sequence_type") == "Target").cast("double")), names, "y", 0.5)
+    return spark.createDataFrame([(n,) for n in kept], "feature string")
+
+
+@query("l11_nearest_prototype", """WITH e AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label AS k, i, avg(x) AS m FROM e GROUP BY 1, 2), s AS (SELECT vec_id, label, k, sum((x - m) * (x - m)) AS s FROM e JOIN c USING (i) GROUP BY 1, 2, 3)
+SELECT vec_id, label, arg_min(k, s) AS nearest, round(min(s), 5) AS distance FROM s GROUP BY 1, 2""")
+def l11(spark, d):
+    e = src.table(spark, d, "embeddings")
+    out = ml.nearest_centroid(e, "embedding", ml.centroids(e, "embedding", "label"), "label")
+    return out.select("vec_id", "label", "nearest", F.round("distance", 5).alias("distance"))
+
+
+@query("l13_pca")
+def l13(spark, d):
+    f, names = features(spark, d)
+    return ml.principal_components(f, names).select("sequence_id", "pc1", "pc2")
+
+
+@query("l14_k_means_sweep")
+def l14(spark, d):
+    return ml.k_means_sweep(st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std", "max")), ["acc_x_mean", "acc_x_std", "acc_x_max"])
+
+
+@query("l14_mixture_sweep")
+def l14m(spark, d):
+    return ml.mixture_sweep(st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std")), ["acc_x_mean", "acc_x_std"])
+
+
+@query("l18_boosted_trees")
+def l18(spark, d):
+    f, names = features(spark, d)
+    f = f.withColumn("y", (F.col("sequence_type") == "Target").cast("double"))
+    return ml.boosted(f, names, "y", 5).transform(f).select("sequence_id", "prediction")
+
+
+@query("a07_augmentor")
+def a07(spark, d):
+    return au.augmented(src.samples(spark, d), ["acc_x"])
+
+
+for _kind in au.AUGMENTATIONS:
+
+    @query(f"a_{_kind}")
+    def a(spark, d, kind=_kind):
+        return au.augmented(src.samples(spark, d), ["acc_x"], [kind], 1.0, 1.0)
+
+
+@query("a08_mixup")
+def a08(spark, d):
+    return au.mixup(st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std")), ["acc_x_mean", "acc_x_std"])
+
+
+@query("a09_tabular_noise")
+def a09(spark, d):
+    return au.noisy(st.frame(src.samples3(spark, d), ["acc_x"], ("mean",)), ["acc_x_mean"])
+
+
+@query("pipeline_frame", """WITH m AS (SELECT *, 1 / CAST(20 AS DOUBLE) AS dt FROM samples3), c AS (SELECT *, sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z) AS mag, coalesce(acc_x - lag(acc_x) OVER (PARTITION BY sequence_id ORDER BY sequence_counter), 0) / dt AS jerk FROM m)
+SELECT sequence_id, round(avg(mag), 6) AS acc_mag_mean, round(stddev_pop(jerk), 5) AS jerk_std, max(acc_y) AS acc_y_max FROM c GROUP BY 1""", "samples3")
+def pipeline_frame(spark, d):
+    f = SensorPipeline().frame(src.samples3(spark, d))
+    return f.select("sequence_id", F.round("acc_mag_mean", 6).alias("acc_mag_mean"), F.round("acc_x_jerk_std", 5).alias("jerk_std"), "acc_y_max")
+
+
+@query("pipeline_chunks")
+def pipeline_chunks(spark, d):
+    c = SensorPipeline(acc=["acc_x"], acc_modes="raw|jerk", magnitude=False).chunks(src.samples(spark, d), 32, 16)
+    return c.select("sequence_id", "chunk_idx", "start", F.size(F.filter("mask", lambda m: m)).alias("valid"), F.size("features").alias("rows"))
+
+
+@query("pipeline_rotation")
+def pipeline_rotation(spark, d):
+    q = src.quats(spark, d).withColumns({f"acc_{c}": F.lit(v) for c, v in zip("xyz", (0.0, 0.0, 9.8))})
+    return SensorPipeline(acc_modes="raw", rotation_modes="quaternion|euler|delta_euler|angular_velocity|rot6d", linear_acceleration="world").frame(q)
