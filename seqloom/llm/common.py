@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -26,14 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Lets a finished write delete the shuffle files that only it needed.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors. Shuffle files
-    that only served to compute df go with the collection of garbage that follows."""
+    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors. The shuffle
+    files of the write go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

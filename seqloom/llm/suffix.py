@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut
 
 #: Bytes whose hash selects the places where a repeat is looked for.
 GRAM = 24
 #: Text bytes of a group of candidate hashes, and of one suffix array.
 GROUP_BYTES, ARRAY_BYTES = 8 << 20, 1 << 20
+#: Minimizers that a task packs, and documents whose contexts it gathers, at a time.
+MINIMIZERS, DOCUMENTS = 500_000, 2_500
 #: A reduced string with more names than this is sorted by doubling: passes over its buckets would be mostly empty.
 WIDE = 2_000
 _U = np.uint64
@@ -86,7 +88,7 @@ def _by_doubling(names: np.ndarray, depth: int | None) -> np.ndarray:
     n, step, rank = len(names), 1, names.astype(np.int64)
     while True:
         key = rank * (n + 2) + np.r_[rank[step:] + 1, np.zeros(min(step, n), np.int64)][:n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.r_[0, np.cumsum(key[order[1:]] != key[order[:-1]])]
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -98,7 +100,7 @@ def _by_doubling(names: np.ndarray, depth: int | None) -> np.ndarray:
 def suffix_array(s: np.ndarray, k: int, depth: int | None = None) -> np.ndarray:
     """Suffix array of s (symbols below k; the last one, 0, occurs nowhere else) by induced sorting. With a depth,
     suffixes that agree in so many symbols may stand in any order."""
-    s = s.astype(np.int64)
+    s = s.astype(np.uint16 if k <= 1 << 16 else np.int64)  # narrow symbols sort by radix
     small = _types(s)
     is_lms = small & ~np.r_[True, small[:-1]]
     lms = np.flatnonzero(is_lms)
@@ -131,8 +133,9 @@ def suffix_array(s: np.ndarray, k: int, depth: int | None = None) -> np.ndarray:
     return _induce(s, k, small, lms[ranked])
 
 
-def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For every place of the text, the common prefix (127 at most) with the suffix just before it in sorted order."""
+def permuted_lcp(s: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
+    """For every place of the text, the common prefix (127 at most) with the suffix just before it in sorted order.
+    Common prefixes below `least`, rounded down to a power of two, may be given as 0."""
     n, levels, h = len(s), [], s.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1)
     for j in range(7):
         levels.append(h)
@@ -143,12 +146,16 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
             h[-m:] = np.arange(1, m + 1, dtype=_U) * _U(0x94D049BB133111EB) + _U(j)  # beyond the end nothing is alike
     left = np.full(n, n)
     left[sa[1:]] = sa[:-1]
-    out, here = np.zeros(n, np.int64), np.arange(n)
-    for j in range(6, -1, -1):
+    out, at, top = np.zeros(n, np.int64), np.arange(n), least.bit_length() - 1
+    for j in [top, *range(6, -1, -1)] if top else range(6, -1, -1):
         m = 1 << j
-        a, b = here + out, left + out
+        a, b = at + out[at], left[at] + out[at]
         fits = (a + m <= n) & (b + m <= n)
-        out += np.where(fits & (levels[j][np.minimum(a, n - 1)] == levels[j][np.minimum(b, n - 1)]), m, 0)
+        alike = fits & (levels[j][np.minimum(a, n - 1)] == levels[j][np.minimum(b, n - 1)])
+        if j == top and len(at) == n and top:
+            at = np.flatnonzero(alike)  # only these can reach it; their prefix is measured anew
+            continue
+        out[at] += np.where(alike, m, 0)
     return out
 
 
@@ -218,7 +225,7 @@ def _packed_minimizers(length: int, groups: int):
                 q = (_mix(own ^ _mix(pos.astype(_U) + _U(1))) >> _U(32)).astype(np.uint32)
                 parts.append((h, q, np.full(len(h), doc), pos.astype(np.uint32)))
                 size += len(h)
-                if size > 1_500_000:
+                if size > MINIMIZERS:
                     yield packed()
                     parts, size = [], 0
             if parts:
@@ -244,7 +251,7 @@ def _contexts(length: int, groups: int):
     reach = length - GRAM
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, DOCUMENTS) for b in batches for i in range(0, b.num_rows, DOCUMENTS)):
             found: dict[int, dict] = defaultdict(dict)
             for doc, code, text, places in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 for p in places:
@@ -279,10 +286,11 @@ def _repeats(length: int):
         text[begin + sizes] = 1
         text = np.r_[text, 0]
         sa = suffix_array(text, 258, depth=2 * length)
-        lcp = permuted_lcp(text, sa)
+        lcp = permuted_lcp(text, sa, length)
         of = np.repeat(np.arange(len(contexts)), sizes + 1)
         group = np.cumsum(lcp[sa] < length)  # suffixes that share `length` symbols stand together
-        sa, group = sa[sa < len(text) - 1], group[sa < len(text) - 1]
+        many = np.bincount(group, minlength=group[-1] + 1)[group] > 1
+        sa, group = sa[many], group[many]
         o = sa - begin[of[sa]]
         valid = o + length <= sizes[of[sa]]
         own, o, group = of[sa][valid], o[valid], group[valid]
@@ -331,7 +339,7 @@ def _repeats(length: int):
 
 def _kept(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, DOCUMENTS) for b in batches for i in range(0, b.num_rows, DOCUMENTS)):
             out = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 merged: list[list[int]] = []
@@ -365,11 +373,13 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     packed = docs.select("doc_key", "text").mapInArrow(_packed_minimizers(length, groups), "bucket int, h binary, q binary, doc binary, pos binary")
     shared = packed.groupBy("bucket").applyInPandas(_shared, "doc_key long, pos int")
-    places = shared.groupBy("doc_key").agg(F.collect_list("pos").alias("places"))
+    places = cut(shared.groupBy("doc_key").agg(F.collect_list("pos").alias("places")))
     contexts = docs.join(places, "doc_key").select("doc_key", "code", "text", "places")
     contexts = cut(contexts.mapInArrow(_contexts(length, groups), "shard int, context array<binary>, left binary, count binary, at binary"))
     found = contexts.groupBy("shard").applyInPandas(_repeats(length), "doc_key long, code long, start long, stop long")
-    return found.union(copies).groupBy("doc_key", "code").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = cut(found.union(copies).groupBy("doc_key", "code").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    drop_cut(contexts)
+    return spans
 
 
 def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
