@@ -41,8 +41,8 @@ class Network:
         self.p["V"] = rng.normal(0, 0.3, (2 * hidden, languages)).astype(np.float32)
         self.p["c"] = np.zeros(languages, np.float32)
 
-    def _direction(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States (T, B, H) for bytes x (T, B), in reading order of the direction."""
+    def _direction(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+        """States (T, B, H) for bytes x (T, B), in reading order of the direction; 0 where the mask has no text."""
         h, table, u = self.h, self.p[f"W{d}"] + self.p[f"b{d}"], self.p[f"U{d}"]
         out, s = np.empty((*x.shape, h), np.float32), np.zeros((x.shape[1], h), np.float32)
         for t in range(len(x)):
@@ -56,18 +56,18 @@ class Network:
             n = np.tanh(a[:, 2 * h :] + r * g[:, 2 * h :])
             if keep is not None:
                 keep.append((s, z, r, n, g[:, 2 * h :]))
-            s = n + z * (s - n)
+            s = (n + z * (s - n)) * mask[t][:, None]
             out[t] = s
         return out
 
-    def states(self, x: np.ndarray, kept: dict | None = None) -> np.ndarray:
-        f = self._direction(x, "f", None if kept is None else kept.setdefault("f", []))
-        b = self._direction(x[::-1], "b", None if kept is None else kept.setdefault("b", []))[::-1]
+    def states(self, x: np.ndarray, mask: np.ndarray, kept: dict | None = None) -> np.ndarray:
+        f = self._direction(x, mask, "f", None if kept is None else kept.setdefault("f", []))
+        b = self._direction(x[::-1], mask[::-1], "b", None if kept is None else kept.setdefault("b", []))[::-1]
         return np.concatenate([f, b], axis=2)
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """(T, B, languages): the label probabilities at every position."""
-        z = self.states(x) @ self.p["V"] + self.p["c"]
+        z = self.states(x, mask) @ self.p["V"] + self.p["c"]
         z -= z.max(axis=2, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(axis=2, keepdims=True)
@@ -76,7 +76,7 @@ class Network:
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean cross entropy over the positions in the mask, and its gradient by backpropagation through time."""
         kept: dict = {}
-        s = self.states(x, kept)
+        s = self.states(x, mask, kept)
         z = s @ self.p["V"] + self.p["c"]
         z -= z.max(axis=2, keepdims=True)
         e = np.exp(z)
@@ -88,12 +88,12 @@ class Network:
         p *= (mask / total)[:, :, None]
         grad = {"V": np.einsum("tbh,tbl->hl", s, p), "c": p.sum((0, 1))}
         ds = p @ self.p["V"].T
-        for d, part, xs in (("f", ds[:, :, : self.h], x), ("b", ds[::-1, :, self.h :], x[::-1])):
+        for d, part, xs, there in (("f", ds[:, :, : self.h], x, mask), ("b", ds[::-1, :, self.h :], x[::-1], mask[::-1])):
             gw, gu, carry = np.zeros_like(self.p[f"W{d}"]), np.zeros_like(self.p[f"U{d}"]), np.zeros((len(y), self.h), np.float32)
             gb, u = np.zeros(3 * self.h, np.float32), self.p[f"U{d}"]
             for t in range(len(xs) - 1, -1, -1):
                 before, zt, r, n, gn = kept[d][t]
-                dh = part[t] + carry
+                dh = (part[t] + carry) * there[t][:, None]
                 dn = dh * (1 - zt) * (1 - n * n)
                 da = np.concatenate([dh * (before - n) * zt * (1 - zt), dn * gn * r * (1 - r), dn], axis=1)
                 dg = da.copy()
@@ -169,7 +169,7 @@ def pooled(net: Network, texts: list[bytes], languages: int) -> np.ndarray:
 
     def flush():
         x, mask = padded(windows, LABEL_BYTES)
-        np.add.at(out, owners, (net.probabilities(x) * mask[:, :, None]).sum(axis=0))
+        np.add.at(out, owners, (net.probabilities(x, mask) * mask[:, :, None]).sum(axis=0))
         owners.clear(), windows.clear()
 
     for i, text in enumerate(texts):
