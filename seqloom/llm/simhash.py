@@ -87,11 +87,11 @@ def _linked(rest: np.ndarray, one: np.uint64, most: int) -> np.ndarray:
     return near[np.bitwise_count(x[near]) <= most]
 
 
-def _posting_stars(fps: np.ndarray, most: int) -> list[np.ndarray]:
+def _posting_stars(fps: np.ndarray, most: int, long: int = 20_000) -> list[np.ndarray]:
     """The connected groups (two members at least) among the distinct fingerprints of one posting list."""
     groups, rest = [], fps
     masks = None
-    if len(fps) > 20_000:
+    if len(fps) > long:
         # a long list: look the neighbours up instead, a number of probes per member that doesn't grow with the list
         free = [i for i in range(64) if ((fps ^ fps[0]) >> np.uint64(i) & np.uint64(1)).any()]
         if sum(1 for k in range(most + 1) for _ in combinations(free, k)) < len(fps):
