@@ -13,7 +13,7 @@ from seqloom.sources import adapters as src
 
 from .registry import query
 
-GRID = F.col("grid")
+GRID = "grid"
 VALID = "list_filter(grid, lambda p: p <> -1)"
 NULLED = "list_transform(grid, lambda p: CASE WHEN p <> -1 THEN p END)"
 
@@ -49,7 +49,7 @@ for _fill, _value in (("far_255", 255), ("far_500", 500), ("zero", 0)):
 
 @query("t02_raw_and_validity", "SELECT vec_id, unnest(range(1, 65)) AS pixel, unnest(grid) AS value, unnest(list_transform(grid, lambda p: CAST(p <> -1 AS INTEGER))) AS valid FROM grids", "grids")
 def t02(spark, d):
-    g = src.grids(spark, d).select("vec_id", F.posexplode(F.arrays_zip(GRID.alias("v"), gr.validity(GRID).alias("k"))).alias("i", "x"))
+    g = src.grids(spark, d).select("vec_id", F.posexplode(F.arrays_zip(F.col(GRID).alias("v"), gr.validity(GRID).alias("k"))).alias("i", "x"))
     return g.select("vec_id", (F.col("i") + 1).cast("long").alias("pixel"), F.col("x.v").alias("value"), F.col("x.k").alias("valid"))
 
 
