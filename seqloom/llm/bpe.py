@@ -19,8 +19,9 @@ CHUNK, OVERLAP = 1 << 16, 1 << 11
 #: Boundaries nearer than this to a chunk's end may depend on text beyond it (the longest alternative of the pattern and its look-ahead).
 MARGIN = 8
 #: Pieces that a Python worker remembers; the memory starts anew when full.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 NO_RANK = 1 << 60
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _merge_short(piece: bytes, ranks: dict) -> list[int]:
@@ -97,27 +98,38 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _whole(path: str, pattern: str):
+def _whole(path: str, pattern: str, digests: bool):
+    """Whole texts, some hundred at a time: their ids, or the digests of those."""
+
     def run(batches):
         own = vocabulary(path, pattern)
         for batch in batches:
-            ids = [own.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                ids = [own.encode(t) for t in part.column("text").to_pylist()]
+                yield _digest_batch(part.column("doc_id"), ids, own) if digests else pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def _bounds(pattern: str):
+def _digest_batch(doc_id, ids: list[bytes], own: Vocabulary) -> pa.RecordBatch:
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return pa.RecordBatch.from_arrays(
+        [doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(own.decode(x)) for x in ids], pa.string())],
+        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
+def _bounds(pattern: str, chunk: int, overlap: int):
     """The boundaries that a chunk's own pre-tokenisation finds in the stretches it shares with its neighbours."""
 
     def run(frames):
         spans = regex.compile(pattern).finditer
         for f in frames:
             left, right = [], []
-            for at, text in zip(f.at, f.text):
+            for at, text in zip(f["at"], f["text"]):
                 ends = [m.end() for m in spans(text)]
-                left.append([at + e for e in ends if e < OVERLAP and e <= len(text) - MARGIN])
-                right.append([at + e for e in ends if CHUNK <= e <= len(text) - MARGIN])
+                left.append([at + e for e in ends if e < overlap and e <= len(text) - MARGIN])
+                right.append([at + e for e in ends if chunk <= e <= len(text) - MARGIN])
             yield f.assign(left=left, right=right)
 
     return run
@@ -127,7 +139,7 @@ def _between(path: str, pattern: str):
     def run(frames):
         own = vocabulary(path, pattern)
         for f in frames:
-            ids = [own.encode(t[int(a - at) : int(b - at)]) for t, at, a, b in zip(f.text, f.at, f.begin, f.end)]
+            ids = [own.encode(t[int(a - at) : int(b - at)]) for t, at, a, b in zip(f["text"], f["at"], f["begin"], f["end"])]
             yield pd.DataFrame({"row": f.row, "doc_id": f.doc_id, "chunk": f.chunk, "ids": ids})
 
     return run
@@ -138,33 +150,35 @@ def _joined(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": f.doc_id.iloc[:1], "ids": [b"".join(f.ids)]})
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids binary: little-endian unsigned 32-bit): every match of the pattern in the whole text is merged by rank.
 
-    Texts up to CHUNK code points are encoded where they are read. Longer ones become overlapping chunks that are
+    Texts up to `chunk` code points are encoded where they are read. Longer ones become overlapping chunks that are
     pre-tokenised in parallel; two neighbours are stitched at the first boundary that both find in their shared
     stretch. Matching only looks ahead, so from a common boundary on both go on alike. Where a stretch has no common
     boundary (a run of one class longer than it) the document is pre-tokenised in one piece instead. Null and empty
     texts give no ids; repeated rows give repeated rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    whole = lambda d: d.mapInArrow(_whole(path, pattern), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
-    short = whole(rows.where(F.length("text") <= CHUNK))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    whole = lambda d: d.mapInArrow(_whole(path, pattern, digests), f"doc_id {kind}, {DIGESTS if digests else 'ids binary'}")
+    short = whole(rows.where(F.length("text") <= chunk))
 
-    long = rows.where(F.length("text") > CHUNK).withColumn("row", F.monotonically_increasing_id())
-    last = F.floor((F.length("text") - 1) / CHUNK)
+    long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    last = F.floor((F.length("text") - 1) / chunk)
     chunks = long.select("row", "doc_id", F.length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"), "text")
-    at = F.col("chunk") * CHUNK
-    chunks = chunks.select("row", "doc_id", "n", "chunk", at.alias("at"), F.substring("text", (at + 1).cast("int"), F.lit(CHUNK + OVERLAP)).alias("text"))
-    seen = chunks.mapInPandas(_bounds(pattern), f"{_ddl(chunks)}, left array<bigint>, right array<bigint>")
+    at = F.col("chunk") * F.lit(chunk)
+    chunks = chunks.select("row", "doc_id", "n", "chunk", at.alias("at"), F.substring("text", (at + 1).cast("int"), F.lit(chunk + overlap)).alias("text"))
+    seen = chunks.mapInPandas(_bounds(pattern, chunk, overlap), f"{_ddl(chunks)}, left array<bigint>, right array<bigint>")
     by = Window.partitionBy("row").orderBy("chunk")
     meet = F.array_min(F.array_intersect("right", F.lead("left").over(by)))
     seen = seen.withColumn("end", F.when(F.lead("chunk").over(by).isNull(), F.col("n")).otherwise(meet))
     seen = seen.withColumn("begin", F.when(F.col("chunk") == 0, F.lit(0).cast("long")).otherwise(F.lag("end").over(by)))
     seen = seen.withColumn("apart", F.max(F.col("end").isNull()).over(Window.partitionBy("row")))
     ids = seen.where(~F.col("apart")).select("row", "doc_id", "chunk", "at", "begin", "end", "text")
-    ids = ids.mapInPandas(_between(path, pattern), f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk long, ids binary")
-    stitched = ids.groupBy("row").applyInPandas(_joined, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
+    ids = ids.mapInPandas(_between(path, pattern), f"row long, doc_id {kind}, chunk long, ids binary")
+    stitched = ids.groupBy("row").applyInPandas(_joined, f"doc_id {kind}, ids binary")
+    stitched = stitched.mapInArrow(_digests(path, pattern), f"doc_id {kind}, {DIGESTS}") if digests else stitched
     rest = long.join(seen.where("apart").select("row").distinct(), "row", "left_semi").select("doc_id", "text")
     return short.unionByName(stitched).unionByName(whole(rest))
 
@@ -186,16 +200,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _digests(path: str, pattern: str):
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-
     def run(batches):
         own = vocabulary(path, pattern)
         for b in batches:
-            ids = b.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(own.decode(x)) for x in ids], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            yield _digest_batch(b.column("doc_id"), b.column("ids").to_pylist(), own)
 
     return run
 
@@ -206,8 +214,7 @@ def digest(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return encode(docs, path, pattern).mapInArrow(_digests(path, pattern), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path, pattern, digests=True)
 
 
 def query(spark, sf_dir):
