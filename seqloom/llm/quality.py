@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = _matrix([None if t is None else t.encode() for t in b.column(at).to_pylist()])
+            x = _matrix(None if t is None else t.encode() for t in (v.as_py() for v in b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], [*b.schema.names, "quality_score"])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("quality_score", T.DoubleType())]))
