@@ -144,3 +144,38 @@ def resampled(df: DataFrame, names: list[str], native: int, target: int, quatern
         return frame
 
     return df.groupBy(SEQ).applyInPandas(run, df.schema)
+
+
+def signal_summary(df: DataFrame, signals: list[str], rate: float = 20.0, n_bands: int = 5) -> DataFrame:
+    """Time statistics of each signal and the energies of equal bands of its one-sided spectrum."""
+
+    def make(x):
+        x = np.nan_to_num(x)
+        p = np.abs(np.fft.rfft(x)) ** 2
+        parts = np.array_split(p, n_bands)
+        return {"mean": float(x.mean()), "std": float(x.std()), "rms": float(np.sqrt((x * x).mean())), "ptp": float(np.ptp(x)), "peak_bin": float(p.argmax())} | {f"band{i}": float(b.sum()) for i, b in enumerate(parts)}
+
+    return _per_sequence(df, signals, make, list(make(np.zeros(4))))
+
+
+def peak_bands(df: DataFrame, signals: list[str], rate: float = 20.0, prominence: float = 1e-4, most: int = 8) -> DataFrame:
+    """Moments of the amplitude spectrum and of the band around its highest peak; bands end half-way between the `most`
+    highest prominent peaks."""
+
+    def make(x):
+        x = np.nan_to_num(x)
+        a, f = np.abs(np.fft.rfft(x - x.mean())), np.fft.rfftfreq(len(x), 1 / rate)
+        inner = np.flatnonzero((a[1:-1] > a[:-2]) & (a[1:-1] >= a[2:])) + 1 if len(a) > 2 else np.zeros(0, int)
+        high = [p for p in inner if a[p] - max(a[:p].min(), a[p + 1 :].min()) >= prominence]
+        high = sorted(sorted(high, key=lambda p: -a[p])[:most])
+        total = a.sum()
+        mean = float((f * a).sum() / total) if total > 0 else 0.0
+        std = float(np.sqrt((((f - mean) ** 2) * a).sum() / total)) if total > 0 else 0.0
+        third, fourth = (float(((((f - mean) / std) ** k) * a).sum() / total) if std > 0 else 0.0 for k in (3, 4))
+        top = max(high, key=lambda p: a[p]) if high else 0
+        at = high.index(top) if high else 0
+        low = (f[high[at - 1]] + f[top]) / 2 if high and at else 0.0
+        end = (f[high[at + 1]] + f[top]) / 2 if high and at + 1 < len(high) else float(f[-1])
+        return {"peaks": float(len(high)), "mean": mean, "std": std, "skew": third, "kurtosis": fourth, "auc": float(total), "top_frequency": float(f[top]), "top_band_energy": float((a[(f >= low) & (f < end)] ** 2).sum())}
+
+    return _per_sequence(df, signals, make, list(make(np.zeros(4))))

@@ -74,3 +74,13 @@ def z14(spark, d):
 @query("z15_rows_preserved", "SELECT sequence_id, count(*) AS n, CAST(sum(sequence_counter) AS BIGINT) AS counters FROM samples GROUP BY 1", "samples")
 def z15(spark, d):
     return z13(spark, d).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("sequence_counter").alias("counters"))
+
+
+@query("z10_peak_bands")
+def z10(spark, d):
+    return sp.peak_bands(src.samples(spark, d), ["acc_x"])
+
+
+@query("z11_signal_summary")
+def z11(spark, d):
+    return sp.signal_summary(src.samples(spark, d), ["acc_x"])

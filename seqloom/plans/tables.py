@@ -342,3 +342,20 @@ def l03(spark, d):
 @query("l04_holdout_table", f"WITH {SCORED} SELECT doc_id AS sequence_id, CAST(truth <> 'non_bfrb' AS INTEGER) AS is_target_true, CAST(pred <> 'non_bfrb' AS INTEGER) AS is_target_pred, truth AS bfrb_true, pred AS bfrb_pred FROM s")
 def l04(spark, d):
     return scored(spark, d).select(F.col("doc_id").alias("sequence_id"), (F.col("truth") != "non_bfrb").cast("int").alias("is_target_true"), (F.col("pred") != "non_bfrb").cast("int").alias("is_target_pred"), F.col("truth").alias("bfrb_true"), F.col("pred").alias("bfrb_pred"))
+
+
+@query("o01_ordered_samples", "SELECT sequence_id, sequence_counter, acc_x FROM samples ORDER BY 1, 2", "samples")
+def o01(spark, d):
+    return src.samples(spark, d).select("sequence_id", "sequence_counter", "acc_x").orderBy("sequence_id", "sequence_counter")
+
+
+@query("o03_by_measured_length", "SELECT sequence_id, count(*) AS n FROM samples3 GROUP BY 1 ORDER BY n DESC, 1", "samples3")
+def o03(spark, d):
+    return src.samples3(spark, d).groupBy("sequence_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sequence_id")
+
+
+@query("l10_hierarchical_routing", f"WITH {FULL} SELECT sequence_id, CASE WHEN is_target = 0 THEN 'non_bfrb' WHEN orientation = 'Unknown' THEN 'none' WHEN weight > 200000 THEN orientation || '-high' ELSE orientation || '-low' END AS prediction FROM f", "sequences")
+def l10(spark, d):
+    f = labelled(spark, d)  # target or not, then orientation, then a rule per orientation: columns of one projection
+    leaf = F.concat("orientation", F.when(F.col("weight") > 200000, "-high").otherwise("-low"))
+    return f.select("sequence_id", F.when(F.col("is_target") == 0, "non_bfrb").when(F.col("orientation") == "Unknown", "none").otherwise(leaf).alias("prediction"))
