@@ -312,3 +312,39 @@ def test_quality(spark, none):
     assert len(model.pairs) == 6
     empty = quality.train(none, labels.where("false"))
     assert quality.score(none, empty).count() == 0 and quality.score(df, empty).first().quality_score == 0.5
+
+
+def test_similar_documents(spark, none):
+    words = [f"w{i}" for i in range(5000)]
+    base = [RNG.choice(words, 300).tolist() for _ in range(6)]
+    rows, family = [], {}
+    for f, b in enumerate(base):
+        for c in range(90 if f == 0 else 4):  # the first family's lists are longer than SHORT
+            w = list(b)
+            for at in RNG.choice(300, min(c % 5, 4), replace=False):
+                w[at] = "edited"
+            rows.append((len(rows), " ".join(w)))
+            family[len(rows) - 1] = f
+    for t in (None, "", "  ", "one", "two"):
+        rows.append((len(rows), t))
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    first = {f: min(i for i, g in family.items() if g == f) for f in range(6)}
+    assert all(got[i] == first[f] for i, f in family.items())
+    blank = len(family)
+    assert [got[blank + k] for k in range(5)] == [blank, blank, blank, blank + 3, blank + 4]
+    assert simhash.similar_documents(none).count() == 0 and len(got) == len(rows)
+
+
+def test_pipeline_runs_on_awkward_rows(spark, docs, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    step = docs
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, step, str(tmp_path))
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns, name
+        step = common.cut(out)
+    assert {r.doc_id for r in step.select("doc_id").collect()} <= {r[0] for r in DOCS}
+    assert pipeline.run(spark, str(tmp_path)).count() == step.count()
