@@ -193,3 +193,19 @@ def singular_values(g: np.ndarray) -> tuple[float, ...]:
     s = np.linalg.svd(g, compute_uv=False)
     energy = (s**2).sum()
     return (*s[:3], s[1] / s[0] if s[0] > 0 else 0.0, (s[:2] ** 2).sum() / energy if energy > 0 else 0.0)
+
+
+def kernel_shares(x: np.ndarray, dilations: tuple[int, ...] = (1, 2, 4)) -> np.ndarray:
+    """Shares of positive values after convolution with the 84 kernels of nine weights, three of them 2 and six -1, at
+    each dilation. Signals are padded with zeros so that every place counts."""
+    from itertools import combinations
+
+    chosen = np.zeros((84, 9))
+    for i, c in enumerate(combinations(range(9), 3)):
+        chosen[i, list(c)] = 1
+    out = []
+    for d in dilations:
+        wide = np.pad(x, 4 * d)
+        taps = np.stack([wide[k * d : k * d + len(x)] for k in range(9)])
+        out.append(((3 * chosen @ taps - taps.sum(axis=0)) > 0).mean(axis=1))
+    return np.concatenate(out)

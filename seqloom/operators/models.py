@@ -86,3 +86,18 @@ def mixture_sweep(df: DataFrame, names: list[str], ks=(2, 3, 4), seed: int = 42)
         rows.append((k, ll, 2 * free - 2 * ll, free * log(n) - 2 * ll))
     x.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, aic double, bic double")
+
+
+def grid_search(df: DataFrame, names: list[str], label: str, fold: str, depths=(3, 5), trees=(10, 20), seed: int = 42) -> DataFrame:
+    """(trees, depth, f1): cross-validated forests over a grid; rows of one fold number are held out together, so a fold
+    column by sequence or subject keeps groups whole. `label` is numeric."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    x = assembled(df, names).withColumn(fold, F.col(fold).cast("int"))
+    rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
+    grid = ParamGridBuilder().addGrid(rf.maxDepth, list(depths)).addGrid(rf.numTrees, list(trees)).build()
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"), numFolds=df.select(fold).distinct().count(), foldCol=fold, seed=seed)
+    scores = cv.fit(x).avgMetrics
+    rows = [(int(g[rf.numTrees]), int(g[rf.maxDepth]), float(s)) for g, s in zip(grid, scores)]
+    return df.sparkSession.createDataFrame(rows, "trees int, depth int, f1 double").orderBy(F.desc("f1"), "trees", "depth")

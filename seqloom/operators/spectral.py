@@ -179,3 +179,18 @@ def peak_bands(df: DataFrame, signals: list[str], rate: float = 20.0, prominence
         return {"peaks": float(len(high)), "mean": mean, "std": std, "skew": third, "kurtosis": fourth, "auc": float(total), "top_frequency": float(f[top]), "top_band_energy": float((a[(f >= low) & (f < end)] ** 2).sum())}
 
     return _per_sequence(df, signals, make, list(make(np.zeros(4))))
+
+
+def kernel_features(df: DataFrame, x: str, dilations: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """(sequence_id, features array<double>): shares of positive values under a fixed set of dilated kernels."""
+    kind = df.schema[SEQ].dataType.simpleString()
+
+    def run(frames):
+        for frame in whole_sequences(frames):
+            ids = frame[SEQ].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(frame)]
+            values = np.nan_to_num(frame[x].to_numpy(float))
+            yield pd.DataFrame({SEQ: ids[cuts[:-1]], "features": [nm.kernel_shares(values[a:b] - values[a:b].mean(), dilations).tolist() for a, b in zip(cuts, cuts[1:])]})
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(SEQ, AT, x).repartition(parts, SEQ).sortWithinPartitions(SEQ, AT).mapInPandas(run, f"{SEQ} {kind}, features array<double>")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.branches import branch
 from seqloom.operators import augment as au
+from seqloom.operators import labels as lb
 from seqloom.operators import models as ml
+from seqloom.operators import spectral as sp
 from seqloom.operators import stats as st
 from seqloom.operators import windows as w
 from seqloom.sources import adapters as src
@@ -120,3 +122,15 @@ def pipeline_chunks(spark, d):
 def pipeline_rotation(spark, d):
     q = src.quats(spark, d).withColumns({f"acc_{c}": F.lit(v) for c, v in zip("xyz", (0.0, 0.0, 9.8))})
     return SensorPipeline(acc_modes="raw", rotation_modes="quaternion|euler|delta_euler|angular_velocity|rot6d", linear_acceleration="world").frame(q)
+
+
+@query("l08_kernel_features")
+def l08(spark, d):
+    return sp.kernel_features(src.samples(spark, d), "acc_x")
+
+
+@query("l16_grid_search")
+def l16(spark, d):
+    f, names = features(spark, d)
+    f = lb.folds(f.withColumn("y", (F.col("sequence_type") == "Target").cast("double")), "sequence_id", 3)
+    return ml.grid_search(f, names[:3], "y", "fold", (3,), (5, 10))
