@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_crc, shuffle_partitions
+from .common import cut, doc_crc, drop_cut, shuffle_partitions
 
 #: Bytes of context, at least two: the tree has a level for every length up to this.
 DEPTH = 5
 #: Text bytes of a block of documents.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: A byte that UTF-8 never holds: stands before a text and ends it.
 EDGE = 0xFF
 _U = np.uint64
@@ -151,18 +151,19 @@ def _block_grams(texts: list[bytes], depth: int):
     sizes = np.array([len(t) + 1 for t in texts])
     edge = bytes([EDGE]) * depth
     joined = np.frombuffer(b"".join(edge + t + b"\xff" for t in texts), np.uint8)
-    all_grams = grams(np.r_[joined, np.zeros(0, np.uint8)], depth)
+    all_grams = grams(joined, depth)
     begin = np.cumsum(sizes + depth) - (sizes + depth)
     keep = np.ones(len(all_grams), bool)
     for j in range(depth):  # grams whose byte belongs to the edge before a text
         cut_at = begin[1:] + j - depth
         keep[cut_at] = False
-    own = all_grams[keep]
-    inverse, distinct = pd.factorize(own)
+    all_grams = all_grams[keep]
+    inverse, distinct = pd.factorize(all_grams)
+    del all_grams, keep, joined
     order = np.argsort(distinct)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
-    return rank[inverse], distinct[order], np.cumsum(sizes) - sizes
+    return rank[inverse.astype(np.int32)], distinct[order], np.cumsum(sizes) - sizes
 
 
 def _bucket_of(gram: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -170,23 +171,47 @@ def _bucket_of(gram: np.ndarray, depth: int, buckets: int) -> np.ndarray:
     return ((gram >> _U(8 * (depth - 1))) * _U(0x9E3779B97F4A7C15) >> _U(40)).astype(np.int64) % buckets
 
 
-def _words(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.split() for t in texts]
-
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E), EDGE]] = True
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _block_words(texts: list[bytes], buckets: int):
+    """Place of every word among the block's distinct words, those words and their buckets in an order that depends on
+    the words alone, and the number of words of each text. A word is told by a 64-bit polynomial of its bytes, which
+    differences of running sums give for all words at once."""
+    data = b"\xff".join([*texts, b""])
+    x = np.frombuffer(data, np.uint8)
+    blank = _SPACE[x]
+    edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    powers = lambda base: np.cumprod(np.r_[_U(1), np.full(len(x), _U(base))])
+    sums = np.r_[_U(0), np.cumsum((x.astype(_U) + _U(1)) * powers(_BASE)[:-1])]
+    code = (sums[ends] - sums[starts]) * powers(pow(_BASE, -1, 1 << 64))[starts]
+    code = (code ^ (code >> _U(29))) * _U(0xBF58476D1CE4E5B9) ^ (ends - starts).astype(_U)
+    places, distinct = pd.factorize(code)
+    first = np.zeros(len(distinct), np.int64)
+    first[places[::-1]] = np.arange(len(places))[::-1]
+    names = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    bucket = ((distinct >> _U(20)) % _U(buckets)).astype(np.int64)
+    order = np.lexsort((distinct, bucket))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    last = np.cumsum([len(t) + 1 for t in texts])
+    return rank[places], [names[i] for i in order], bucket[order], np.diff(np.r_[0, np.searchsorted(starts, last)])
 
-def _word_bucket(words: list[bytes], buckets: int) -> np.ndarray:
-    from zlib import crc32
 
-    return np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+def _texts(frame: pd.DataFrame) -> list[bytes]:
+    return [bytes(t).lower() for t in frame["text"]]
 
 
 def _count_block(depth: int, buckets: int):
     def run(key, frame):
         rows = []
-        texts, learn = [bytes(t) for t in frame["text"]], frame["learn"].to_numpy(bool)
+        texts, learn = _texts(frame), frame["learn"].to_numpy(bool)
         places, distinct, begin = _block_grams(texts, depth)
         weight = np.repeat(learn, np.diff(np.r_[begin, len(places)]))
-        count = np.bincount(places, weight, len(distinct)).astype(np.int64)
+        count = np.bincount(places[weight], minlength=len(distinct))
         bucket = _bucket_of(distinct, depth, buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -194,17 +219,12 @@ def _count_block(depth: int, buckets: int):
             i = order[cuts[b] : cuts[b + 1]]
             if len(i):
                 rows.append((b, key[0], "gram", distinct[i].tobytes(), count[i].astype(np.int32).tobytes()))
-        words, known = Counter(), Counter()
-        for ws, l in zip(_words(texts), learn):
-            (known if l else words).update(ws)
-        names = sorted({*words, *known})
-        bucket = _word_bucket(names, buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        places, names, bucket, sizes = _block_words(texts, buckets)
+        count = np.bincount(places[np.repeat(learn, sizes)], minlength=len(names))
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in range(buckets):
-            own = [names[i] for i in order[cuts[b] : cuts[b + 1]]]
-            if own:
-                rows.append((b, key[0], "word", b"\n".join(own), np.array([known[w] for w in own], np.int32).tobytes()))
+            if cuts[b] < cuts[b + 1]:
+                rows.append((b, key[0], "word", b"\n".join(names[cuts[b] : cuts[b + 1]]), count[cuts[b] : cuts[b + 1]].astype(np.int32).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "block", "kind", "keys", "counts"])
 
     return run
@@ -218,10 +238,25 @@ def _merged(frame: pd.DataFrame):
 
 
 def _summaries(depth: int):
+    """What the top of the tree needs of a bucket's grams, and, in a row with near = -1, how many training words it holds."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        gram, count, _ = _merged(frame)
-        seen = count > 0
-        return Tree(gram[seen], count[seen], depth).summary() if seen.any() else pd.DataFrame(columns=["near", "place", "total", "ones", "weighted"])
+        out = []
+        part = frame[frame["kind"] == "gram"]
+        if len(part):
+            gram, count, _ = _merged(part)
+            seen = count > 0
+            if seen.any():
+                out.append(Tree(gram[seen], count[seen], depth).summary())
+        known: set = set()
+        n = 0
+        part = frame[frame["kind"] == "word"]
+        for k, c in zip(part["keys"], part["counts"]):
+            c = np.frombuffer(c, np.int32)
+            n += int(c.sum())
+            known.update(w for w, x in zip(k.split(b"\n"), c.tolist()) if x)
+        out.append(pd.DataFrame({"near": [-1], "place": [0], "total": [n], "ones": [len(known)], "weighted": [0.0]}))
+        return pd.concat(out)
 
     return run
 
@@ -249,43 +284,27 @@ def _values(depth: int, top):
     return run
 
 
-def _word_totals(frame: pd.DataFrame) -> pd.DataFrame:
-    known: set = set()
-    n = 0
-    for k, c in zip(frame["keys"], frame["counts"]):
-        c = np.frombuffer(c, np.int32)
-        n += int(c.sum())
-        known.update(w for w, x in zip(k.split(b"\n"), c.tolist()) if x)
-    return pd.DataFrame({"tokens": [n], "distinct": [len(known)]})
-
-
 def _score_block(depth: int, buckets: int, n_docs: int, tokens: int, distinct: int):
     """tokens and distinct: of the training words; every training document adds one end to the tokens."""
 
     def run(key, frame, values):
         if not len(frame):
             return pd.DataFrame(columns=["doc_id", "learn", "n_tokens", "n_known", "base_score", "score"])
-        texts = [bytes(t) for t in frame["text"]]
+        texts = _texts(frame)
         of = {(k, b): np.frombuffer(v, np.float32 if k == "gram" else np.float64) for k, b, v in zip(values["kind"], values["bucket"], values["values"])}
         places, gram, begin = _block_grams(texts, depth)
         lp, bucket = np.empty(len(gram)), _bucket_of(gram, depth, buckets)
-        order = np.argsort(bucket, kind="stable")
-        lp[order] = np.concatenate([of["gram", b] for b in range(buckets) if ("gram", b) in of])
+        lp[np.argsort(bucket, kind="stable")] = np.concatenate([of["gram", b] for b in range(buckets) if ("gram", b) in of])
         score = np.add.reduceat(lp[places], begin)
-        lists = _words(texts)
-        names = sorted(set().union(*lists))
-        bucket = _word_bucket(names, buckets)
-        order = np.argsort(bucket, kind="stable")
-        count = np.empty(len(names))
-        count[order] = np.concatenate([np.zeros(0), *(of["word", b] for b in range(buckets) if ("word", b) in of)])
-        value = dict(zip(names, count.tolist()))
+        places, names, bucket, sizes = _block_words(texts, buckets)
+        count = np.concatenate([np.zeros(0), *(of["word", b] for b in range(buckets) if ("word", b) in of)])
         n, v = tokens + n_docs, distinct + (n_docs > 0)
-        rows = []
-        for ws in lists:
-            c = np.array([*(value[w] for w in ws), n_docs], float)
-            rows.append((len(c), int((c > 0).sum()), float(np.log10((c + 1) / (n + v + 1)).sum())))
-        counted = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
-        return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "learn": frame["learn"].to_numpy(), **counted, "score": score})
+        value, at = np.log10((count + 1) / (n + v + 1)), np.r_[0, np.cumsum(sizes)]
+        sums = lambda x: np.diff(np.r_[0, np.cumsum(x[places])][at])
+        return pd.DataFrame({
+            "doc_id": frame["doc_id"].to_numpy(), "learn": frame["learn"].to_numpy(), "n_tokens": sizes + 1, "n_known": sums((count > 0).astype(np.int64)) + (n_docs > 0),
+            "base_score": sums(value) + np.log10((n_docs + 1) / (n + v + 1)), "score": score,
+        })
 
     return run
 
@@ -304,18 +323,19 @@ def score(docs: DataFrame, learn=None, depth: int = DEPTH) -> DataFrame:
     their own; without training texts every bit has probability 1/2; an empty table gives no rows."""
     spark = docs.sparkSession
     learn = F.lit(True) if learn is None else learn
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(True)).alias("learn"), text.alias("text"))
     size, n_docs = rows.agg(F.sum(F.octet_length("text")), F.sum(F.col("learn").cast("long"))).first()
     size, n_docs, buckets = size or 0, n_docs or 0, shuffle_partitions(spark)
     blocks = max(buckets, -(-size // BLOCK_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     counted = cut(rows.groupBy("block").applyInPandas(_count_block(depth, buckets), "bucket int, block int, kind string, keys binary, counts binary"))
-    top = counted.where("kind = 'gram'").groupBy("bucket").applyInPandas(_summaries(depth), "near long, place long, total long, ones long, weighted double")
-    top = Top(top.groupBy("near", "place").agg(F.sum("total").alias("total"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).collect())
-    words = counted.where("kind = 'word'").groupBy("bucket").applyInPandas(_word_totals, "tokens long, distinct long").agg(F.sum("tokens"), F.sum("distinct")).first()
+    sums = cut(counted.groupBy("bucket").applyInPandas(_summaries(depth), "near long, place long, total long, ones long, weighted double"))
+    top = Top(sums.where("near >= 0").groupBy("near", "place").agg(F.sum("total").alias("total"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).collect())
+    words = sums.where("near < 0").agg(F.sum("total"), F.sum("ones")).first()
     shared = spark.sparkContext.broadcast(top)  # tables of fixed size
-    values = counted.groupBy("bucket").applyInPandas(_values(depth, shared), "block int, bucket int, kind string, values binary")
+    values = cut(counted.groupBy("bucket").applyInPandas(_values(depth, shared), "block int, bucket int, kind string, values binary"))
+    drop_cut(counted)
     out = rows.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(
         _score_block(depth, buckets, n_docs, words[0] or 0, words[1] or 0), "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
     )
