@@ -10,7 +10,6 @@ from seqloom.operators import labels as lb
 from seqloom.operators import models as ml
 from seqloom.operators import spectral as sp
 from seqloom.operators import stats as st
-from seqloom.operators import windows as w
 from seqloom.sources import adapters as src
 
 from .pipeline import SensorPipeline
