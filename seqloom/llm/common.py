@@ -51,6 +51,14 @@ def drop_cut(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of at most so many rows from now on: whole texts are long, and both sides of a Python stage hold a
+    batch in memory. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -199,24 +199,23 @@ def minimizers(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
 def _packed_minimizers(length: int, groups: int):
     names = ["bucket", "h", "q", "doc", "pos"]
 
+    def packed(parts):
+        h, q, doc, pos = (np.concatenate(x) for x in zip(*parts))
+        bucket = (h >> _U(33)) % _U(groups)
+        order = np.lexsort((doc, q, h, bucket))
+        bucket, h, q, doc, pos = bucket[order], h[order], q[order], doc[order], pos[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (q[1:] != q[:-1])]  # of equal texts, the first speaks for all
+        bucket, h, q, doc, pos = bucket[new], h[new], q[new], doc[new], pos[new]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        ends = [*cuts[1:], len(bucket)]
+        raw = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), raw(h), raw(q), raw(doc), raw(pos)], names)
+
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
-            docs, texts = batch.column(0).to_numpy(), batch.column(1)
-            parts, size = [], 0
-
-            def packed():
-                h, q, doc, pos = (np.concatenate(x) for x in zip(*parts))
-                bucket = (h >> _U(33)) % _U(groups)
-                order = np.lexsort((doc, q, h, bucket))
-                bucket, h, q, doc, pos = bucket[order], h[order], q[order], doc[order], pos[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (q[1:] != q[:-1])]  # of equal texts, the first speaks for all
-                bucket, h, q, doc, pos = bucket[new], h[new], q[new], doc[new], pos[new]
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = [*cuts[1:], len(bucket)]
-                raw = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())
-                return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), raw(h), raw(q), raw(doc), raw(pos)], names)
-
-            for i, doc in enumerate(docs):
+            texts = batch.column(1)
+            for i, doc in enumerate(batch.column(0).to_numpy()):
                 text = texts[i].as_py()
                 h, pos = minimizers(text, length)
                 if not len(h):
@@ -226,10 +225,11 @@ def _packed_minimizers(length: int, groups: int):
                 parts.append((h, q, np.full(len(h), doc), pos.astype(np.uint32)))
                 size += len(h)
                 if size > MINIMIZERS:
-                    yield packed()
+                    yield packed(parts)
                     parts, size = [], 0
-            if parts:
-                yield packed()
+        if parts:
+            yield packed(parts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
