@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, shuffle_partitions
@@ -195,99 +195,173 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = 3, seed: int
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_shingles", "component_id")
 
 
-#: 64-bit words of the fingerprints that tell similar texts, and the bytes in a posting key.
-WIDE, KEY_BYTES = 8, 2
-#: Lists up to this length are compared pair by pair at once.
-SHORT = 64
+#: Min-hash keys of a text and least hashes in a key: a pair of similarity 0.8 shares no key with probability 1.3e-7.
+BANDS, ROWS = 40, 5
+#: Texts of a block; the blocks of a list are compared two by two, so that a task holds two at most.
+BLOCK = 1_000
 
 
-def _wide_keys(batches):
-    for batch in (b.slice(i, 2_000) for b in batches for i in range(0, b.num_rows, 2_000)):
-        fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-        n = 8 * WIDE // KEY_BYTES
-        key = np.arange(n) << 16 | fp[:, ::2].astype(np.int64) << 8 | fp[:, 1::2]
-        at = np.repeat(np.arange(len(fp)), n)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["key", "node", "fp"])
+def _shingles(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    words = text.lower().split()
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], np.uint64)
+    at = [0, *np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()]
+    line = b" ".join(words)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[a : b - 1], seed) for a, b in zip(at, at[shingle:])), np.uint64))
 
 
-def _wide_edges(bits: int, least: int):
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which rows of a link to b: count filter on shared positional bytes, then verification bit by bit."""
-        x = a ^ b
-        keep = np.flatnonzero((x.view(np.uint8) == 0).sum(axis=1) >= least)
-        return keep[np.bitwise_count(x[keep]).sum(axis=1) <= bits]
+def _least_keys(shingle: int, seed: int):
+    """Per text, the hash of its shingle set (node) and its min-hash keys; a set without shingles has no keys."""
+    rng = np.random.default_rng(seed)
+    salt, odd = (rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+    number = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def edges(key: np.ndarray, node: np.ndarray, fp: np.ndarray):
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        short = np.repeat(sizes <= SHORT, sizes)
-        for d in range(1, min(SHORT, len(key))):
-            i = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
-            if not len(i):
-                break
-            i = i[near(fp[i], fp[i + d])]
-            yield np.c_[node[i], node[i + d]]
-        for a, n in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-            rest = np.arange(a, a + n)
-            while len(rest):
-                todo, rest = [rest[0]], rest[1:]
-                while todo and len(rest):
-                    one = todo.pop()
-                    hit = near(fp[rest], fp[one])
-                    if len(hit):
-                        yield np.c_[np.full(len(hit), node[one]), node[rest[hit]]]
-                        todo += rest[hit].tolist()
-                        rest = np.delete(rest, hit)
+    def keys(h: np.ndarray) -> np.ndarray:
+        least = np.full(BANDS * ROWS, ~np.uint64(0))
+        for i in range(0, len(h), 1024):
+            least = np.minimum(least, ((h[i : i + 1024] ^ salt) * odd).min(axis=1))
+        key = number.copy()
+        for column in least.reshape(BANDS, ROWS).T:
+            key = (key ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(29)
+        return key.view(np.int64)
+
+    def run(batches):
+        for batch in (b.slice(i, 2_000) for b in batches for i in range(0, b.num_rows, 2_000)):
+            node, found = [], []
+            for text in batch.column(2):
+                h = _shingles(text.as_py() or b"", shingle, seed)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), seed))
+                found.append(keys(h) if len(h) else np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), lists], ["doc_id", "code", "node", "keys"])
+
+    return run
 
-    def run(frames):
-        """The rows come sorted by key; a posting list may go on in the next frame."""
-        key, node, fp = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE), np.uint64)
-        frame = lambda found: pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *found]), columns=["src", "dst"])
-        for f in frames:
-            key, node = np.concatenate([key, f["key"].to_numpy()]), np.concatenate([node, f["node"].to_numpy()])
-            fp = np.concatenate([fp, np.frombuffer(b"".join(f["fp"]), np.uint64).reshape(-1, WIDE)])
-            last = np.searchsorted(key, key[-1]) if len(key) else 0
-            yield frame(edges(key[:last], node[:last], fp[:last]))
-            key, node, fp = key[last:], node[last:], fp[last:]
-        if len(key):
-            yield frame(edges(key, node, fp))
+
+def _sets(shingle: int, seed: int):
+    def run(batches):
+        for b in batches:
+            found = [_shingles(t.as_py() or b"", shingle, seed).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def _verified(similarity: float):
+    """Which pairs (src, dst, shingles of both) are alike."""
+
+    def alike(one: bytes, other: bytes) -> bool:
+        a, b = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+        if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both / (len(a) + len(b) - both) >= similarity
+
+    def run(batches):
+        for b in batches:
+            keep = [alike(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def differing_bits(similarity: float, spare: float = 1.8) -> int:
-    """Bits of a wide fingerprint in which texts of this Jaccard similarity of shingles differ: the expected number (the
-    angle between the shingle vectors over pi) and `spare` standard deviations."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * WIDE
-    return int(n * p + spare * (n * p * (1 - p)) ** 0.5)
+def _cross_links(similarity: float):
+    """Links between the components that meet in two blocks of a list (or in one): every pair of texts that are not
+    linked yet is compared by its whole shingle sets."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        node, label, block = (frame[c].to_numpy().copy() for c in ("node", "label", "block"))
+        sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        starts = np.cumsum(sizes) - sizes
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        names, counts = np.unique(label, return_counts=True)
+        apart, out = frame["p"].iloc[0] != frame["q"].iloc[0], []
+        marked = np.zeros(len(words), bool)
+        for i in np.flatnonzero(label != names[counts.argmax()]):
+            wanted = (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+            if apart:
+                wanted &= block != block[i]
+            if not wanted.any():
+                continue
+            own = at[starts[i] : starts[i] + sizes[i]]
+            marked[own] = True
+            both = np.add.reduceat(marked[at], starts, dtype=np.int64)
+            marked[own] = False
+            for j in np.flatnonzero(wanted & (both / (sizes + sizes[i] - both) >= similarity)):
+                if label[i] != label[j]:
+                    out.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
+    return run
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, least: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id): documents whose word shingles are alike by `similarity` or more link.
 
-    Such texts differ in about 78 of the 512 bits of a wide fingerprint, too many for eight bytes. Postings are kept for
-    the 32 pairs of neighbouring bytes; pairs within a list that share at least `least` of the 64 positional bytes are
-    verified bit by bit. Equal fingerprints stand in the index once; a long list links as a search from member to member.
-    The index finds a pair of similarity 0.8 with probability 0.9, more alike ones nearly always. Null texts and texts
-    without words link to one another; repeated rows come back as often as they stand."""
-    prints = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        .mapInArrow(_fingerprints(shingle, seed, WIDE), "doc_id long, fp binary, n_shingles long").select("doc_id", "fp")
-    )
-    first = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    n = shuffle_partitions(docs.sparkSession)
-    postings = first.select("node", "fp").mapInArrow(_wide_keys, "key long, node long, fp binary").repartition(n, "key").sortWithinPartitions("key")
-    found = postings.mapInPandas(_wide_edges(differing_bits(similarity), least), "src long, dst long").distinct()
-    groups = connected_components(found).withColumnRenamed("component", "component_id")
-    of = first.join(groups, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    return prints.join(of, "fp", "left").select("doc_id", "component_id")
+def _members(docs: DataFrame, shingle: int, similarity: float, seed: int) -> DataFrame:
+    """(doc_id, code: a hash of the text, first: the least (doc_id, code) of the component) of all rows with an id."""
+    code = F.xxhash64("text")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), code.alias("code"), F.col("text").cast("binary").alias("text"))
+    prints = cut(texts.mapInArrow(_least_keys(shingle, seed), "doc_id long, code long, node long, keys array<long>"))
+    first = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "code")).alias("first")))
+
+    # lists: the distinct sets that share a key
+    list_of = Window.partitionBy("key")
+    postings = prints.select("node", "keys").distinct().select("node", F.explode("keys").alias("key")).distinct()
+    lists = postings.select("key", "node", F.min("node").over(list_of).alias("low"), F.count("*").over(list_of).alias("n"))
+    lists = cut(lists.where("n > 1"))
+    some = first.join(lists.select("node").distinct(), "node").select("node", "first.doc_id", "first.code")
+    sets = texts.join(some, ["doc_id", "code"]).select("node", "text").mapInArrow(_sets(shingle, seed), "node long, shingles binary")
+    sets = cut(sets.distinct())
+
+    # every text of a list against the list's first
+    pairs = lists.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+    side = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
+    pairs = pairs.join(side("src", "one"), "src").join(side("dst", "other"), "dst").select("src", "dst", "one", "other")
+    links = cut(pairs.mapInArrow(_verified(similarity), "src long, dst long"))
+    labels = connected_components(links)
+
+    # lists that are still several components: all pairs across them, equal lists once
+    long = lists.where("n > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label"))
+    long = cut(long)
+    mixed = long.groupBy("key", "n").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.bit_xor(F.xxhash64("node")).alias("all")).where("a < b")
+    mixed = mixed.groupBy("all", "n").agg(F.min("key").alias("key")).select("key")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rest = long.join(mixed, "key").select("key", "node", "label", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rest = rest.select("key", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    more = rest.join(sets, "node").groupBy("key", "p", "q").applyInPandas(_cross_links(similarity), "src long, dst long")
+
+    component = connected_components(links.union(more))
+    of = first.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("first").alias("least"))
+    of = of.join(least, "component").select("node", F.col("least").alias("first"))
+    return prints.select("doc_id", "code", "node").join(of, "node").select("doc_id", "code", "first")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of word shingles have a Jaccard similarity of `similarity` or more
+    link; a component's id is its smallest doc_id.
+
+    Candidates share one of 40 keys, each made of five least hashes. Every text of such a list is compared with the list's
+    first by the whole sets; where that leaves a list in several components, all pairs across them are compared. So no
+    pair below the bound links, and one at 0.8 isn't met with probability 1.3e-7. Texts with fewer words than a shingle
+    count as one. Null texts and texts without words link to one another; repeated rows come back as often as they stand;
+    rows without an id have no component."""
+    found = _members(docs, shingle, similarity, seed).select("doc_id", F.col("first.doc_id").alias("component_id"))
+    none = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("component_id"))
+    return found.union(none)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """One document of each component of similar_documents() stays: its smallest doc_id; rows without an id stay."""
-    gone = similar_documents(docs, shingle, similarity, seed=seed).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component of similar_documents() stays: its smallest doc_id, of rows that share an id the one
+    with the least hash of its text. Rows that repeat id and text are one document; rows without an id stay."""
+    gone = _members(docs, shingle, similarity, seed).where("doc_id <> first.doc_id or code <> first.code")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("code").alias("_code")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_code"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir):

@@ -336,6 +336,37 @@ def test_similar_documents(spark, none):
     assert simhash.similar_documents(none).count() == 0 and len(got) == len(rows)
 
 
+def test_similar_documents_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = np.random.default_rng(11)
+    rows = []
+    for f in range(60):  # isolated pairs, and clouds around a text, of similarity 0.65 to 0.85
+        base = [f"f{f}w{i}" for i in range(204)]
+        for c in range(2 if f < 50 else 12):
+            w = list(base)
+            for at in rng.choice(40, int(rng.integers(4, 9)) if f < 50 else int(rng.integers(2, 5)), replace=False) if c else ():
+                w[5 * at + 2] = f"e{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(0, rows[2][1] + " x"), (0, "an other text of this id")]  # rows that share an id
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    group = list(range(len(rows)))
+    likeness = {}
+    for i in range(len(rows)):
+        for j in range(i):
+            likeness[j, i] = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if likeness[j, i] >= 0.8 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    assert sum(0.65 <= x < 0.8 for x in likeness.values()) > 20 and sum(0.8 <= x < 0.85 for x in likeness.values()) > 20
+    least = {}
+    for (i, _), g in zip(rows, group):
+        least[g] = min(i, least.get(g, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, least[g]) for (i, _), g in zip(rows, group))
+    assert sorted(map(tuple, simhash.similar_documents(df).collect())) == want
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect()]
+    assert len(kept) == len(set(group)) and rows[-1] in kept
+
+
 def test_pipeline_runs_on_awkward_rows(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
