@@ -221,7 +221,7 @@ def _packed_minimizers(length: int, groups: int):
                 if not len(h):
                     continue
                 own = _U(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little"))
-                q = (_mix(own ^ _mix(pos.astype(_U) + _U(1))) >> _U(32)).astype(np.uint32)
+                q = _mix(own ^ _mix(pos.astype(_U) + _U(1)))
                 parts.append((h, q, np.full(len(h), doc), pos.astype(np.uint32)))
                 size += len(h)
                 if size > MINIMIZERS:
@@ -236,7 +236,7 @@ def _packed_minimizers(length: int, groups: int):
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """The places of a bucket's hashes that stand at more than one place of different texts."""
-    h, q, doc, pos = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("h", np.uint64), ("q", np.uint32), ("doc", np.int64), ("pos", np.uint32)))
+    h, q, doc, pos = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("h", np.uint64), ("q", np.uint64), ("doc", np.int64), ("pos", np.uint32)))
     order = np.lexsort((doc, q, h))
     h, q, doc, pos = h[order], q[order], doc[order], pos[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (q[1:] != q[:-1])]

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -301,6 +302,27 @@ def test_repeated_bytes_go(docs, none, length):
     assert kept.columns == docs.columns and 8 not in {r.doc_id for r in kept.collect()}
 
 
+def test_texts_are_told_by_64_bits(spark):
+    tail = " " + " ".join(f"p{i}q" for i in range(40))
+    _, places = suffix.minimizers((f"{0:07d}" + tail).encode(), 100)
+    place = suffix._mix(np.array([places[len(places) // 2] + 1], np.uint64))
+    digest = lambda i: int.from_bytes(hashlib.blake2b((f"{i:07d}" + tail).encode(), digest_size=8).digest(), "little")
+    high = suffix._mix(np.array([digest(i) for i in range(300_000)], np.uint64) ^ place) >> np.uint64(32)
+    order = np.argsort(high, kind="stable")
+    same = np.flatnonzero(np.diff(high[order]) == 0)  # texts whose hashes of that place share their upper half
+    assert len(same)
+    rows = [(int(i), f"{i:07d}" + tail) for k in same for i in order[k : k + 2]]
+    batch = lambda two: pa.RecordBatch.from_arrays([pa.array([i for i, _ in two]), pa.array([t.encode() for _, t in two])], ["doc_key", "text"])
+    packed = lambda two: pa.Table.from_batches(list(suffix._packed_minimizers(100, 1)([batch(two)]))).to_pandas()
+    for a, b in zip(rows[::2], rows[1::2]):
+        got = suffix._shared(packed([a, b]))
+        assert sorted(got.doc_key.unique()) == sorted((a[0], b[0])) and len(got) == 2 * (got.doc_key == a[0]).sum()
+        assert int(places[len(places) // 2]) in set(got.pos)
+    df = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.deduplicate(df).collect()}
+    assert got == removed(rows[:2], 100)
+
+
 def test_quality(spark, none):
     good = [(i, text(60), "en", "s", 0, "") for i in range(60)]
     bad = [(i, text(60).upper().replace(" ", "!! "), "en", "s", 0, "") for i in range(60, 120)]
