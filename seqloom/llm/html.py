@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements that never hold readable text, elements that end a block, and elements without an end tag.
-SILENT = "script style noscript template svg math iframe object select button textarea title canvas audio video map datalist".split()
+# Elements that never hold readable text, those of them that run to the page's end where they aren't closed,
+# elements that end a block, and elements without an end tag.
+SILENT = "script style noscript template svg iframe object select button textarea title canvas audio video map datalist".split()
+RAW = "script style textarea title".split()
 BLOCK = (
     "html head body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main nav aside header "
     "footer form fieldset legend blockquote pre figure figcaption address hr details summary dialog center menu"
@@ -27,8 +29,11 @@ MARKED = (
 ).split()
 COMMENTS = {"comment", "comments", "respond", "reply", "replies", "disqus", "discussion"}
 
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<quiet>" + "|".join(SILENT) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=quiet)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])" + _REST + r"(?<=/)>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + _REST + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<quiet>" + "|".join(x for x in SILENT if x not in RAW) + r")(?=[\s/>])" + _REST + r">.*?</(?P=quiet)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.I | re.S,
 )

@@ -159,6 +159,16 @@ def test_html():
     assert all((html.decide(tree, r[:-1]) >= 0.5) == (r[-1] == 1) for r in rows)
 
 
+def test_html_keeps_what_follows_silent_elements():
+    text = lambda inside: html.main_text(f"<article><p>{inside}</p><p>c</p></article>")
+    assert text('a <svg class="i"/> b') == text("a <svg/> b") == text("a <svg><text>x</text></svg> b") == "a b\nc"
+    assert text("a <video-js>x</video-js> b") == text("a <title-bar>x</title-bar> b") == "a x b\nc"
+    assert text("a <math><mi>x</mi>=<mn>1</mn></math> b") == "a x=1 b\nc"
+    assert text("a <video src=x> b") == text("a <svg> b") == "a b\nc"
+    assert text("a <script>x") == text("a <style/>x") == "a"
+    assert text("a <script src='/'>x</script> b") == text("a <SELECT><option>x</SELECT > b") == "a b\nc"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (2, None, "<article><p>Hi</p></article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html.extract(pages).collect()) == [(1, "u", "", 0), (2, None, "Hi", 2)]
