@@ -35,8 +35,28 @@ def test_merges_agree_on_short_and_long_pieces(library):
     own = bpe.vocabulary(PATH, P.PATTERN)
     for n in (1, 2, 7, 90, 399, 400, 1300):
         piece = ("etaoinshrdlu" * 120)[n : 2 * n].encode()
-        assert bpe._merge_short(piece, own.ranks) == bpe._merge_long(piece, own.ranks) == library.encode_ordinary(piece.decode())
+        many = np.frombuffer(own.merges([b"q", piece, b"zx"])[1], "<u4").tolist()
+        assert many == bpe._merge_long(piece, own.ranks) == library.encode_ordinary(piece.decode())
 
 
 def test_empty_table(spark):
     assert bpe.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stretches_agree_with_the_library(library):
+    own, whole, rng = bpe.vocabulary(PATH, P.PATTERN), bpe.vocabulary(PATH, P.PATTERN, None), np.random.default_rng(3)
+    signs = [" ", " ", " ", "\n", "\t", "\r\n", " ", "　", "\x1c", "\x85", "​", "a", "word", "don't", "'s", "12", "é", "中", "!", "..", "😀"]
+    for n in [*range(12), *[30] * 300]:
+        t = "".join(rng.choice(signs, n))
+        got = own.encode([t])[0]
+        assert np.frombuffer(got, "<u4").tolist() == library.encode_ordinary(t), repr(t)
+        assert own.decode(got).decode() == t
+        assert got == whole.encode([t])[0]
+
+
+def test_null_ids_and_long_documents_that_repeat(spark, library):
+    long = "some words, 12 of them\n\n" * 20
+    rows = [(None, long), (None, long), (None, "x y"), (7, long), (7, long + "z")]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH, P.PATTERN, chunk=100, overlap=40).collect()
+    key = lambda i: -1 if i is None else i
+    assert sorted((key(r.doc_id), list(np.frombuffer(r.ids, "<u4"))) for r in got) == sorted((key(i), library.encode_ordinary(t)) for i, t in rows)
