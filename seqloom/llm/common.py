@@ -15,11 +15,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session takes a
+    temporary folder; on a cluster, where driver and executors have disks of their own, that is an error."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="seqloom-")
     return _own_dir
@@ -51,6 +54,14 @@ def drop_cut(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of at most so many rows from now on: whole texts are long, and both sides of a Python stage hold a
     batch in memory. A smaller setting of the session stays."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, unused
 
 #: Bytes whose hash selects the places where a repeat is looked for.
 GRAM = 24
@@ -196,33 +196,33 @@ def minimizers(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*hashes, np.zeros(0, _U)]), np.concatenate([*places, np.zeros(0, np.int64)])
 
 
+def _place(code: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """64 bits of a place: the same for the same place of equal texts."""
+    return _mix(code.view(_U) ^ _mix(pos.astype(_U) + _U(1)))
+
+
 def _packed_minimizers(length: int, groups: int):
-    names = ["bucket", "h", "q", "doc", "pos"]
+    names = ["bucket", "h", "doc", "code", "pos"]
 
     def packed(parts):
-        h, q, doc, pos = (np.concatenate(x) for x in zip(*parts))
-        bucket = (h >> _U(33)) % _U(groups)
+        h, doc, code, pos = (np.concatenate(x) for x in zip(*parts))
+        bucket, q = (h >> _U(33)) % _U(groups), _place(code, pos)
         order = np.lexsort((doc, q, h, bucket))
-        bucket, h, q, doc, pos = bucket[order], h[order], q[order], doc[order], pos[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (q[1:] != q[:-1])]  # of equal texts, the first speaks for all
-        bucket, h, q, doc, pos = bucket[new], h[new], q[new], doc[new], pos[new]
+        order = order[np.r_[True, (np.diff(h[order]) != 0) | (np.diff(q[order]) != 0)]]  # of equal texts, the first speaks for all
+        bucket, h, doc, code, pos = (x[order] for x in (bucket, h, doc, code, pos))
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         ends = [*cuts[1:], len(bucket)]
         raw = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), raw(h), raw(q), raw(doc), raw(pos)], names)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), raw(h), raw(doc), raw(code), raw(pos)], names)
 
     def run(batches):
         parts, size = [], 0
         for batch in batches:
-            texts = batch.column(1)
-            for i, doc in enumerate(batch.column(0).to_numpy()):
-                text = texts[i].as_py()
+            for doc, code, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), (t.as_py() for t in batch.column(2))):
                 h, pos = minimizers(text, length)
                 if not len(h):
                     continue
-                own = _U(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little"))
-                q = _mix(own ^ _mix(pos.astype(_U) + _U(1)))
-                parts.append((h, q, np.full(len(h), doc), pos.astype(np.uint32)))
+                parts.append((h, np.full(len(h), doc), np.full(len(h), code), pos.astype(np.uint32)))
                 size += len(h)
                 if size > MINIMIZERS:
                     yield packed(parts)
@@ -236,14 +236,14 @@ def _packed_minimizers(length: int, groups: int):
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     """The places of a bucket's hashes that stand at more than one place of different texts."""
-    h, q, doc, pos = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("h", np.uint64), ("q", np.uint64), ("doc", np.int64), ("pos", np.uint32)))
+    kinds = {"h": np.uint64, "doc": np.int64, "code": np.int64, "pos": np.uint32}
+    h, doc, code, pos = (np.frombuffer(b"".join(frame[c]), t) for c, t in kinds.items())
+    q = _place(code, pos)
     order = np.lexsort((doc, q, h))
-    h, q, doc, pos = h[order], q[order], doc[order], pos[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (q[1:] != q[:-1])]
-    h, doc, pos = h[new], doc[new], pos[new]
-    same = h[1:] == h[:-1]
-    keep = np.r_[same, False] | np.r_[False, same]
-    return pd.DataFrame({"doc_key": doc[keep], "pos": pos[keep].astype(np.int32)})
+    order = order[np.r_[True, (np.diff(h[order]) != 0) | (np.diff(q[order]) != 0)]]
+    same = np.diff(h[order]) == 0
+    keep = order[np.r_[same, False] | np.r_[False, same]]
+    return pd.DataFrame({"doc_key": doc[keep], "code": code[keep], "pos": pos[keep].astype(np.int32)})
 
 
 def _contexts(length: int, groups: int):
@@ -312,36 +312,75 @@ def _repeats(length: int):
         is_first = np.r_[True, of[1:] != of[:-1]]
         first, keys = at[is_first], list(classes)
         sizes = np.array([len(c) for c, _ in keys])
-        # a later occurrence of a whole context goes in one stretch
-        again = at[~is_first & (sizes[of] >= length)]
-        out = [np.c_[again, again[:, 2] + sizes[of[~is_first & (sizes[of] >= length)]]]]
+        # a later occurrence of a whole context goes in one stretch (a repeated row is the first occurrence again)
+        again = (at != at[np.flatnonzero(is_first)[np.cumsum(is_first) - 1]]).any(axis=1) & (sizes[of] >= length)
+        out = [np.c_[at[again], at[again, 2] + sizes[of[again]]]]
+
+        def search(part: list[int], parts: list[tuple[int, int]] | None = None):
+            """Contexts `part`, or stretches (from, to) of them, go into one array."""
+            lows = np.zeros(len(part), np.int64) if parts is None else np.array([a for a, _ in parts])
+            who = first[part].copy()
+            who[:, 2] += lows
+            texts = [keys[i][0] for i in part] if parts is None else [keys[i][0][a:b] for i, (a, b) in zip(part, parts)]
+            hit = earlier(texts, who)
+            if len(hit):
+                hit = hit[np.lexsort((hit[:, 1], hit[:, 0]))]
+                new = np.r_[True, (np.diff(hit[:, 0]) != 0) | (np.diff(hit[:, 1]) != 1)]
+                a, b = hit[new], hit[np.r_[new[1:], True]]
+                who = who[a[:, 0]]
+                out.append(np.c_[who[:, :2], who[:, 2] + a[:, 1], who[:, 2] + b[:, 1] + length])
+
+        def split(part: list[int], least: int, most: int):
+            """Contexts of one gram, for strings with `least` to `most` bytes before it. All of those hold the same bytes
+            around the gram, which deal the contexts into smaller parts; a context alone in its part has no repeat."""
+            dealt = defaultdict(list)
+            for i in part:
+                c, x = keys[i]
+                held = c[x - least : x + length - most] if x >= least and len(c) - x >= length - most else None
+                if held is not None:
+                    dealt[held].append(i)
+            for some in dealt.values():
+                spans = [(max(0, keys[i][1] - most), min(len(keys[i][0]), keys[i][1] - least + length)) for i in some]
+                if len(some) == 1:
+                    continue
+                if least == most:  # one and the same string
+                    who = first[some] + np.array([[0, 0, a] for a, _ in spans])
+                    who = who[np.lexsort(who.T[::-1])]
+                    who = who[(who != who[0]).any(axis=1)]
+                    out.append(np.c_[who, who[:, 2] + length])
+                elif sum(b - a for a, b in spans) <= ARRAY_BYTES:
+                    search(some, spans)
+                else:
+                    middle = (least + most) // 2
+                    split(some, least, middle)
+                    split(some, middle + 1, most)
+
+        part, size = [], 0
         by_gram = sorted(range(len(keys)), key=lambda i: keys[i][0][keys[i][1] : keys[i][1] + GRAM])
-        part, size, gram = [], 0, None
-        for i in [*by_gram, None]:
-            now = None if i is None else keys[i][0][keys[i][1] : keys[i][1] + GRAM]
-            if part and (i is None or size >= ARRAY_BYTES and now != gram):
-                hit = earlier([keys[j][0] for j in part], first[part])
-                if len(hit):
-                    hit = hit[np.lexsort((hit[:, 1], hit[:, 0]))]
-                    new = np.r_[True, (np.diff(hit[:, 0]) != 0) | (np.diff(hit[:, 1]) != 1)]
-                    a, b = hit[new], hit[np.r_[new[1:], True]]
-                    who = first[np.array(part)[a[:, 0]]]
-                    out.append(np.c_[who[:, :2], who[:, 2] + a[:, 1], who[:, 2] + b[:, 1] + length])
+        for _, same in groupby(by_gram, key=lambda i: keys[i][0][keys[i][1] : keys[i][1] + GRAM]):
+            same = list(same)
+            own = int(sizes[same].sum())
+            if own > 2 * ARRAY_BYTES:
+                split(same, 0, length - GRAM)
+                continue
+            part, size = part + same, size + own
+            if size >= ARRAY_BYTES:
+                search(part)
                 part, size = [], 0
-            if i is not None:
-                part.append(i)
-                size += sizes[i]
-                gram = now
+        if part:
+            search(part)
         return pd.DataFrame(np.concatenate(out), columns=["doc_key", "code", "start", "stop"])
 
     return run
 
 
 def _kept(length: int):
+    """The last two columns are the text and its spans; the ones before stay."""
+
     def run(batches):
         for batch in (b.slice(i, DOCUMENTS) for b in batches for i in range(0, b.num_rows, DOCUMENTS)):
             out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+            for text, spans in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 merged: list[list[int]] = []
                 for s in sorted((x["start"], x["stop"]) for x in spans or ()):
                     if merged and s[0] <= merged[-1][1]:
@@ -353,8 +392,8 @@ def _kept(length: int):
                 out.append((len(text), len(text) - len(kept), len(merged), kept))
             n, removed, spans, kept = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c not in ("text", "spans")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                [*(c for c in batch.schema.names if c not in ("text", "spans")), "n_bytes", "n_removed", "n_spans", "kept"],
+                [*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return run
@@ -371,10 +410,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     several = ids.groupBy("sha").agg(F.min("doc_key").alias("first"), F.count("*").alias("c")).where("c > 1")
     copies = ids.where(F.col("n") >= length).join(several, "sha").where("doc_key > first").select("doc_key", "code", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"))
 
-    packed = docs.select("doc_key", "text").mapInArrow(_packed_minimizers(length, groups), "bucket int, h binary, q binary, doc binary, pos binary")
-    shared = packed.groupBy("bucket").applyInPandas(_shared, "doc_key long, pos int")
-    places = cut(shared.groupBy("doc_key").agg(F.collect_list("pos").alias("places")))
-    contexts = docs.join(places, "doc_key").select("doc_key", "code", "text", "places")
+    packed = docs.select("doc_key", "code", "text").mapInArrow(_packed_minimizers(length, groups), "bucket int, h binary, doc binary, code binary, pos binary")
+    shared = packed.groupBy("bucket").applyInPandas(_shared, "doc_key long, code long, pos int")
+    places = cut(shared.groupBy("doc_key", "code").agg(F.collect_set("pos").alias("places")))
+    contexts = docs.join(places, ["doc_key", "code"]).select("doc_key", "code", "text", "places")
     contexts = cut(contexts.mapInArrow(_contexts(length, groups), "shard int, context array<binary>, left binary, count binary, at binary"))
     found = contexts.groupBy("shard").applyInPandas(_repeats(length), "doc_key long, code long, start long, stop long")
     spans = cut(found.union(copies).groupBy("doc_key", "code").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
@@ -393,12 +432,13 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
     Equal strings share a gram of least hash. Places whose gram stands elsewhere too are found by hash bucket; the
     bytes around them go to the shard of the gram, equal contexts once, and each shard sorts their suffixes."""
     new = ["n_bytes", "n_removed", "n_spans", "kept"]
-    names = [c for c in docs.columns if c not in (*new, "text")]
-    keyed = docs.select(*names, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    keyed = keyed.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_code", F.xxhash64("text"))
-    spans = repeated_spans(keyed.select(F.col("_key").alias("doc_key"), F.col("_code").alias("code"), "text"), length)
-    spans = spans.withColumnRenamed("doc_key", "_key").withColumnRenamed("code", "_code")
-    rows = keyed.join(spans, ["_key", "_code"], "left").select(*names, "text", "spans")
+    names = [c for c in docs.columns if c.lower() not in (*new, "text")]
+    key, code, spans, body = (unused(c, [*names, *new]) for c in ("key", "code", "spans", "body"))
+    keyed = docs.select(*names, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(body))
+    keyed = keyed.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(code, F.xxhash64(body))
+    found = repeated_spans(keyed.select(F.col(key).alias("doc_key"), F.col(code).alias("code"), F.col(body).alias("text")), length)
+    found = found.withColumnsRenamed({"spans": spans, "doc_key": key, "code": code})
+    rows = keyed.join(found, [key, code], "left").select(*names, body, spans)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return rows.mapInArrow(_kept(length), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary")
 
