@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: Default frequency bands in Hz, half open.
@@ -22,22 +24,38 @@ def segments(x: np.ndarray, size: int, hop: int) -> tuple[np.ndarray, np.ndarray
     return x[at], seen[at]
 
 
+SCALINGS = {"density": "psd", "psd": "psd", "spectrum": "power_spectrum", "power_spectrum": "power_spectrum", "magnitude": "magnitude"}
+
+
 def spectrogram(x: np.ndarray, rate: float = 20.0, size: int = 32, overlap: int | None = None, scaling: str = "density"):
-    """(frequencies, power (frames, bins)): periodic Hann window, mean removed per frame, one-sided; powers are divided
-    by the share of window energy that lies on observed samples."""
+    """(frequencies, values (frames, bins)): periodic Hann window, mean removed per frame, one-sided. Powers count both
+    sides of the spectrum; densities are divided by the share of window energy that lies on observed samples (a frame
+    without any is 0); magnitudes are plain absolute values."""
     hop = size - (size // 2 if overlap is None else overlap)
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
     frames, seen = segments(np.asarray(x, float), size, hop)
-    spectrum = np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window, axis=1)
-    magnitude = np.abs(spectrum) / window.sum()
-    power = np.abs(spectrum) ** 2 / (rate * (window**2).sum() if scaling == "density" else window.sum() ** 2)
-    inner = slice(1, size // 2 if size % 2 == 0 else None)
-    power[:, inner] *= 2
-    magnitude[:, inner] *= 2
-    share = (seen * window**2).sum(axis=1) / (window**2).sum()
-    share = np.where(share > 0, share, 1.0)[:, None]
-    out = magnitude / np.sqrt(share) if scaling == "magnitude" else power / share
-    return np.fft.rfftfreq(size, 1 / rate), out
+    magnitude = np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window, axis=1))
+    kind, f = SCALINGS[scaling], np.fft.rfftfreq(size, 1 / rate)
+    if kind == "magnitude":
+        return f, magnitude / window.sum()
+    power = magnitude**2
+    power[:, 1 : size // 2 if size % 2 == 0 else None] *= 2
+    if kind == "power_spectrum":
+        return f, power / window.sum() ** 2
+    energy = (window**2).sum()
+    share = (seen * window**2).sum(axis=1, keepdims=True) / energy
+    return f, np.where(share > 0, power / (rate * energy * np.where(share > 0, share, 1.0)), 0.0)
+
+
+def mean_density(x: np.ndarray, rate: float, size: int) -> np.ndarray:
+    """Mean one-sided power density of the whole half-overlapping Hann frames of x, the mean of each removed."""
+    size = max(1, min(size, len(x)))
+    at = np.arange(0, max(1, len(x) - size + 1), max(1, size // 2))[:, None] + np.arange(size)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if size > 1 else np.ones(1)
+    frames = x[at] if len(x) else np.zeros((1, 1))
+    power = np.abs(np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2
+    power[:, 1 : size // 2 if size % 2 == 0 else None] *= 2
+    return power.mean(axis=0) / (rate * (window**2).sum())
 
 
 def entropy_bits(p: np.ndarray) -> float:
@@ -48,88 +66,128 @@ def entropy_bits(p: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def spectrum_summary(f: np.ndarray, power: np.ndarray, hop_seconds: float, bands=BANDS) -> dict[str, float]:
-    """Numbers about a spectrogram: level, peak, centroid, spread, entropy, slope over time, flux and band powers."""
-    mean, total = power.mean(axis=0), power.sum()
-    frame = power.sum(axis=1)
-    weight = mean.sum()
-    centroid = float((f * mean).sum() / weight) if weight > 0 else 0.0
-    t = np.arange(len(frame)) * hop_seconds
-    peak = np.unravel_index(power.argmax(), power.shape)
-    shape = power / np.where(frame > 0, frame, 1.0)[:, None]
-    out = {
-        "mean": power.mean(), "std": power.std(), "max": power.max(), "min": power.min(), "median": float(np.median(power)), "sum": total,
-        "peak_frequency": f[peak[1]], "peak_time": t[peak[0]], "mean_power": frame.mean() * (f[1] - f[0]), "centroid": centroid,
-        "spread": float(np.sqrt((((f - centroid) ** 2) * mean).sum() / weight)) if weight > 0 else 0.0, "entropy_bits": entropy_bits(mean),
-        "slope": float(np.polyfit(t, frame, 1)[0]) if len(t) > 1 else 0.0, "log_mean": float(np.log1p(power).mean()), "log_std": float(np.log1p(power).std()), "log_max": float(np.log1p(power.max())),
-        "flux": float(np.sqrt((np.diff(shape, axis=0) ** 2).sum(axis=1)).mean()) if len(shape) > 1 else 0.0,
-    }
-    for i, (low, high) in enumerate(bands):
-        inside = (f >= low) & (f < high)
-        power_in = float(power[:, inside].sum())
-        out |= {f"band{i}_power": power_in, f"band{i}_fraction": power_in / total if total > 0 else 0.0, f"band{i}_resolved": float(inside.any())}
+def slope(t: np.ndarray, y: np.ndarray) -> float:
+    """Of the least-squares line; 0 for a single point."""
+    t = t - t.mean() if len(t) else t
+    return float((t * y).sum() / (t * t).sum()) if len(t) > 1 else 0.0
+
+
+def levels(v: np.ndarray) -> dict[str, float]:
+    return {"mean": v.mean(), "std": v.std(), "max": v.max(), "min": v.min(), "median": np.median(v), "sum": v.sum()}
+
+
+def spectrum_summary(f: np.ndarray, values: np.ndarray, hop_seconds: float, bands=BANDS, scaling: str = "density") -> dict[str, float]:
+    """Numbers about a spectrogram: levels, peak, log levels and the flux between the frames' normalised spectra; of
+    densities also mean power, centroid, spread, entropy, course over time and band powers."""
+    t, kind = np.arange(len(values)) * hop_seconds, SCALINGS[scaling]
+    peak = np.unravel_index(values.T.argmax(), values.T.shape)
+    out = {f"{kind}_{k}": v for k, v in levels(values).items()} | {"peak_frequency_hz": f[peak[0]], "peak_time_s": t[peak[1]]}
+    if kind == "psd":
+        step = f[1] - f[0]
+        weights, frame = values.mean(axis=0) * step, values.sum(axis=1) * step
+        power = weights.sum()
+        centroid = (f * weights).sum() / power if power else 0.0
+        out |= {
+            "mean_power": power, "power_std_across_frames": frame.std(), "spectral_centroid_hz": centroid,
+            "spectral_spread_hz": np.sqrt(((f - centroid) ** 2 * weights).sum() / power) if power else 0.0, "spectral_entropy_bits": entropy_bits(weights),
+            "temporal_power_mean": frame.mean(), "temporal_power_std": frame.std(), "temporal_power_slope_per_s": slope(t, frame),
+        }
+        for i, (low, high) in enumerate(bands):
+            inside = (f >= low) & (f < high)
+            band = weights[inside].sum()
+            out |= {f"band{i}_mean_power": band, f"band{i}_power_fraction": band / power if power > 0 else 0.0, f"band{i}_resolved": inside.any()}
+    logs = np.log1p(values)
+    shape = values / np.maximum(values.sum(axis=1, keepdims=True), np.finfo(float).tiny)
+    flux = np.abs(np.diff(shape, axis=0)).sum(axis=1) if len(shape) > 1 else np.zeros(1)
+    out |= {f"log1p_{kind}_mean": logs.mean(), f"log1p_{kind}_std": logs.std(), f"log1p_{kind}_max": logs.max()}
+    out |= {f"{kind}_normalized_flux_mean": flux.mean(), f"{kind}_normalized_flux_std": flux.std(), f"{kind}_normalized_flux_max": flux.max()}
     return {k: float(v) for k, v in out.items()}
 
 
-#: Oscillations per unit of scale of the Morlet wavelet exp(-x^2 / 2) cos(5 x).
-MORLET_CENTRE = 0.8125
+#: Oscillations per unit of scale of the Morlet wavelet exp(-x^2 / 2) cos(5 x), and where it ends on both sides.
+MORLET_CENTRE, MORLET_END = 0.8125, 8.0
+
+
+def integrated_morlet(points: int = 1 << 12) -> tuple[np.ndarray, float]:
+    """The running integral of the wavelet over its support, and the distance of its points."""
+    x = np.linspace(-MORLET_END, MORLET_END, points)
+    return np.cumsum(np.exp(-(x**2) / 2) * np.cos(5 * x)) * (x[1] - x[0]), x[1] - x[0]
 
 
 def scalogram(x: np.ndarray, scales: np.ndarray):
-    """(coefficients (scales, n), inside (scales, n)): convolution with stretched Morlet wavelets of unit energy, and
-    which values lie outside the cone of influence of both ends."""
-    n = len(x)
+    """(coefficients (scales, n), inside (scales, n)): the signal against the wavelet's integral at each scale, then
+    differences (as exact as the integral, also for scales near one sample), and which values both ends leave alone."""
+    n, (integral, step) = len(x), integrated_morlet()
     out, inside = np.zeros((len(scales), n)), np.zeros((len(scales), n), bool)
     for i, s in enumerate(scales):
-        reach = int(np.ceil(4 * s))
-        t = np.arange(-reach, reach + 1) / s
-        kernel = np.exp(-(t**2) / 2) * np.cos(5 * t) / np.sqrt(s)
-        full = np.convolve(x, kernel[::-1])
-        out[i] = full[reach : reach + n]
-        edge = int(np.ceil(np.sqrt(2) * s))
-        inside[i, edge : n - edge] = True
+        at = (np.arange(s * 2 * MORLET_END + 1) / (s * step)).astype(int)
+        full = -np.sqrt(s) * np.diff(np.convolve(x, integral[at[at < len(integral)]][::-1]))
+        spare = (len(full) - n) / 2
+        out[i] = full[int(np.floor(spare)) : len(full) - int(np.ceil(spare))] if spare > 0 else full
+        edge = int(np.ceil(MORLET_END * s / 2))
+        inside[i, edge : max(edge, n - edge)] = True
     return out, inside
 
 
-def scale_range(rate: float, n_scales: int = 32, max_scale: float = 128.0, max_frequency: float | None = None) -> np.ndarray:
-    top = min(max_frequency or 0.4 * rate, rate / 2)
-    low = MORLET_CENTRE * rate / top
-    if low > max_scale:
+def scale_range(rate: float, n_scales: int = 32, max_scale: float = 128.0, max_frequency: float | None = None, min_scale: float | None = None) -> np.ndarray:
+    """Geometric scales from that of the highest frequency; none may lie above the Nyquist frequency."""
+    top = 0.4 * rate if max_frequency is None else max_frequency
+    if not 0 < top <= rate / 2:
+        raise ValueError("the highest frequency must lie between 0 and half the rate")
+    low = MORLET_CENTRE * rate / top if min_scale is None else min_scale
+    if low <= 0 or low > max_scale:
         raise ValueError("the largest scale lies above the highest frequency")
+    if MORLET_CENTRE * rate / low > rate / 2 * (1 + 1e-12):
+        raise ValueError("scales lie above the Nyquist frequency")
     return np.geomspace(low, max_scale, n_scales)
 
 
 def scalogram_summary(x: np.ndarray, scales: np.ndarray, rate: float) -> dict[str, float]:
-    """Numbers about the wavelet power outside the cone of influence; zeros for signals without any value."""
-    known = np.isfinite(x)
-    names = ("mean", "std", "max", "median", "sum", "dominant_scale", "dominant_frequency", "entropy_bits", "ridge_scale", "boundary_fraction", "valid_fraction", "log_mean")
-    if not known.any():
-        return dict.fromkeys(names, 0.0)
-    x = np.where(known, x, 0.0) - x[known].mean()
-    coefficients, inside = scalogram(x, scales)
-    power = coefficients**2
-    p = np.where(inside, power, 0.0)
-    some = power[inside] if inside.any() else np.zeros(1)
-    per_scale = p.sum(axis=1) / np.maximum(inside.sum(axis=1), 1)
-    best = int(per_scale.argmax())
-    peaks = (power[1:-1] > power[:-2]) & (power[1:-1] > power[2:]) & inside[1:-1]
-    ridge = scales[1:-1][:, None] * peaks
-    return {
-        "mean": float(some.mean()), "std": float(some.std()), "max": float(some.max()), "median": float(np.median(some)), "sum": float(some.sum()),
-        "dominant_scale": float(scales[best]), "dominant_frequency": float(MORLET_CENTRE * rate / scales[best]), "entropy_bits": entropy_bits(per_scale),
-        "ridge_scale": float(ridge.sum() / max(1, peaks.sum())), "boundary_fraction": float(1 - inside.mean()), "valid_fraction": float(known.mean()), "log_mean": float(np.log1p(some).mean()),
+    """Numbers about the wavelet magnitudes that both ends leave alone: 27 of them and three of their logarithms. Signals
+    without any value give zeros and a boundary fraction of 1; nulls inside a signal are an error."""
+    if len(x) and np.isfinite(x).any():
+        if not np.isfinite(x).all():
+            raise ValueError("a wavelet transform needs values without gaps")
+        coefficients, inside = scalogram(x, scales)
+        blank = False
+    else:
+        coefficients, inside, blank = np.zeros((len(scales), 1)), np.zeros((len(scales), 1), bool), True
+    magnitude = np.where(inside, np.abs(coefficients), 0.0)
+    some = magnitude[inside] if inside.any() else np.zeros(1)
+    per_scale, per_time = (magnitude.sum(axis=k) / np.maximum(inside.sum(axis=k), 1) for k in (1, 0))
+    best, third, total = int(per_scale.argmax()), len(scales) // 3, per_scale.sum()
+    inner = magnitude[1:-1]
+    ridge = inner[(inner > magnitude[:-2]) & (inner > magnitude[2:])] if len(scales) > 2 else np.zeros(0)
+    share = lambda part: part.sum() / total if total > 0 and third else 0.0
+    logs = np.log1p(some)
+    out = {f"{k}_magnitude": v for k, v in levels(some).items()} | {
+        "coefficient_power_mean": (some**2).mean(), "scale_mean_max_magnitude": per_scale.max(), "scale_mean_min_magnitude": per_scale.min(),
+        "scale_mean_std_magnitude": per_scale.std(), "dominant_scale": 0.0 if blank else scales[best], "dominant_frequency_hz": 0.0 if blank else MORLET_CENTRE * rate / scales[best],
+        "dominant_scale_mean_magnitude": per_scale.max(), "scale_entropy_bits": entropy_bits(per_scale), "temporal_mean_magnitude": per_time.mean(),
+        "temporal_std_magnitude": per_time.std(), "temporal_entropy_bits": entropy_bits(per_time), "temporal_slope_per_s": slope(np.arange(len(per_time)) / rate, per_time),
+        "boundary_fraction": 1 - inside.mean(), "low_scale_magnitude_fraction": share(per_scale[:third]), "mid_scale_magnitude_fraction": share(per_scale[third : 2 * third]),
+        "high_scale_magnitude_fraction": share(per_scale[2 * third :]), "ridge_mean": ridge.mean() if len(ridge) else 0.0, "ridge_std": ridge.std() if len(ridge) else 0.0,
+        "ridge_count_per_sample": len(ridge) / max(1, len(per_time)), "variance_to_mean_scale_magnitude": per_scale.var() / per_scale.mean() if per_scale.mean() > 0 else 0.0,
+        "valid_coefficient_fraction": inside.mean(), "log1p_magnitude_mean": logs.mean(), "log1p_magnitude_std": logs.std(), "log1p_magnitude_max": logs.max(),
     }
+    return {k: float(v) for k, v in out.items()}
+
+
+def low_pass(widest: int) -> np.ndarray:
+    """Filter of unit sum that ends at the `widest`-th part of the highest frequency: ten zero crossings on either side."""
+    t = np.arange(-10 * widest, 10 * widest + 1)
+    taps = np.sinc(t / widest) * np.kaiser(len(t), 5.0)
+    return taps / taps.sum()
 
 
 def polyphase(x: np.ndarray, up: int, down: int) -> np.ndarray:
     """x at up / down times its rate through a Kaiser-windowed low-pass filter."""
+    common = math.gcd(up, down)
+    up, down = up // common, down // common
     if up == down or not len(x):
         return x.copy()
-    widest = max(up, down)
-    half = 10 * widest
-    t = np.arange(-half, half + 1)
-    taps = np.sinc(t / widest) / widest * np.kaiser(2 * half + 1, 5.0)
-    taps *= up / taps.sum()
+    taps = low_pass(max(up, down)) * up
+    half = len(taps) // 2
     wide = np.zeros(len(x) * up)
     wide[::up] = x
     weight = np.zeros(len(x) * up)

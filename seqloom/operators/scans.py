@@ -1,40 +1,48 @@
-"""Recurrences along a sequence as array folds: exponential smoothing and the scalar Kalman filter."""
+"""Recurrences along a sequence: exponential smoothing and the Kalman filter, in time linear in the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
+from . import sequences
 from .windows import AT, SEQ
 
 
-def _scan(df: DataFrame, x: str, out: str, start, advance) -> DataFrame:
-    """Per sequence, fold `advance` over x in counter order and put each state's value on its row. start and advance make
-    structs whose field `y` is the value."""
-    rows = df.groupBy(SEQ).agg(F.array_sort(F.collect_list(F.struct(AT, F.col(x).cast("double").alias("x")))).alias("xs"))
-    empty = F.array().cast("array<double>")
-    first, rest = F.col("xs")[0]["x"], F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0)))
-    state = F.struct(start(first).alias("s"), F.concat(empty, F.array(start(first)["y"])).alias("ys"))
-    def merge(acc: Column, row: Column) -> Column:
-        new = advance(acc["s"], row["x"])
-        return F.struct(new.alias("s"), F.concat(acc["ys"], F.array(new["y"])).alias("ys"))
-    rows = rows.withColumn("ys", F.aggregate(rest, state, merge, lambda acc: acc["ys"]))
-    return rows.select(SEQ, F.explode(F.arrays_zip(F.transform("xs", lambda r: r[AT]).alias("t"), F.col("ys").alias("y"))).alias("r")).select(SEQ, F.col("r.t").alias(AT), F.col("r.y").alias(out))
+def exponential_mean(df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
+    """y0 = x0, then y = (1 - alpha) y + alpha x; from a null on, nulls. Returns (sequence_id, sequence_counter, out)."""
 
+    def make(frame, at):
+        def advance(s, v, t):
+            y = (1 - alpha) * s[0] + alpha * v
+            return (y,), y
 
-def exponential_mean(df: DataFrame, x: str, alpha: float, out: str) -> DataFrame:
-    """y0 = x0, then y = (1 - alpha) y + alpha x. Returns (sequence_id, sequence_counter, out)."""
-    return _scan(df, x, out, lambda v: F.struct(v.alias("y")), lambda s, v: F.struct(((1 - alpha) * s["y"] + alpha * v).alias("y")))
+        return {out: sequences.fold(frame[x].to_numpy(float), at, lambda v: ((v,), v), advance)}
+
+    return sequences.along(df.select(SEQ, AT, x), make, [out]).select(SEQ, AT, out)
+
+
+def smoothed(df: DataFrame, names: dict[str, str], process_noise: float = 1e-3, measurement_noise: float = 1e-2) -> DataFrame:
+    """df with names[x] (new or in place) from x by a scalar Kalman filter each, which starts at the first value with
+    variance 1; nulls count as 0. The gain depends on the place in the sequence alone."""
+
+    def make(frame, at):
+        longest = int(np.diff(at).max())
+        gains, p = np.empty(longest), 1.0
+        for t in range(longest):
+            p += process_noise
+            gains[t] = p / (p + measurement_noise)
+            p *= 1 - gains[t]
+
+        def advance(s, v, t):
+            y = s[0] + gains[t] * (v - s[0])
+            return (y,), y
+
+        return {y: sequences.fold(np.nan_to_num(frame[x].to_numpy(float)), at, lambda v: ((v,), v), advance) for x, y in names.items()}
+
+    return sequences.along(df, make, [y for x, y in names.items() if y not in df.columns])
 
 
 def kalman(df: DataFrame, x: str, out: str, process_noise: float = 1e-3, measurement_noise: float = 1e-2) -> DataFrame:
-    """Scalar Kalman filter that starts at the first value with variance 1; nulls count as 0."""
-    value = lambda v: F.coalesce(v, F.lit(0.0))
-    def start(v):
-        gain = F.lit((1.0 + process_noise) / (1.0 + process_noise + measurement_noise))
-        return F.struct(value(v).alias("y"), ((1 - gain) * (1.0 + process_noise)).alias("p"))
-    def advance(s, v):
-        p = s["p"] + process_noise
-        gain = p / (p + measurement_noise)
-        return F.struct((s["y"] + gain * (value(v) - s["y"])).alias("y"), ((1 - gain) * p).alias("p"))
-    return _scan(df, x, out, start, advance)
+    """Returns (sequence_id, sequence_counter, out)."""
+    return smoothed(df.select(SEQ, AT, x), {x: out}, process_noise, measurement_noise).select(SEQ, AT, out)

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import numeric as nm
 
+from .sequences import along, bounds, whole_sequences
 from .windows import AT, SEQ, entire, position
 
 
-def _per_sequence(df: DataFrame, signals: list[str], make, names: list[str]) -> DataFrame:
-    """(sequence_id, signal, names...) of make(values) for every sequence and signal."""
+def _per_sequence(df: DataFrame, signals: list[str], make, names: list[str], uniform: bool = False) -> DataFrame:
+    """(sequence_id, signal, names...) of make(values) for every sequence and signal. With `uniform`, a sequence whose
+    counter doesn't rise by one from row to row is an error. Partitions follow the size of the table."""
     kind = df.schema[SEQ].dataType.simpleString()
 
     def run(frames):
         for frame in whole_sequences(frames):
             starts = np.flatnonzero(frame[SEQ].to_numpy()[1:] != frame[SEQ].to_numpy()[:-1]) + 1
             ids, out = [], {n: [] for n in ("signal", *names)}
+            if uniform and ((np.diff(frame[AT].to_numpy(float)) != 1) & (frame[SEQ].to_numpy()[1:] == frame[SEQ].to_numpy()[:-1])).any():
+                raise ValueError("samples must be uniform: the counter must rise by one for every row; interpolate missing samples first")
             values = {s: frame[s].to_numpy(float) for s in signals}
             for a, b in zip([0, *starts], [*starts, len(frame)]):
                 for s in signals:
@@ -31,44 +35,49 @@ def _per_sequence(df: DataFrame, signals: list[str], make, names: list[str]) ->
                         out[n].append(v)
             yield pd.DataFrame({SEQ: ids} | out)
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(SEQ, AT, *signals).repartition(parts, SEQ).sortWithinPartitions(SEQ, AT)
+    rows = df.select(SEQ, AT, *signals).repartition(SEQ).sortWithinPartitions(SEQ, AT)
     return rows.mapInPandas(run, f"{SEQ} {kind}, signal string, " + ", ".join(f"{n} double" for n in names))
 
 
-def whole_sequences(frames):
-    """Batches of rows sorted by sequence, cut so that no sequence is in two of them."""
-    rest = None
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        if not len(frame):
-            continue
-        last = int((frame[SEQ] == frame[SEQ].iat[-1]).to_numpy().argmax())
-        if last:
-            yield frame.iloc[:last]
-        rest = frame.iloc[last:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def stft_features(df: DataFrame, signals: list[str], rate: float = 20.0, size: int = 32, overlap: int | None = None, scaling: str = "density", bands=nm.BANDS) -> DataFrame:
-    """Summary of the short-time Fourier transform of each signal. Counters must be uniform (see grid_violations)."""
+    """Summary of the short-time Fourier transform of each signal (see numeric.spectrum_summary). Counters must be
+    uniform; a signal without any value counts as zeros, nulls inside one are an error."""
     for low, high in bands:
-        if not 0 <= low < high:
+        if not 0 <= low < high <= rate / 2:
             raise ValueError(f"bad frequency band {(low, high)}")
+    if scaling not in nm.SCALINGS or not 0 <= (size // 2 if overlap is None else overlap) < size:
+        raise ValueError(f"bad scaling or overlap: {scaling}, {overlap}")
     hop = (size - (size // 2 if overlap is None else overlap)) / rate
 
     def make(x):
-        f, p = nm.spectrogram(np.nan_to_num(x), rate, size, overlap, scaling)
-        return nm.spectrum_summary(f, p, hop, bands)
+        known = np.isfinite(x)
+        if known.any() and not known.all():
+            raise ValueError("a Fourier transform needs values without gaps")
+        f, p = nm.spectrogram(x if known.all() else np.zeros(0), rate, size, overlap, scaling)
+        return nm.spectrum_summary(f, p, hop, bands, scaling)
 
-    return _per_sequence(df, signals, make, list(make(np.zeros(4))))
+    return _per_sequence(df, signals, make, list(make(np.zeros(4))), uniform=True)
+
+
+def welch(df: DataFrame, signals: list[str], rate: float = 20.0, size: int = 32) -> DataFrame:
+    """(sequence_id, signal, psd array<double>): mean power density of the whole half-overlapping frames, without padding;
+    a signal shorter than a frame is one frame (its periodogram)."""
+    kind = df.schema[SEQ].dataType.simpleString()
+
+    def run(frames):
+        for frame in whole_sequences(frames):
+            ids = frame[SEQ].to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(frame)]
+            out = [(ids[a], s, nm.mean_density(np.nan_to_num(frame[s].to_numpy(float)[a:b]), rate, size).tolist()) for a, b in zip(cuts, cuts[1:]) for s in signals]
+            yield pd.DataFrame(out, columns=[SEQ, "signal", "psd"])
 
+    return df.select(SEQ, AT, *signals).repartition(SEQ).sortWithinPartitions(SEQ, AT).mapInPandas(run, f"{SEQ} {kind}, signal string, psd array<double>")
 
-def cwt_features(df: DataFrame, signals: list[str], rate: float = 20.0, n_scales: int = 32, max_scale: float = 128.0, max_frequency: float | None = None) -> DataFrame:
-    """Summary of the Morlet wavelet power of each signal."""
-    scales = nm.scale_range(rate, n_scales, max_scale, max_frequency)
-    return _per_sequence(df, signals, lambda x: nm.scalogram_summary(x, scales, rate), list(nm.scalogram_summary(np.full(3, np.nan), scales, rate)))
+
+def cwt_features(df: DataFrame, signals: list[str], rate: float = 20.0, n_scales: int = 32, max_scale: float = 128.0, max_frequency: float | None = None, min_scale: float | None = None) -> DataFrame:
+    """Summary of the Morlet wavelet magnitudes of each signal (see numeric.scalogram_summary). Counters must be uniform."""
+    scales = nm.scale_range(rate, n_scales, max_scale, max_frequency, min_scale)
+    return _per_sequence(df, signals, lambda x: nm.scalogram_summary(x, scales, rate), list(nm.scalogram_summary(np.zeros(0), scales, rate)), uniform=True)
 
 
 def frame_spectrum(df: DataFrame, x: str, size: int = 16, hop: int = 8, bins: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
@@ -97,13 +106,15 @@ def spectral_entropy(spectrum: DataFrame) -> DataFrame:
     return m.groupBy(SEQ).agg(F.coalesce(-F.sum(F.when(p > 0, p * F.log2(p))), F.lit(0.0)).alias("entropy_bits"))
 
 
-def fft_features(df: DataFrame, signals: list[str], rate: float = 20.0, bands=nm.BANDS, dc_offset: float = 0.0) -> DataFrame:
-    """Peak, energy and band energies of the amplitude spectrum of whole sequences; frequencies up to dc_offset count 0."""
+def fft_features(df: DataFrame, signals: list[str], rate: float = 20.0, bands=nm.BANDS, dc_offset: float | None = None) -> DataFrame:
+    """Peak, energy and band energies of the amplitude spectrum of whole sequences; with a dc_offset, frequencies up to it
+    count 0."""
 
     def make(x):
         x = np.nan_to_num(x)
-        m, f = np.abs(np.fft.fft(x))[: max(1, len(x) // 2)], np.fft.fftfreq(max(1, len(x)), 1 / rate)[: max(1, len(x) // 2)]
-        m = np.where(f <= dc_offset, 0.0, m)
+        m = np.abs(np.fft.fft(x))[: max(1, len(x) // 2)]
+        f = np.arange(len(m)) * rate / len(x)
+        m = m if dc_offset is None else np.where(f <= dc_offset, 0.0, m)
         return {"peak_frequency": float(f[m.argmax()]), "peak": float(m.max()), "energy": float((m**2).sum())} | {f"band{i}": float((m[(f >= a) & (f < b)] ** 2).sum()) for i, (a, b) in enumerate(bands)}
 
     return _per_sequence(df, signals, make, list(make(np.zeros(4))))
@@ -129,31 +140,67 @@ def resampled(df: DataFrame, names: list[str], native: int, target: int, quatern
     columns stay. -1 marks pixels without return: they are bridged before and restored after. Quaternions are joined
     along the sphere."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(AT).copy()
-        for n in names:
-            x = frame[n].to_numpy(float)
-            gone = (x == -1) | ~np.isfinite(x)
-            if not gone.all():
-                i = np.arange(len(x))
-                frame[n] = np.where(gone, x, nm.resampled(np.interp(i, i[~gone], x[~gone]), native, target))
-        if quaternions:
-            q, t = frame[quaternions].to_numpy(float), np.arange(len(frame)) / native
-            slow = np.arange(0, t[-1] + 1e-9, 1 / target)
-            frame[quaternions] = nm.slerp(nm.slerp(q / np.linalg.norm(q, axis=1, keepdims=True), slow, t), t, slow)
-        return frame
-
-    return df.groupBy(SEQ).applyInPandas(run, df.schema)
+    def make(frame, at):
+        out = {n: frame[n].to_numpy(float).copy() for n in (*names, *(quaternions or ()))}
+        for a, b in zip(at, at[1:]):
+            for n in names:
+                x = out[n][a:b]
+                gone = (x == -1) | ~np.isfinite(x)
+                if not gone.all():
+                    i = np.arange(len(x))
+                    out[n][a:b] = np.where(gone, x, nm.resampled(np.interp(i, i[~gone], x[~gone]), native, target))
+            if quaternions:
+                q, t = np.stack([out[n][a:b] for n in quaternions], axis=1), np.arange(b - a) / native
+                slow = np.arange(0, t[-1] + 1e-9, 1 / target)
+                turned = nm.slerp(nm.slerp(q / np.linalg.norm(q, axis=1, keepdims=True), slow, t), t, slow)
+                for k, n in enumerate(quaternions):
+                    out[n][a:b] = turned[:, k]
+        return out
+
+    return along(df, make)
+
+
+def with_spectra(df: DataFrame, signals: list[str], rate: float, stft: dict | None, cwt: dict | None) -> tuple[DataFrame, list[str]]:
+    """df with the numbers of stft_features and cwt_features of every signal on each row of its sequence, as
+    <signal>_stft0_<name> and <signal>_cwt0_<name>, and their names. No shuffle of its own (see sequences.along)."""
+    makers = []
+    if stft is not None:
+        how = {"size": 32, "overlap": None, "scaling": "density"} | stft
+        hop = (how["size"] - (how["size"] // 2 if how["overlap"] is None else how["overlap"])) / rate
+        makers.append(("stft0", lambda x: nm.spectrum_summary(*nm.spectrogram(x, rate, how["size"], how["overlap"], how["scaling"]), hop, nm.BANDS, how["scaling"])))
+    if cwt is not None:
+        scales = nm.scale_range(rate, **cwt)
+        makers.append(("cwt0", lambda x: nm.scalogram_summary(x, scales, rate)))
+    names = [f"{s}_{kind}_{n}" for s in signals for kind, f in makers for n in f(np.zeros(4))]
+
+    def make(frame, at):
+        out = {n: np.empty(len(frame)) for n in names}
+        for s in signals:
+            values = frame[s].to_numpy(float)
+            for a, b in zip(at, at[1:]):
+                for kind, f in makers:
+                    for n, v in f(np.nan_to_num(values[a:b])).items():
+                        out[f"{s}_{kind}_{n}"][a:b] = v
+        return out
+
+    return along(df, make, names), names
 
 
 def signal_summary(df: DataFrame, signals: list[str], rate: float = 20.0, n_bands: int = 5) -> DataFrame:
-    """Time statistics of each signal and the energies of equal bands of its one-sided spectrum."""
+    """Time statistics of the known values of each signal, of its one-sided amplitude spectrum, and the energies of
+    equal frequency bands up to half the rate (the last one closed). Signals without any value give zeros."""
 
     def make(x):
-        x = np.nan_to_num(x)
-        p = np.abs(np.fft.rfft(x)) ** 2
-        parts = np.array_split(p, n_bands)
-        return {"mean": float(x.mean()), "std": float(x.std()), "rms": float(np.sqrt((x * x).mean())), "ptp": float(np.ptp(x)), "peak_bin": float(p.argmax())} | {f"band{i}": float(b.sum()) for i, b in enumerate(parts)}
+        x = x[np.isfinite(x)]
+        x = x if len(x) else np.zeros(1)
+        m = np.abs(np.fft.rfft(x))
+        f, width = np.arange(len(m)) * rate / len(x), rate / 2 / n_bands
+        out = {"mean": x.mean(), "std": x.std(), "min": x.min(), "max": x.max(), "median": np.median(x), "range": np.ptp(x), "energy": (x * x).sum(), "rms": np.sqrt((x * x).mean())}
+        out |= {"fft_peak_frequency": f[m.argmax()], "fft_peak_magnitude": m.max(), "fft_total_energy": (m * m).sum(), "fft_mean": m.mean(), "fft_std": m.std()}
+        for i in range(n_bands):
+            inside = (f >= i * width) & ((f < (i + 1) * width) if i < n_bands - 1 else (f <= rate / 2))
+            out[f"fft_band_{i + 1}_energy"] = (m[inside] ** 2).sum()
+        return {k: float(v) for k, v in out.items()}
 
     return _per_sequence(df, signals, make, list(make(np.zeros(4))))
 
@@ -192,5 +239,4 @@ def kernel_features(df: DataFrame, x: str, dilations: tuple[int, ...] = (1, 2, 4
             values = np.nan_to_num(frame[x].to_numpy(float))
             yield pd.DataFrame({SEQ: ids[cuts[:-1]], "features": [nm.kernel_shares(values[a:b] - values[a:b].mean(), dilations).tolist() for a, b in zip(cuts, cuts[1:])]})
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(SEQ, AT, x).repartition(parts, SEQ).sortWithinPartitions(SEQ, AT).mapInPandas(run, f"{SEQ} {kind}, features array<double>")
+    return df.select(SEQ, AT, x).repartition(SEQ).sortWithinPartitions(SEQ, AT).mapInPandas(run, f"{SEQ} {kind}, features array<double>")
