@@ -37,17 +37,31 @@ def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def seeded_places(df: DataFrame, key: str, cell: list[str], seed: int) -> DataFrame:
+    """df plus _place (from 1, in seeded order within the cell) and _size (of the cell). Keys are dealt to 4096 ranges
+    of their hash; a row counts those of its own range and adds the counts of the ranges before, so a cell that holds
+    all rows isn't sorted in one task."""
+    df = df.withColumn("_h", seeded(key, seed)).withColumn("_range", F.substring("_h", 1, 3))
+    counts = df.groupBy(*cell, "_range").agg(F.count("*").alias("_n"))
+    of, before = Window.partitionBy(*cell), Window.partitionBy(*cell).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(c).alias(f"_cell{i}") for i, c in enumerate(cell)]
+    counts = counts.select(*named, F.col("_range").alias("_r"), F.sum("_n").over(of).alias("_size"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_cell{i}")) for i, c in enumerate(cell)), F.col("_range") == F.col("_r"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*cell, "_range").orderBy("_h", key))
+    return df.join(counts, same).withColumn("_place", place).drop("_h", "_range", "_r", "_before", *(f"_cell{i}" for i in range(len(cell))))
+
+
 def balanced_split(df: DataFrame, key: str, cell: list[str], train: float = 0.8, test: float = 0.2, seed: int = 42) -> DataFrame:
     """(key, cell..., split): per cell, the same quota of keys for training, then for testing, in seeded order. The quota
-    is the share of all keys over the product of the cell columns' distinct counts. Fails where a quota is zero."""
+    is the share of all keys over the product of the cell columns' distinct counts, which are counted at once. Fails
+    where a quota is zero."""
     total, *sizes = df.agg(F.count("*"), *(F.count_distinct(c) for c in cell)).first()
     cells = reduce(lambda a, b: a * b, sizes, 1) or 1
     n_train, n_test = int(total * train) // cells, int(total * test) // cells
     if not n_train or not n_test:
         raise ValueError("too few sequences for a balanced split")
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(seeded(key, seed), key))
-    out = df.select(key, *cell).withColumn("_p", place).where(F.col("_p") <= n_train + n_test)
-    return out.withColumn("split", F.when(F.col("_p") <= n_train, "train").otherwise("test")).drop("_p")
+    out = seeded_places(df.select(key, *cell), key, cell, seed).where(F.col("_place") <= n_train + n_test)
+    return out.select(key, *cell, F.when(F.col("_place") <= n_train, "train").otherwise("test").alias("split"))
 
 
 def folds(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -57,9 +71,8 @@ def folds(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: int = 42) -> DataFrame:
     """(key, label, is_validation): round(share * rows) keys of each label, in seeded order."""
-    n = F.count("*").over(Window.partitionBy(label))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(seeded(key, seed), key))
-    return df.select(key, label, (place <= F.round(n * share)).alias("is_validation"))
+    placed = seeded_places(df.select(key, label), key, [label], seed)
+    return placed.select(key, label, (F.col("_place") <= F.round(F.col("_size") * share)).alias("is_validation"))
 
 
 def leaks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -68,8 +81,10 @@ def leaks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def episodes(df: DataFrame, key: str, label: str, ways: int, shots: int, queries: int, seed: int = 42) -> DataFrame:
-    """(label, key, role): support and query rows of the first `ways` labels in seeded order."""
+    """(label, key, role): support and query rows of the first `ways` labels in seeded order. A label with fewer rows
+    than shots + queries gives some of them again: support first goes round its rows, then the queries go on from there."""
     chosen = df.select(label).distinct().orderBy(F.md5(F.concat_ws(":", F.col(label).cast("string"), F.lit(str(seed))))).limit(ways)
-    place = F.row_number().over(Window.partitionBy(label).orderBy(seeded(key, seed), key))
-    rows = df.join(F.broadcast(chosen), label, "left_semi").select(label, key, place.alias("_p")).where(F.col("_p") <= shots + queries)
-    return rows.select(label, key, F.when(F.col("_p") <= shots, "support").otherwise("query").alias("role"))
+    rows = seeded_places(df.join(F.broadcast(chosen), label, "left_semi").select(label, key), key, [label], seed).where(F.col("_place") <= shots + queries)
+    turns = F.sequence(F.lit(0), F.floor((shots + queries - F.col("_place")) / F.col("_size")).cast("int"))
+    rows = rows.select(label, key, "_place", "_size", F.explode(turns).alias("_turn")).withColumn("_place", F.col("_place") + F.col("_turn") * F.col("_size"))
+    return rows.select(label, key, F.when(F.col("_place") <= shots, "support").otherwise("query").alias("role"))

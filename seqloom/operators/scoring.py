@@ -52,3 +52,22 @@ def aligned(features: DataFrame, labels: DataFrame, key: str, defaults: dict[str
     """Labels for every feature row, with defaults where none is known (or without the row)."""
     out = features.join(labels, key, "left" if keep_unmatched else "inner")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()}) if keep_unmatched else out
+
+
+def nearest_mean(means: DataFrame, label: str) -> DataFrame:
+    """One row with `_means`: structs of mean and label. A row per class comes together, so classes must be few."""
+    return means.agg(F.collect_list(F.struct(F.col("m"), F.col(label).alias("label"))).alias("_means"))
+
+
+def routed(df: DataFrame, x: str, binary: DataFrame, target: str, branches: DataFrame, leaves: DataFrame, other: str) -> DataFrame:
+    """df's rows through three stages of nearest-mean models on x: rows that the binary model doesn't take for `target`
+    become `other`; the rest go to a branch, then to the leaf model of that branch. Models are tables of class means
+    (binary: sequence_type, m; branches: orientation, m; leaves: orientation, gesture, m); ties go to the first label."""
+    def nearest(means, label):
+        return F.array_min(F.transform(means, lambda s: F.struct(F.abs(F.col(x) - s["m"]).alias("d"), s["label"].alias("label"))))["label"]
+    models = nearest_mean(binary, "sequence_type").withColumnRenamed("_means", "_binary")
+    models = models.join(nearest_mean(branches, "orientation").withColumnRenamed("_means", "_branch"))  # one row each
+    leaf = leaves.groupBy("orientation").agg(F.collect_list(F.struct(F.col("m"), F.col("gesture").alias("label"))).alias("_leaf"))
+    out = df.join(F.broadcast(models)).withColumns({"_t": nearest("_binary", "sequence_type"), "orientation": nearest("_branch", "orientation")})
+    out = out.join(leaf, "orientation", "left").withColumn("prediction", F.when(F.col("_t") != target, other).otherwise(nearest("_leaf", "gesture")))
+    return out.select("sequence_id", "prediction")

@@ -303,13 +303,20 @@ def p03(spark, d):
     return lb.stratified_split(src.sequences(spark, d).withColumnRenamed("sequence_type", "label"), "sequence_id", "label", 0.25)
 
 
-@query("p04_split_is_disjoint", "SELECT sequence_id FROM sequences WHERE false", "sequences")
+FOLD = "CAST(('0x' || substr(md5(sequence_id || ':42'), 1, 8))::BIGINT % 5 AS BIGINT)"
+
+
+@query("p04_split_is_disjoint", f"SELECT count(*) FILTER (fold = 0) AS validation, count(*) FILTER (fold > 0) AS training, CAST(0 AS BIGINT) AS leaks FROM (SELECT {FOLD} AS fold FROM sequences)", "sequences")
 def p04(spark, d):
     s = lb.folds(src.sequences(spark, d).select("sequence_id"), "sequence_id", 5)
-    return lb.leaks(s.where("fold = 0"), s.where("fold > 0"), "sequence_id")
+    sizes = s.agg(F.count_if(F.col("fold") == 0).alias("validation"), F.count_if(F.col("fold") > 0).alias("training"))
+    leaks = lb.leaks(s.where("fold = 0"), s.where("fold > 0"), "sequence_id").agg(F.count("*").alias("leaks"))
+    return sizes.join(leaks)  # one row each
 
 
-@query("p05_episodes")
+@query("p05_episodes", f"""WITH {LABELS}, c AS (SELECT gesture FROM l GROUP BY 1 ORDER BY md5(gesture || ':42') LIMIT 3),
+r AS (SELECT gesture, sequence_id, row_number() OVER (PARTITION BY gesture ORDER BY md5(sequence_id || ':42'), sequence_id) AS p FROM l JOIN c USING (gesture))
+SELECT gesture, sequence_id, CASE WHEN p <= 5 THEN 'support' ELSE 'query' END AS role FROM r WHERE p <= 15""", "sequences")
 def p05(spark, d):
     return lb.episodes(labelled(spark, d), "sequence_id", "gesture", 3, 5, 10)
 
@@ -354,8 +361,14 @@ def o03(spark, d):
     return src.samples3(spark, d).groupBy("sequence_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sequence_id")
 
 
-@query("l10_hierarchical_routing", f"WITH {FULL} SELECT sequence_id, CASE WHEN is_target = 0 THEN 'non_bfrb' WHEN orientation = 'Unknown' THEN 'none' WHEN weight > 200000 THEN orientation || '-high' ELSE orientation || '-low' END AS prediction FROM f", "sequences")
+@query("l10_hierarchical_routing", f"""WITH {FULL}, b AS (SELECT sequence_type, avg(weight) AS m FROM f GROUP BY 1), o AS (SELECT orientation, avg(weight) AS m FROM f WHERE is_target = 1 AND orientation <> 'Unknown' GROUP BY 1),
+g AS (SELECT orientation, gesture, avg(weight) AS m FROM f WHERE is_target = 1 AND orientation <> 'Unknown' GROUP BY 1, 2),
+x AS (SELECT f.sequence_id, f.weight, (SELECT arg_min(CAST(b.sequence_type = 'Target' AS INTEGER), abs(f.weight - b.m)) FROM b) AS is_target, (SELECT arg_min(o.orientation, abs(f.weight - o.m)) FROM o) AS orientation FROM f)
+SELECT x.sequence_id, CASE WHEN x.is_target = 0 THEN 'non_bfrb' ELSE (SELECT arg_min(g.gesture, abs(x.weight - g.m)) FROM g WHERE g.orientation = x.orientation) END AS prediction FROM x""", "sequences")
 def l10(spark, d):
-    f = labelled(spark, d)  # target or not, then orientation, then a rule per orientation: columns of one projection
-    leaf = F.concat("orientation", F.when(F.col("weight") > 200000, "-high").otherwise("-low"))
-    return f.select("sequence_id", F.when(F.col("is_target") == 0, "non_bfrb").when(F.col("orientation") == "Unknown", "none").otherwise(leaf).alias("prediction"))
+    """Three stages of nearest-mean models on one feature: target or not, then orientation, then the gesture model of
+    that orientation; each stage's table of means is a row a class."""
+    f = labelled(spark, d)
+    t = f.where("is_target = 1 and orientation <> 'Unknown'")
+    binary = f.groupBy("sequence_type").agg(F.avg("weight").alias("m"))
+    return sc.routed(f.select("sequence_id", "weight"), "weight", binary, "Target", t.groupBy("orientation").agg(F.avg("weight").alias("m")), t.groupBy("orientation", "gesture").agg(F.avg("weight").alias("m")), "non_bfrb")
