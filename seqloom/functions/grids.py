@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from math import cos, pi, sin
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDE, NO_RETURN = 8, -1.0
@@ -114,3 +116,45 @@ def sobel(grid: Column) -> Column:
         x, y = side(1) - side(-1), level(1) - level(-1)
         return F.sqrt(x * x + y * y)
     return F.array(*(one(r, c) for r in range(SIDE) for c in range(SIDE)))
+
+
+def fft_energy(grid: Column) -> tuple[Column, Column]:
+    """Power of the two-dimensional Fourier transform in the four middle bins of the shifted spectrum, and elsewhere (the
+    sum of all bins is 64 times that of the squares)."""
+    def wave(u: int, v: int, f) -> Column:
+        weights = F.array(*(F.lit(f(2 * pi * (u * (i // SIDE) + v * (i % SIDE)) / SIDE)) for i in range(SIDE * SIDE)))
+        return total(F.zip_with(grid, weights, lambda a, b: a * b))
+    parts = [wave(u, v, f) for u in (0, SIDE - 1) for v in (0, SIDE - 1) for f in (cos, sin)]
+    low = sum((p * p for p in parts[1:]), parts[0] * parts[0])
+    return low, total(F.transform(grid, lambda p: p * p)) * (SIDE * SIDE) - low
+
+
+def with_frame_spatial(df: DataFrame, grid: str, *keep: str) -> DataFrame:
+    """keep and numbers about each grid, in which pixels out of range become the median of the others (0 without any):
+    levels, quadrants, centre against edge, asymmetries, centre of mass and gradients."""
+    df = df.select(*keep, in_range(F.col(grid)).alias("_k"))
+    known_ones = F.array_sort(known(F.col("_k")))
+    df = df.select(*keep, "_k", known_ones.alias("_s"))
+    n = F.size("_s")
+    middle = F.when(n > 0, (F.get("_s", F.floor((n - 1) / 2).cast("int")) + F.get("_s", F.floor(n / 2).cast("int"))) / 2).otherwise(0.0)
+    df = df.select(*keep, (n / (SIDE * SIDE)).alias("valid_ratio"), middle.alias("_m"), "_k")
+    v = F.col("_v")
+    df = df.select(*keep, "valid_ratio", F.transform("_k", lambda p: F.coalesce(p, F.col("_m"))).alias("_v"))
+    change = lambda i, by, edge: 0.0 if edge else F.get(v, F.lit(i)) - F.get(v, F.lit(i - by))
+    steps = []
+    for i in range(SIDE * SIDE):
+        x, y = change(i, 1, i % SIDE == 0), change(i, SIDE, i < SIDE)
+        steps.append(F.sqrt(F.lit(x * x + y * y)) if not isinstance(x, Column) and not isinstance(y, Column) else F.sqrt(x * x + y * y))
+    df = df.select(*keep, "valid_ratio", "_v", F.array(*steps).alias("_g"))
+    part = {k: mean(pick(v, p)) for k, p in halves().items()}
+    quarter = lambda r, c: mean(pick(v, [(r + i) * SIDE + c + j for i in range(4) for j in range(4)]))
+    weighed = lambda f: total(F.transform(v, lambda p, i: p * f(i)))
+    mass = total(v)
+    return df.select(
+        *keep, mean(v).alias("spatial_mean"), deviation(v).alias("spatial_std"), F.array_min(v).alias("spatial_min"), F.array_max(v).alias("spatial_max"), "valid_ratio",
+        quarter(0, 0).alias("q1_mean"), quarter(0, 4).alias("q2_mean"), quarter(4, 0).alias("q3_mean"), quarter(4, 4).alias("q4_mean"),
+        part["center"].alias("center_mean"), part["edge"].alias("edge_mean"), (part["center"] / (part["edge"] + 1e-6)).alias("center_edge_ratio"),
+        (part["left"] - part["right"]).alias("lr_asymmetry"), (part["top"] - part["bottom"]).alias("tb_asymmetry"),
+        F.when(mass > 0, weighed(lambda i: i % SIDE) / mass).otherwise(4.0).alias("com_x"), F.when(mass > 0, weighed(lambda i: F.floor(i / SIDE)) / mass).otherwise(4.0).alias("com_y"),
+        mean(F.col("_g")).alias("gradient_mean"), deviation(F.col("_g")).alias("gradient_std"),
+    )

@@ -39,6 +39,13 @@ def zero_crossings(df: DataFrame, x: str) -> DataFrame:
     return df.withColumn("_c", F.coalesce(change, F.lit(False)).cast("long")).groupBy(SEQ).agg(F.sum("_c").alias("zero_crossings"))
 
 
+def time_features(df: DataFrame, x: str) -> DataFrame:
+    """(sequence_id, mean, std, min, max, rms, ptp, energy, zero_crossings) of one column, in one shuffle."""
+    change = F.coalesce((F.signum(x) != F.lag(F.signum(x)).over(ordered())).cast("long"), F.lit(0))
+    numbers = [stat(n, x).alias(n) for n in ("mean", "std", "min", "max", "rms", "ptp", "energy")]
+    return df.withColumn("_c", change).groupBy(SEQ).agg(*numbers, F.sum("_c").alias("zero_crossings"))
+
+
 def skewness(x: str) -> Column:
     """Bias-corrected sample skewness; null for fewer than three values."""
     n = F.count(x).cast("double")

@@ -119,7 +119,17 @@ def _numpy(name: str, fields: list[str], make):
     return run
 
 
-t10 = _numpy("t10_fft_energy", ["low", "high", "low_share"], nm.fft_energy)
+_WAVE = lambda u, v, f: "list_sum(list_transform(range(1, 65), lambda i: v[i] * " + f"{f}(2 * pi() * ({u} * ((i - 1) // 8) + {v} * ((i - 1) % 8)) / 8)))"
+_LOW = " + ".join(f"pow({_WAVE(u, v, f)}, 2)" for u in (0, 7) for v in (0, 7) for f in ("cos", "sin"))
+
+
+@query("t10_fft_energy", f"WITH f AS (SELECT vec_id, {filled_sql(255)} AS v FROM grids), e AS (SELECT vec_id, {_LOW} AS low, 64 * list_sum(list_transform(v, lambda p: p * p)) AS total FROM f) SELECT vec_id, round(low, 0) AS low, round(total - low, 0) AS high, round(low / total, 6) AS low_share FROM e", "grids")
+def t10(spark, d):
+    g = src.grids(spark, d).select("vec_id", gr.imputed(GRID).alias("v"))
+    low, high = gr.fft_energy(F.col("v"))
+    return g.select("vec_id", F.round(low, 0).alias("low"), F.round(high, 0).alias("high"), F.round(low / (low + high), 6).alias("low_share"))
+
+
 t11 = _numpy("t11_singular_values", ["sv1", "sv2", "sv3", "ratio", "rank2_energy"], nm.singular_values)
 t14 = _numpy("t14_largest_blob", ["area", "centre_row", "centre_column"], nm.near_blob)
 
@@ -143,13 +153,26 @@ def t13(spark, d):
     return m.groupBy("sequence_id").agg(F.round(F.avg(F.when(top, F.col("p"))), 6).alias("top"), F.round(F.avg(F.when(~top, F.col("p"))), 6).alias("bottom"), F.round(F.avg("p"), 6).alias("mean"))
 
 
-@query("t15_frame_spatial", f"WITH f AS (SELECT vec_id, list_transform(grid, lambda p: CASE WHEN p = -1 THEN list_median({VALID}) ELSE p END) AS v FROM grids) SELECT vec_id, round(list_avg(v[1:32]), 6) AS top, round(list_avg(v[33:64]), 6) AS bottom FROM f", "grids")
+PLACES = {"q1": (0, 0), "q2": (0, 4), "q3": (4, 0), "q4": (4, 4)}
+QUADRANTS = {q: [(r0 + i) * 8 + c0 + j for i in range(4) for j in range(4)] for q, (r0, c0) in PLACES.items()}
+AT = lambda places: f"list_avg(list_transform({[p + 1 for p in places]}, lambda i: v[i]))"
+STEPS = "list_transform(range(1, 65), lambda i: sqrt(pow(CASE WHEN (i - 1) % 8 = 0 THEN 0 ELSE v[i] - v[i - 1] END, 2) + pow(CASE WHEN i <= 8 THEN 0 ELSE v[i] - v[i - 8] END, 2)))"
+
+
+@query("t15_frame_spatial", f"""WITH k AS (SELECT vec_id, list_transform(grid, lambda p: CASE WHEN p > 0 AND p < 4000 THEN p END) AS k FROM grids),
+f AS (SELECT vec_id, len(list_filter(k, lambda p: p IS NOT NULL)) / 64::DOUBLE AS valid_ratio, list_transform(k, lambda p: coalesce(p, list_median(k), 0::DOUBLE)) AS v FROM k),
+g AS (SELECT *, {STEPS} AS g FROM f)
+SELECT vec_id, round(list_avg(v), 4) AS spatial_mean, round(list_stddev_pop(v), 4) AS spatial_std, round(list_min(v), 4) AS spatial_min, round(list_max(v), 4) AS spatial_max, round(valid_ratio, 6) AS valid_ratio,
+  {', '.join(f'round({AT(p)}, 4) AS {q}_mean' for q, p in QUADRANTS.items())}, round({AT(gr.halves()['center'])}, 4) AS center_mean, round({AT(gr.halves()['edge'])}, 4) AS edge_mean,
+  round({AT(gr.halves()['center'])} / ({AT(gr.halves()['edge'])} + 1e-6::DOUBLE), 4) AS center_edge_ratio,
+  round({AT(gr.halves()['left'])} - {AT(gr.halves()['right'])}, 3) + 0.0 AS lr_asymmetry, round({AT(gr.halves()['top'])} - {AT(gr.halves()['bottom'])}, 3) + 0.0 AS tb_asymmetry,
+  round(CASE WHEN list_sum(v) > 0 THEN list_sum(list_transform(range(1, 65), lambda i: v[i] * ((i - 1) % 8))) / list_sum(v) ELSE 4 END, 4) AS com_x,
+  round(CASE WHEN list_sum(v) > 0 THEN list_sum(list_transform(range(1, 65), lambda i: v[i] * ((i - 1) // 8))) / list_sum(v) ELSE 4 END, 4) AS com_y,
+  round(list_avg(g), 4) AS gradient_mean, round(list_stddev_pop(g), 3) AS gradient_std FROM g""", "grids")
 def t15(spark, d):
-    g = src.grids(spark, d).select("vec_id", "grid", F.array_sort(gr.known(gr.valid(GRID))).alias("s"))
-    n = F.size("s")
-    middle = (F.element_at("s", F.floor((n + 1) / 2).cast("int")) + F.element_at("s", F.floor(n / 2 + 1).cast("int"))) / 2
-    g = g.select("vec_id", "grid", middle.alias("m")).select("vec_id", F.transform("grid", lambda p: F.when(p == -1, F.col("m")).otherwise(p)).alias("v"))
-    return g.select("vec_id", r(gr.mean(F.slice("v", 1, 32))).alias("top"), r(gr.mean(F.slice("v", 33, 32))).alias("bottom"))
+    g = gr.with_frame_spatial(src.grids(spark, d), "grid", "vec_id")
+    exact = {"valid_ratio": 6, "lr_asymmetry": 3, "tb_asymmetry": 3, "gradient_std": 3}
+    return g.select("vec_id", *(r(n, exact.get(n, 4)).alias(n) for n in g.columns if n != "vec_id"))
 
 
 @query("t16_mean_frame", "WITH e AS (SELECT sequence_id, unnest(range(0, 64)) AS i, unnest(grid) AS p FROM grids) SELECT sequence_id, i, round(avg(nullif(p, -1)), 6) AS mean, round(count(nullif(p, -1)) / CAST(count(*) AS DOUBLE), 6) AS valid_ratio FROM e GROUP BY 1, 2", "grids")

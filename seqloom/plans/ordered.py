@@ -74,20 +74,25 @@ def s08(spark, d):
     return out(src.samples(spark, d), highpass=w.highpass(F.col("acc_x"), 5))
 
 
-UNIT = "unit AS (SELECT sequence_id, sequence_counter, rot_w / n AS w, rot_x / n AS x, rot_y / n AS y, rot_z / n AS z FROM (SELECT *, sqrt(rot_w * rot_w + rot_x * rot_x + rot_y * rot_y + rot_z * rot_z) AS n FROM quats))"
+UNIT = "unit AS (SELECT sequence_id, sequence_counter, rot_w / n AS w, rot_x / n AS x, rot_y / n AS y, rot_z / n AS z, acc_x AS ax, acc_y AS ay, acc_z AS az FROM (SELECT *, sqrt(rot_w * rot_w + rot_x * rot_x + rot_y * rot_y + rot_z * rot_z) AS n FROM quats))"
 
 
 def units(spark, d):
     q = src.quats(spark, d)
-    return q.select(*KEY, *(c.alias(n) for c, n in zip(rot.normalised(rot.columns()), ("rot_w", "rot_x", "rot_y", "rot_z"))))
+    return q.select(*KEY, *(c.alias(n) for c, n in zip(rot.normalised(rot.columns()), ("rot_w", "rot_x", "rot_y", "rot_z"))), "acc_x", "acc_y", "acc_z")
 
 
-@query("s09_linear_acceleration", f"""WITH {UNIT}, t AS (SELECT *, 2 * (y * 0.3::DOUBLE - z * 0.2::DOUBLE) AS tx, 2 * (z * 0.1::DOUBLE - x * 0.3::DOUBLE) AS ty, 2 * (x * 0.2::DOUBLE - y * 0.1::DOUBLE) AS tz FROM unit)
-SELECT sequence_id, sequence_counter, round(0.1::DOUBLE + w * tx + y * tz - z * ty, 6) + 0.0 AS lin_x, round(0.2::DOUBLE + w * ty + z * tx - x * tz, 6) + 0.0 AS lin_y, round(0.3::DOUBLE + w * tz + x * ty - y * tx - 9.80665::DOUBLE, 6) + 0.0 AS lin_z FROM t""", "quats")
+@query("s09_linear_acceleration", f"""WITH {UNIT},
+t AS (SELECT *, 2 * (y * az - z * ay) AS tx, 2 * (z * ax - x * az) AS ty, 2 * (x * ay - y * ax) AS tz FROM unit)
+SELECT sequence_id, sequence_counter,
+  round(ax + w * tx + y * tz - z * ty, 6) + 0.0 AS world_x, round(ay + w * ty + z * tx - x * tz, 6) + 0.0 AS world_y,
+  round(az + w * tz + x * ty - y * tx - 9.80665::DOUBLE, 6) + 0.0 AS world_z,
+  round(ax - 9.80665::DOUBLE * 2 * (x * z - w * y), 6) + 0.0 AS body_x, round(ay - 9.80665::DOUBLE * 2 * (y * z + w * x), 6) + 0.0 AS body_y,
+  round(az - 9.80665::DOUBLE * (1 - 2 * (x * x + y * y)), 6) + 0.0 AS body_z FROM t""", "quats")
 def s09(spark, d):
-    q = units(spark, d)
-    x, y, z = rot.linear_acceleration(tuple(F.lit(v) for v in (0.1, 0.2, 0.3)), rot.columns())
-    return out(q, lin_x=x, lin_y=y, lin_z=z)
+    q, acc = units(spark, d), tuple(F.col(f"acc_{c}") for c in "xyz")
+    both = {f: rot.linear_acceleration(acc, rot.columns(), f) for f in ("world", "body")}
+    return out(q, **{f"{f}_{c}": x for f, xs in both.items() for c, x in zip("xyz", xs)})
 
 
 MOTION = f"m AS (SELECT *, {DT} AS dt FROM samples {WIN}), v AS (SELECT *, sum(acc_x * dt) OVER w - first_value(acc_x * dt) OVER w AS vel, coalesce(acc_x - lag(acc_x) OVER w, 0) / dt AS jerk FROM m {WIN})"
@@ -129,13 +134,19 @@ def s15(spark, d):
     return out(scans.kalman(src.samples(spark, d), "acc_x", "kalman"), kalman="kalman")
 
 
-@query("s16_quaternion_kalman")
+SIGNS = f"f AS (SELECT *, CASE WHEN w * lag(w) OVER k + x * lag(x) OVER k + y * lag(y) OVER k + z * lag(z) OVER k < 0 THEN 1 ELSE 0 END AS f FROM unit WINDOW k AS (PARTITION BY sequence_id ORDER BY sequence_counter)), g AS (SELECT sequence_id, sequence_counter, CASE WHEN sum(f) OVER k % 2 = 1 THEN -1 ELSE 1 END AS s, w, x, y, z FROM f WINDOW k AS (PARTITION BY sequence_id ORDER BY sequence_counter)), h AS (SELECT sequence_id, sequence_counter, s * w AS w, s * x AS x, s * y AS y, s * z AS z FROM g)"
+GAIN = "(k.p + 0.001::DOUBLE) / (k.p + 0.001::DOUBLE + 0.01::DOUBLE)"
+
+
+@query("s16_quaternion_kalman", f"""WITH {UNIT}, {SIGNS},
+k AS (SELECT sequence_id, sequence_counter, w, x, y, z, (1 - 1.001::DOUBLE / 1.011::DOUBLE) * 1.001::DOUBLE AS p FROM h WHERE sequence_counter = 0
+UNION ALL SELECT h.sequence_id, h.sequence_counter, {', '.join(f'k.{c} + {GAIN} * (h.{c} - k.{c})' for c in 'wxyz')}, (1 - {GAIN}) * (k.p + 0.001::DOUBLE)
+  FROM k JOIN h ON h.sequence_id = k.sequence_id AND h.sequence_counter = k.sequence_counter + 1),
+n AS (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS n FROM k)
+SELECT sequence_id, sequence_counter, {', '.join(f'round({c} / n, 6) + 0.0 AS rot_{c}' for c in 'wxyz')} FROM n""", "quats")
 def s16(spark, d):
-    df = rot.with_steady_signs(units(spark, d))
-    parts = [scans.kalman(df, f"rot_{c}", f"rot_{c}") for c in "wxyz"]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.join(p, list(KEY))
+    names = [f"rot_{c}" for c in "wxyz"]
+    whole = scans.smoothed(rot.with_steady_signs(units(spark, d)).select(*KEY, *names), {n: n for n in names})
     return out(whole, **{f"rot_{c}": v for c, v in zip("wxyz", rot.normalised(rot.columns()))})
 
 
@@ -177,7 +188,6 @@ def s21(spark, d):
     return out(w.unwrapped(angles(spark, d), "yaw", "flat"), yaw="flat")
 
 
-SIGNS = f"f AS (SELECT *, CASE WHEN w * lag(w) OVER k + x * lag(x) OVER k + y * lag(y) OVER k + z * lag(z) OVER k < 0 THEN 1 ELSE 0 END AS f FROM unit WINDOW k AS (PARTITION BY sequence_id ORDER BY sequence_counter)), g AS (SELECT sequence_id, sequence_counter, CASE WHEN sum(f) OVER k % 2 = 1 THEN -1 ELSE 1 END AS s, w, x, y, z FROM f WINDOW k AS (PARTITION BY sequence_id ORDER BY sequence_counter)), h AS (SELECT sequence_id, sequence_counter, s * w AS w, s * x AS x, s * y AS y, s * z AS z FROM g)"
 
 
 @query("s22_sign_continuity", f"WITH {UNIT}, {SIGNS} SELECT sequence_id, sequence_counter, round(w, 6) + 0.0 AS rot_w, round(x, 6) + 0.0 AS rot_x, round(y, 6) + 0.0 AS rot_y, round(z, 6) + 0.0 AS rot_z FROM h", "quats")
@@ -258,11 +268,16 @@ def m03(spark, d):
     return out(units(spark, d), **dict(zip(("c1_x", "c1_y", "c1_z", "c2_x", "c2_y", "c2_z"), rot.six(rot.columns()))))
 
 
-@query("m04_mirror_left_handed", f"""WITH {UNIT}, {ANGLE}, h AS (SELECT u.*, a.roll / 2 AS r, -a.pitch / 2 AS p, -a.yaw / 2 AS q, u.sequence_id % 2 = 0 AS l FROM unit u JOIN a USING (sequence_id, sequence_counter))
-SELECT sequence_id, sequence_counter, CASE WHEN l THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS acc_x, round(CASE WHEN l THEN cos(r) * cos(p) * cos(q) + sin(r) * sin(p) * sin(q) ELSE w END, 6) + 0.0 AS w, round(CASE WHEN l THEN cos(r) * cos(p) * sin(q) - sin(r) * sin(p) * cos(q) ELSE z END, 6) + 0.0 AS z FROM h""", "quats")
+@query("m04_mirror_left_handed", f"""WITH {UNIT}, {ANGLE},
+h AS (SELECT u.*, a.roll / 2 AS r, -a.pitch / 2 AS p, -a.yaw / 2 AS q, u.sequence_id % 2 = 0 AS l FROM unit u JOIN a USING (sequence_id, sequence_counter))
+SELECT sequence_id, sequence_counter, round(CASE WHEN l THEN -ax ELSE ax END, 6) + 0.0 AS acc_x, round(ay, 6) + 0.0 AS acc_y, round(az, 6) + 0.0 AS acc_z,
+  round(CASE WHEN l THEN cos(r) * cos(p) * cos(q) + sin(r) * sin(p) * sin(q) ELSE w END, 6) + 0.0 AS w,
+  round(CASE WHEN l THEN sin(r) * cos(p) * cos(q) - cos(r) * sin(p) * sin(q) ELSE x END, 6) + 0.0 AS x,
+  round(CASE WHEN l THEN cos(r) * sin(p) * cos(q) + sin(r) * cos(p) * sin(q) ELSE y END, 6) + 0.0 AS y,
+  round(CASE WHEN l THEN cos(r) * cos(p) * sin(q) - sin(r) * sin(p) * cos(q) ELSE z END, 6) + 0.0 AS z FROM h""", "quats")
 def m04(spark, d):
-    (x, _, _), q = rot.mirrored((F.lit(1.0), F.lit(0.0), F.lit(0.0)), rot.columns(), F.col("sequence_id") % 2 == 0)
-    return units(spark, d).select(*KEY, x.alias("acc_x"), r(q[0]).alias("w"), r(q[3]).alias("z"))
+    acc, q = rot.mirrored(tuple(F.col(f"acc_{c}") for c in "xyz"), rot.columns(), F.col("sequence_id") % 2 == 0)
+    return units(spark, d).select(*KEY, *(r(c).alias(f"acc_{n}") for n, c in zip("xyz", acc)), *(r(c).alias(n) for n, c in zip("wxyz", q)))
 
 
 @query("m05_upside_down", "SELECT sequence_id, sequence_counter, CASE WHEN sequence_id IN (3, 5) THEN -rot_x ELSE rot_x END AS rot_x FROM (SELECT sequence_id, sequence_counter, round(rot_x, 6) + 0.0 AS rot_x FROM quats)", "quats")
@@ -319,9 +334,13 @@ def g16(spark, d):
     return f.select("sequence_id", *(F.round(f"acc_x_{s}", 3 if s == "energy" else 6).alias(s) for s in ("mean", "std", "rms", "energy", "ptp")))
 
 
-@query("g17_zero_crossings", "WITH c AS (SELECT *, acc_x - avg(acc_x) OVER (PARTITION BY sequence_id) AS c FROM samples), s AS (SELECT *, sign(c) <> lag(sign(c)) OVER (PARTITION BY sequence_id ORDER BY sequence_counter) AS z FROM c) SELECT sequence_id, count(*) FILTER (z) AS zero_crossings FROM s GROUP BY 1", "samples")
+@query("g17_zero_crossings", """WITH c AS (SELECT *, acc_x - avg(acc_x) OVER (PARTITION BY sequence_id) AS c FROM samples),
+s AS (SELECT *, sign(c) <> lag(sign(c)) OVER (PARTITION BY sequence_id ORDER BY sequence_counter) AS z FROM c)
+SELECT sequence_id, round(avg(c), 6) + 0.0 AS mean, round(stddev_pop(c), 6) AS std, round(min(c), 6) AS min, round(max(c), 6) AS max, round(sqrt(avg(c * c)), 6) AS rms,
+  round(max(c) - min(c), 6) AS ptp, round(sum(c * c), 3) AS energy, count(*) FILTER (z) AS zero_crossings FROM s GROUP BY 1""", "samples")
 def g17(spark, d):
-    return st.zero_crossings(src.samples(spark, d).withColumn("c", w.centred("acc_x")), "c")
+    t = st.time_features(src.samples(spark, d).withColumn("c", w.centred("acc_x")), "c")
+    return t.select("sequence_id", *(r(n, 3 if n == "energy" else 6).alias(n) for n in ("mean", "std", "min", "max", "rms", "ptp", "energy")), "zero_crossings")
 
 
 @query("g18_rotation_statistics", f"WITH {UNIT}, {ANGLE} SELECT sequence_id, round(avg(roll), 6) + 0.0 AS roll_mean, round(avg(abs(pitch)), 6) AS pitch_abs_mean, round(avg(sqrt(roll * roll + pitch * pitch + yaw * yaw)), 6) AS magnitude_mean FROM a GROUP BY 1", "quats")
