@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Branch by the mark or the start of a feature name, the first that fits.
@@ -22,3 +24,33 @@ def modes(text: str, known: set[str]) -> list[str]:
     if set(out) - known:
         raise ValueError(f"unknown modes {sorted(set(out) - known)}")
     return out
+
+
+def existing(columns: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names that exist, each once, in the order wanted."""
+    have = set(columns)
+    return [c for c in dict.fromkeys(wanted) if c in have]
+
+
+def except_columns(columns: list[str], gone: list[str]) -> list[str]:
+    return [c for c in columns if c not in set(gone)]
+
+
+def first_sensors(names: list[str], most: int | None) -> list[str]:
+    """The first `most` sensors by the number in their names; all for None."""
+    number = lambda n: int((re.findall(r"\d+", n) or ["0"])[0])
+    ordered = sorted(names, key=lambda n: (number(n), n))
+    return ordered if most is None else ordered[:most]
+
+
+#: Branches whose features are one value a sequence.
+STATIC = ("stft", "cwt")
+
+
+def branch_summary(names: DataFrame) -> DataFrame:
+    """(branch, n_features, kind, example_columns) of a table of feature names."""
+    rows = names.select("name").distinct().withColumn("branch", branch(F.col("name")))
+    out = rows.groupBy("branch").agg(F.count("*").alias("n_features"), F.slice(F.array_sort(F.collect_set("name")), 1, 3).alias("_some"))
+    examples = F.concat(F.array_join("_some", ", "), F.when(F.col("n_features") > 3, ", ...").otherwise(""))
+    kind = F.when(F.col("branch").isin(*STATIC), "static (per-sequence)").otherwise("time-series")
+    return out.select("branch", "n_features", kind.alias("kind"), examples.alias("example_columns"))

@@ -49,20 +49,74 @@ def channel_drop(x, rng, chance=0.1):
     return x * (rng.random(x.shape[1]) >= chance)
 
 
-def sensor_drop(x, rng, chance=0.3):
-    return x * 0 if rng.random() < chance else x
+#: Sensors by the beginnings of their columns' names.
+SENSORS = {"acc": ("acc_", "lin_acc"), "rot": ("rot",), "tof": ("tof_", "depth_"), "thm": ("thm_", "thermal_", "temp_")}
+
+
+def sensor_groups(names: list[str]) -> dict[str, list[int]]:
+    found = {k: [i for i, n in enumerate(names) if n.startswith(starts)] for k, starts in SENSORS.items()}
+    return {k: v for k, v in found.items() if v}
+
+
+def sensor_drop(x, rng, names=(), chance=0.3):
+    """Zeroes all columns of a sensor; each sensor goes by its own draw."""
+    x = x.copy()
+    for places in sensor_groups(list(names)).values():
+        if rng.random() < chance:
+            x[:, places] = 0
+    return x
+
+
+def spline(place: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The cubic spline through (knots, values (knots, columns)) whose first two and last two pieces are one cubic each;
+    a line or a parabola through two or three knots."""
+    n = len(knots)
+    if n < 4:
+        return np.stack([np.polyval(np.polyfit(knots, v, n - 1), place) for v in values.T], axis=1)
+    h, d = np.diff(knots), np.diff(values, axis=0) / np.diff(knots)[:, None]
+    a, b = np.zeros((n, n)), np.zeros((n, values.shape[1]))
+    for i in range(1, n - 1):
+        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        b[i] = 6 * (d[i] - d[i - 1])
+    a[0, :3], a[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
+    m = np.linalg.solve(a, b)  # second derivatives at the knots
+    i = np.clip(np.searchsorted(knots, place, side="right") - 1, 0, n - 2)
+    s, t, w = (place - knots[i])[:, None], (knots[i + 1] - place)[:, None], h[i][:, None]
+    return (m[i] * t**3 + m[i + 1] * s**3) / (6 * w) + (values[i] / w - m[i] * w / 6) * t + (values[i + 1] / w - m[i + 1] * w / 6) * s
 
 
 def magnitude_warp(x, rng, sigma=0.2, knots=4):
-    """Times a smooth curve through random knots (cosine pieces)."""
-    values, place = rng.normal(1, sigma, knots + 2), np.linspace(0, knots + 1, len(x))
-    i = np.minimum(place.astype(int), knots)
-    s = (1 - np.cos(np.pi * (place - i))) / 2
-    return x * ((1 - s) * values[i] + s * values[i + 1])[:, None]
+    """Every channel times a smooth curve of its own through random knots."""
+    knots = max(2, min(knots, len(x)))
+    if len(x) < 2:
+        return x
+    return x * spline(np.arange(len(x), dtype=float), np.linspace(0, len(x) - 1, knots), rng.normal(1, sigma, (knots, x.shape[1])))
+
+
+def time_stretch(x, rng, low=0.8, high=1.2):
+    """Plays the sequence faster or slower from its start; the end holds."""
+    place = np.clip(np.arange(len(x)) * rng.uniform(low, high), 0, len(x) - 1)
+    return np.stack([np.interp(place, np.arange(len(x)), c) for c in x.T], axis=1)
+
+
+def quaternion_flip(x, rng, names=()):
+    """The same rotations by quaternions of the other sign (names rot_w, rot_x, rot_y, rot_z)."""
+    x = x.copy()
+    x[:, [i for i, n in enumerate(names) if n in ("rot_w", "rot_x", "rot_y", "rot_z")]] *= -1
+    return x
+
+
+def frequency_filter(x, rng, low=0.2, high=0.8):
+    """Frequencies above a random share of the highest go."""
+    spectrum = np.fft.rfft(x, axis=0)
+    spectrum[max(1, int(len(spectrum) * rng.uniform(low, high))) :] = 0
+    return np.fft.irfft(spectrum, len(x), axis=0)
 
 
 #: In the order in which a sequence meets them.
-AUGMENTATIONS = {f.__name__: f for f in (jitter, gaussian_noise, scaling, time_shift, crop_resize, temporal_mask, channel_drop, sensor_drop, magnitude_warp)}
+AUGMENTATIONS = {f.__name__: f for f in (jitter, gaussian_noise, scaling, time_shift, crop_resize, temporal_mask, channel_drop, sensor_drop, magnitude_warp, time_stretch, quaternion_flip, frequency_filter)}
+#: Those that look at the names of the columns.
+NAMED = {sensor_drop, quaternion_flip}
 
 
 def augmented(df: DataFrame, names: list[str], kinds: list[str] | None = None, chance: float = 0.5, each: float = 0.5, seed: int = 42) -> DataFrame:
@@ -79,7 +133,8 @@ def augmented(df: DataFrame, names: list[str], kinds: list[str] | None = None, c
             x = frame[names].to_numpy(float)
             for k in chosen:
                 if rng.random() < each:
-                    x = AUGMENTATIONS[k](x, rng)
+                    change = AUGMENTATIONS[k]
+                    x = change(x, rng, names) if change in NAMED else change(x, rng)
             frame[names] = x
         return frame
 
@@ -92,7 +147,8 @@ def mixup(df: DataFrame, names: list[str], alpha: float = 0.2, seed: int = 42) -
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    bucket = F.pmod(F.xxhash64(SEQ, F.lit(seed)), F.lit(64))
+    buckets = max(1, df.count() // 50_000)  # counted at once, so that a bucket stays of one size
+    bucket = F.pmod(F.xxhash64(SEQ, F.lit(seed)), F.lit(buckets))
     w = Window.partitionBy("_b")
     rows = df.select(SEQ, *names, bucket.alias("_b")).withColumns({"_i": F.row_number().over(w.orderBy(F.xxhash64(SEQ, F.lit(seed + 1)), SEQ)), "_n": F.count("*").over(w)})
     other = rows.select("_b", F.when(F.col("_i") == 1, F.col("_n")).otherwise(F.col("_i") - 1).alias("_i"), F.col(SEQ).alias("partner"), *(F.col(n).alias(f"_{n}") for n in names))
@@ -100,6 +156,25 @@ def mixup(df: DataFrame, names: list[str], alpha: float = 0.2, seed: int = 42) -
     return rows.join(other, ["_b", "_i"]).select(SEQ, "partner", *(((1 - share) * F.col(n) + share * F.col(f"_{n}")).alias(n) for n in names))
 
 
+def cutmix(df: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
+    """Sequences of which a seeded run of rows comes from the same places of a partner: (sequence_id, partner,
+    sequence_counter, names...). The share that is replaced is drawn evenly from 0 to 1; rows that the partner lacks stay."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ids = df.groupBy(SEQ).agg(F.count("*").alias("_n"))
+    pairs = mixup(ids, [], 0.0, seed).join(ids, SEQ)
+    draw = lambda k: F.pmod(F.xxhash64(SEQ, F.lit(seed + k)), F.lit(10_000)) / 10_000.0
+    size = F.floor(draw(3) * F.col("_n"))
+    pairs = pairs.select(SEQ, "partner", size.alias("_size"), F.floor(draw(4) * (F.col("_n") - size + 1)).alias("_from"))
+    place = F.row_number().over(Window.partitionBy(SEQ).orderBy(AT)) - 1
+    rows = df.select(SEQ, AT, *names, place.alias("_i"))
+    other = rows.select(F.col(SEQ).alias("partner"), "_i", F.struct(*names).alias("_other"))
+    rows = rows.join(pairs, SEQ).join(other, ["partner", "_i"], "left")
+    inside = (F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_from") + F.col("_size")) & F.col("_other").isNotNull()
+    return rows.select(SEQ, "partner", AT, *(F.when(inside, F.col("_other").getField(n)).otherwise(F.col(n)).alias(n) for n in names))
+
+
 def noisy(df: DataFrame, names: list[str], sigma: float = 0.01, seed: int = 42) -> DataFrame:
     """Additive noise on a feature table, from the hash of id, column and seed (Box-Muller)."""
     from math import pi

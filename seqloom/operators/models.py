@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,35 @@ def boosted(df: DataFrame, names: list[str], label: str, rounds: int = 20, seed:
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_features"), GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, seed=seed)]).fit(df)
 
 
+def linear(df: DataFrame, features: str, label: str, kind: str = "logistic", penalty: float = 0.01) -> DataFrame:
+    """df plus `prediction`, fitted on df itself: a linear classifier on an array column. Kinds: logistic (multinomial),
+    svm (hinge loss, one class against the rest), ridge (least squares on the signs of the classes; highest value wins)."""
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(df)
+    x = index.transform(df.withColumn("_features", array_to_vector(features))).persist()
+    back = IndexToString(inputCol="_prediction", outputCol="prediction", labels=index.labels)
+    how = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
+    if kind == "logistic":
+        out = LogisticRegression(regParam=penalty, **how).fit(x).transform(x)
+    elif kind == "svm":
+        out = OneVsRest(classifier=LinearSVC(regParam=penalty, maxIter=20), **how).fit(x).transform(x)
+    elif kind == "ridge":
+        out = x
+        for i in range(len(index.labels)):
+            out = out.withColumn("_sign", F.when(F.col("_label") == i, 1.0).otherwise(-1.0))
+            model = LinearRegression(featuresCol="_features", labelCol="_sign", predictionCol=f"_value{i}", regParam=penalty, solver="normal" if features_few(df, features) else "l-bfgs").fit(out)
+            out = model.transform(out).drop("_sign")
+        values = F.array(*(F.col(f"_value{i}") for i in range(len(index.labels))))
+        out = out.withColumn("_prediction", (F.array_position(values, F.array_max(values)) - 1).cast("double"))
+    else:
+        raise ValueError(f"unknown kind {kind!r}")
+    return back.transform(out).select(*df.columns, "prediction")
+
+
+def features_few(df: DataFrame, features: str) -> bool:
+    """Whether the normal equations of an array column fit the solver's limit of 4096."""
+    return (df.agg(F.max(F.size(features))).first()[0] or 0) < 4096
+
+
 def selected(df: DataFrame, names: list[str], label: str, percentile: float = 0.5) -> list[str]:
     """The share of features with the largest ANOVA F against a numeric class label."""
     s = UnivariateFeatureSelector(featuresCol="features", labelCol=label, outputCol="_s", selectionMode="percentile")
@@ -46,8 +76,10 @@ def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 def nearest_centroid(df: DataFrame, vector: str, prototypes: DataFrame, label: str) -> DataFrame:
     """df plus the class of the nearest prototype and its softmax probability. The prototypes, one a class, are held as
-    one literal on the driver (their number is the number of classes)."""
-    rows = sorted(prototypes.collect(), key=lambda r: r[label])
+    one literal on the driver; more than 10,000 classes are an error."""
+    rows = sorted(prototypes.limit(10_001).collect(), key=lambda r: r[label])
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 classes")
     table = F.array(*(F.struct(F.lit(r[label]).alias("label"), F.array(*map(F.lit, r["centroid"])).alias("c")) for r in rows))
     squared = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
     df = df.withColumn("_d", F.transform(table, lambda p: F.struct(squared(p["c"]).alias("d"), p["label"].alias("label"))))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.functions.branches import branch
+from seqloom.functions.branches import branch, branch_summary
 from seqloom.operators import augment as au
 from seqloom.operators import labels as lb
 from seqloom.operators import models as ml
+from seqloom.operators import search
 from seqloom.operators import spectral as sp
 from seqloom.operators import stats as st
 from seqloom.sources import adapters as src
@@ -25,23 +26,37 @@ def features(spark, d):
 @query("l01_random_forest")
 def l01(spark, d):
     f, names = features(spark, d)
-    return ml.forest(f, names, "sequence_type", trees=20, depth=5).transform(f.withColumn("class_weight", F.lit(1.0))).select("sequence_id", "prediction")
+    return ml.forest(f, names, "sequence_type", trees=100, depth=8).transform(f.withColumn("class_weight", F.lit(1.0))).select("sequence_id", "prediction")
 
 
 @query("l05_feature_importance")
 def l05(spark, d):
     f, names = features(spark, d)
-    values = ml.forest(f, names, "sequence_type", trees=10, depth=4).stages[2].featureImportances.toArray()
+    values = ml.forest(f, names, "sequence_type", trees=50, depth=5).stages[2].featureImportances.toArray()
     t = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     return t.groupBy(F.substring_index("feature", "_", 2).alias("axis")).agg(F.sum("importance").alias("importance")).orderBy(F.desc("importance"))
 
 
-@query("l07_branches", """SELECT name, CASE WHEN regexp_matches(name, '_stft\\d*_') THEN 'stft' WHEN regexp_matches(name, '_cwt\\d*_') THEN 'cwt' WHEN name LIKE 'tof_%' THEN 'tof' WHEN name LIKE 'thm_%' THEN 'thermo' WHEN name LIKE 'rot%' THEN 'rotation' WHEN regexp_matches(name, '^(lin_acc|acc_mag)|_(velocity|displacement|jerk|smooth)$') THEN 'derived_imu' WHEN name LIKE 'acc_%' THEN 'acc' ELSE 'other' END AS branch
-FROM (SELECT DISTINCT (['acc_x', 'acc_x_jerk', 'rot_w', 'tof_1_mean', 'thm_1', 'acc_x_stft0_mean', 'acc_x_cwt0_mean'])[1 + user_id % 7] || '' AS name FROM events)""")
+#: Names of features in many branches, from the numbers of the parts table.
+NAMES = "n AS (SELECT DISTINCT (['acc_', 'rot_', 'tof_', 'thm_', 'lin_acc_', 'foot_'])[1 + p_partkey % 6] || (p_size % 9) || (['', '_jerk', '_stft0_mean', '_cwt1_std', '_smooth'])[1 + p_partkey % 5] AS name FROM part)"
+BRANCHES = "b AS (SELECT name, CASE WHEN regexp_matches(name, '_stft\\d*_') THEN 'stft' WHEN regexp_matches(name, '_cwt\\d*_') THEN 'cwt' WHEN name LIKE 'tof\\_%' ESCAPE '\\' THEN 'tof' WHEN name LIKE 'thm\\_%' ESCAPE '\\' THEN 'thermo' WHEN name LIKE 'rot%' THEN 'rotation' WHEN regexp_matches(name, '^(lin_acc|acc_mag)|_(velocity|displacement|jerk|smooth)$') THEN 'derived_imu' WHEN name LIKE 'acc\\_%' ESCAPE '\\' THEN 'acc' ELSE 'other' END AS branch FROM n)"
+
+
+def feature_names(spark, d):
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % n + 1).cast("int"))
+    start, end = pick(6, "acc_", "rot_", "tof_", "thm_", "lin_acc_", "foot_"), pick(5, "", "_jerk", "_stft0_mean", "_cwt1_std", "_smooth")
+    return src.table(spark, d, "part").select(F.concat(start, (F.col("p_size") % 9).cast("string"), end).alias("name")).distinct()
+
+
+@query("l07_branches", f"WITH {NAMES}, {BRANCHES} SELECT name, branch FROM b")
 def l07(spark, d):
-    names = F.array(*map(F.lit, ("acc_x", "acc_x_jerk", "rot_w", "tof_1_mean", "thm_1", "acc_x_stft0_mean", "acc_x_cwt0_mean")))
-    n = src.table(spark, d, "events").select(F.element_at(names, (F.col("user_id") % 7 + 1).cast("int")).alias("name")).distinct()
-    return n.select("name", branch(F.col("name")).alias("branch"))
+    return feature_names(spark, d).select("name", branch(F.col("name")).alias("branch"))
+
+
+@query("l07_branch_summary", f"""WITH {NAMES}, {BRANCHES}, s AS (SELECT branch, count(*) AS n_features, list_sort(list(name))[1:3] AS s FROM b GROUP BY 1)
+SELECT branch, n_features, CASE WHEN branch IN ('stft', 'cwt') THEN 'static (per-sequence)' ELSE 'time-series' END AS kind, array_to_string(s, ', ') || CASE WHEN n_features > 3 THEN ', ...' ELSE '' END AS example_columns FROM s""")
+def l07_summary(spark, d):
+    return branch_summary(feature_names(spark, d))
 
 
 @query("l09_feature_selection")
@@ -79,7 +94,7 @@ def l14m(spark, d):
 def l18(spark, d):
     f, names = features(spark, d)
     f = f.withColumn("y", (F.col("sequence_type") == "Target").cast("double"))
-    return ml.boosted(f, names, "y", 5).transform(f).select("sequence_id", "prediction")
+    return ml.boosted(f, names, "y", 20).transform(f).select("sequence_id", "prediction")
 
 
 @query("a07_augmentor")
@@ -91,7 +106,8 @@ for _kind in au.AUGMENTATIONS:
 
     @query(f"a_{_kind}")
     def a(spark, d, kind=_kind):
-        return au.augmented(src.samples(spark, d), ["acc_x"], [kind], 1.0, 1.0)
+        names = ["acc_x", "acc_y", "acc_z", "rot_w", "rot_x", "rot_y", "rot_z"]
+        return au.augmented(src.quats(spark, d), names, [kind], 1.0, 1.0) if kind in ("sensor_drop", "quaternion_flip") else au.augmented(src.samples(spark, d), ["acc_x"], [kind], 1.0, 1.0)
 
 
 @query("a08_mixup")
@@ -99,6 +115,11 @@ def a08(spark, d):
     return au.mixup(st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std")), ["acc_x_mean", "acc_x_std"])
 
 
+@query("a08_cutmix")
+def a08_cutmix(spark, d):
+    return au.cutmix(src.samples(spark, d), ["acc_x"])
+
+
 @query("a09_tabular_noise")
 def a09(spark, d):
     return au.noisy(st.frame(src.samples3(spark, d), ["acc_x"], ("mean",)), ["acc_x_mean"])
@@ -119,8 +140,23 @@ def pipeline_chunks(spark, d):
 
 @query("pipeline_rotation")
 def pipeline_rotation(spark, d):
-    q = src.quats(spark, d).withColumns({f"acc_{c}": F.lit(v) for c, v in zip("xyz", (0.0, 0.0, 9.8))})
-    return SensorPipeline(acc_modes="raw", rotation_modes="quaternion|euler|delta_euler|angular_velocity|rot6d", linear_acceleration="world").frame(q)
+    return SensorPipeline(acc_modes="raw", rotation_modes="quaternion|euler|delta_euler|angular_velocity|rot6d", linear_acceleration="world").frame(src.quats(spark, d))
+
+
+@query("pipeline_all_sensors", """WITH t AS (SELECT sequence_id, sequence_counter, thm_1 - avg(thm_1) OVER (PARTITION BY sequence_id) AS c, coalesce(thm_2 - lag(thm_2) OVER (PARTITION BY sequence_id ORDER BY sequence_counter), 0) AS s FROM thermo),
+g AS (SELECT sequence_id, sequence_counter, list_avg(list_transform(grid, lambda p: CASE WHEN p = -1 THEN 255::DOUBLE ELSE p END)) AS m FROM grids)
+SELECT q.sequence_id, round(avg(sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z)), 6) + 0.0 AS acc_mag_mean, round(stddev_pop(c), 6) + 0.0 AS thm_1_centered_std, round(max(s), 6) + 0.0 AS thm_2_diff_max, round(avg(m), 4) + 0.0 AS grid_imputed_mean_mean
+FROM quats q JOIN t USING (sequence_id, sequence_counter) JOIN g USING (sequence_id, sequence_counter) GROUP BY 1""", "quats thermo grids")
+def pipeline_all_sensors(spark, d):
+    """Motion, rotation, depth and temperature of every step, and spectra, in one plan."""
+    keys = ["sequence_id", "sequence_counter"]
+    steps = src.quats(spark, d).join(src.thermo(spark, d), keys).join(src.grids(spark, d).drop("vec_id"), keys)
+    p = SensorPipeline(
+        acc_modes="raw|velocity|jerk|dead_reckoning", rotation_modes="quaternion|angular_velocity", linear_acceleration="world", grids=["grid"], depth_modes="stats|regions|motion",
+        thermo=[f"thm_{i}" for i in range(1, 6)], thermo_modes="centered|diff|mean", global_context=True, stft={}, cwt={"n_scales": 8, "max_scale": 16.0}, crop=None,
+    )
+    names = {"acc_mag_mean": 6, "thm_1_centered_std": 6, "thm_2_diff_max": 6, "grid_imputed_mean_mean": 4}
+    return p.frame(steps).select("sequence_id", *((F.round(n, k) + 0.0).alias(n) for n, k in names.items()))
 
 
 @query("l08_kernel_features")
@@ -128,8 +164,25 @@ def l08(spark, d):
     return sp.kernel_features(src.samples(spark, d), "acc_x")
 
 
+for _kind in ("logistic", "svm", "ridge"):
+
+    @query(f"l08_linear_{_kind}")
+    def l08_linear(spark, d, kind=_kind):
+        """A linear classifier on kernel features of the orders' sequences."""
+        f = sp.kernel_features(src.samples3(spark, d), "acc_x", (1,))
+        y = src.sequences(spark, d).select("sequence_id", "sequence_type")
+        return ml.linear(f.join(y, "sequence_id"), "features", "sequence_type", kind).select("sequence_id", "prediction")
+
+
+@query("l16_random_search")
+def l16_random(spark, d):
+    f, names = features(spark, d)
+    f = lb.folds(f.withColumn("y", (F.col("sequence_type") == "Target").cast("double")), "sequence_id", 3)
+    return search.random_search(f, names, "y", "fold", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 5]}, 4)
+
+
 @query("l16_grid_search")
 def l16(spark, d):
     f, names = features(spark, d)
     f = lb.folds(f.withColumn("y", (F.col("sequence_type") == "Target").cast("double")), "sequence_id", 3)
-    return ml.grid_search(f, names[:3], "y", "fold", (3,), (5, 10))
+    return ml.grid_search(f, names, "y", "fold", (3, 5), (10, 20))

@@ -1,9 +1,14 @@
+import hashlib
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.functions import branches
 from seqloom.functions.branches import modes
-from seqloom.operators import augment, scoring
+from seqloom.operators import augment, scoring, search
 from seqloom.operators import labels as lb
+from seqloom.operators import models as ml
 from seqloom.plans import catalog
 from seqloom.plans.pipeline import SensorPipeline
 from seqloom.sources import files
@@ -54,3 +59,64 @@ def test_files(spark, tmp_path):
 
 def test_every_oracle_has_its_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_places_of_one_large_cell(spark):
+    df = spark.range(5000).selectExpr("id as k", "if(id < 4900, 'a', if(id < 4990, null, 'b')) as c")
+    got = lb.seeded_places(df, "k", ["c"], 1).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.c, []).append((r._place, hashlib.md5(f"{r.k}:1".encode()).hexdigest(), r._size))
+    for c, rows in by.items():
+        rows.sort()
+        assert [p for p, *_ in rows] == list(range(1, len(rows) + 1)) and [h for _, h, _ in rows] == sorted(h for _, h, _ in rows)
+        assert {n for *_, n in rows} == {len(rows)}
+
+
+def test_episodes_repeat_short_classes(spark):
+    df = spark.createDataFrame([(i, "ab"[i > 3]) for i in range(40)], "k long, c string")
+    rows = lb.episodes(df, "k", "c", 2, 3, 4).collect()
+    for c in "ab":
+        assert sorted(r.role for r in rows if r.c == c) == ["query"] * 4 + ["support"] * 3
+    assert len({r.k for r in rows if r.c == "a"}) == 4
+
+
+def test_model_and_bundle(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(40)], "x double, y int")
+    model = ml.boosted(df, ["x"], "y", 2)
+    files.save_model(model, str(tmp_path / "m"), ["x"], seed=3)
+    again, about = files.load_model(spark, str(tmp_path / "m"))
+    assert about == {"features": ["x"], "seed": 3} and again.transform(df).count() == 40
+    names = ("cv_results.csv", "holdout_results.csv", "best_results.csv")
+    for bad in (("../x.csv", *names), names[:2]):
+        with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+            for n in bad:
+                z.writestr(n, "a")
+        with pytest.raises(ValueError):
+            files.collect_bundle(str(tmp_path / "b.zip"), str(tmp_path / "out"))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        for n in names:
+            z.writestr(f"r/{n}", "a")
+    assert len(files.collect_bundle(str(tmp_path / "b.zip"), str(tmp_path / "out"))) == 3
+    (tmp_path / "in" / "set").mkdir(parents=True)
+    (tmp_path / "in" / "set" / "train.csv").write_text("a")
+    assert files.find_data_root(spark, places=(str(tmp_path / "in"),)).endswith("in/set")
+    with pytest.raises(FileNotFoundError):
+        files.find_data_root(spark, ("no-such-file",))
+
+
+def test_search_spaces():
+    space = {"a": [1, 2, 3], "b": [{"x": 1}, [2]]}
+    coded = search.encoded(space)
+    assert [search.decoded(v) for v in coded["b"]] == [{"x": 1}, [2]]
+    points = search.drawn(coded, 10)
+    assert len(points) == 6 and len({tuple(sorted(p.items())) for p in points}) == 6 and search.drawn(coded, 3) == search.drawn(coded, 3)
+    assert search.validated({"window_size": 8}) == {"window_size": 8}
+    for bad in ({"window_size": 0}, {"maxlen": 1.5}, {"sequence_crop_mode": "x"}):
+        with pytest.raises(ValueError):
+            search.validated(bad)
+
+
+def test_names_of_columns():
+    assert branches.existing(["a", "b"], ["b", "c", "b", "a"]) == ["b", "a"] and branches.except_columns(["a", "b"], ["a"]) == ["b"]
+    assert branches.first_sensors(["tof_10", "tof_2", "tof_1"], 2) == ["tof_1", "tof_2"]
