@@ -8,15 +8,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_crc
-
-#: Bytes of a window: training stretches, and the stretches that a whole text is cut into for labelling.
-TRAIN_BYTES, LABEL_BYTES = 64, 128
-#: Windows that are labelled at a time.
-AT_ONCE = 1024
+from .common import cut, doc_crc
+
+#: Bytes of a training window and windows that a picked document gives.
+TRAIN_BYTES, TRAIN_WINDOWS = 64, 4
+#: A text is labelled in stretches of LABEL_BYTES; the states of both directions start CONTEXT bytes outside a stretch,
+#: further than they remember, so that a position's label doesn't depend on where the text is cut.
+LABEL_BYTES, CONTEXT = 256, 16
+#: Stretches that are labelled at a time.
+AT_ONCE = 512
 HIDDEN = 10
-#: The model learns from about so many documents a language and from the most frequent languages.
-DOCS_PER_LANGUAGE, MOST_LANGUAGES = 1_000, 256
+#: The model learns from about so many documents a language, and from about so many in all, but from every language.
+DOCS_PER_LANGUAGE, DOCS_IN_ALL, FEWEST_DOCS = 1_000, 100_000, 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -106,9 +109,11 @@ class Network:
         return loss, grad
 
 
-def fit(windows: list[bytes], labels: np.ndarray, languages: int, steps: int = 400, batch: int = 128, rate: float = 0.01, seed: int = 1) -> Network:
-    """Adam on seeded batches with as many windows of each language as of any other."""
-    net, rng = Network(languages, seed=seed), np.random.default_rng(seed)
+def fit(windows: list[bytes], labels: np.ndarray, languages: int, steps: int | None = None, batch: int = 128, rate: float = 0.01, seed: int = 1) -> Network:
+    """Adam on seeded batches with as many windows of each language as of any other. Beyond eight languages, steps and
+    states grow with their number."""
+    steps = steps or 400 + 25 * max(0, languages - 8)
+    net, rng = Network(languages, HIDDEN + 3 * max(0, (languages // 8).bit_length() - 1), seed), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     by_language = [np.flatnonzero(labels == i) for i in range(languages)]
     x, mask = padded(windows, TRAIN_BYTES)
@@ -131,17 +136,16 @@ def padded(windows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return x, (np.arange(width)[:, None] < sizes).astype(np.float32)
 
 
-def train(docs: DataFrame, usable=None, seed: int = 1, **how) -> tuple[list[str], Network | None]:
-    """Learn from texts that hold a letter and have a language. Languages beyond the MOST_LANGUAGES most frequent ones
-    aren't learnt. About DOCS_PER_LANGUAGE documents of each language are picked by a hash of doc_id, with four windows
-    of each. Without any such text there is no network."""
+def train(docs: DataFrame, usable=None, seed: int = 1, per_language: int = DOCS_PER_LANGUAGE, in_all: int = DOCS_IN_ALL, **how) -> tuple[list[str], Network | None]:
+    """Learn from texts that hold a letter and have a language; every such language is learnt. About per_language
+    documents of each are picked by a hash of doc_id and text (fewer, FEWEST_DOCS at least, where that would be more than
+    in_all documents), with TRAIN_WINDOWS windows of each. Without any such text there is no network."""
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = rows.where(usable) if usable is not None else rows
-    counts = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    if not counts:
-        return [], None
-    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, DOCS_PER_LANGUAGE / r["count"]))) for r in counts))
-    picked = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    per_language = max(FEWEST_DOCS, min(per_language, in_all // max(1, counts.count())))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    picked = rows.join(counts, "lang").where(draw < F.lit(per_language) / F.col("n")).select("doc_id", "text", "lang")
 
     def cut_out(batches):
         for b in batches:
@@ -149,7 +153,7 @@ def train(docs: DataFrame, usable=None, seed: int = 1, **how) -> tuple[list[str]
             for doc, text, lang in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
                 if _LETTER.search(text):
                     data = text.encode()
-                    at = np.linspace(0, max(0, len(data) - TRAIN_BYTES), 4).astype(int)
+                    at = np.linspace(0, max(0, len(data) - TRAIN_BYTES), TRAIN_WINDOWS).astype(int)
                     found += [(doc if doc is not None else -1, i, data[a : a + TRAIN_BYTES], lang) for i, a in enumerate(sorted(set(at.tolist())))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ((),) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.string()))], ["doc", "i", "window", "lang"])
 
@@ -164,22 +168,18 @@ def train(docs: DataFrame, usable=None, seed: int = 1, **how) -> tuple[list[str]
 def pooled(net: Network, texts: list[bytes], languages: int) -> np.ndarray:
     """Mean of the label probabilities over all positions of each whole text."""
     out, sizes = np.zeros((len(texts), languages)), np.array([max(1, len(t)) for t in texts])
-    owners: list[int] = []
-    windows: list[bytes] = []
-
-    def flush():
-        x, mask = padded(windows, LABEL_BYTES)
-        np.add.at(out, owners, (net.probabilities(x, mask) * mask[:, :, None]).sum(axis=0))
-        owners.clear(), windows.clear()
-
-    for i, text in enumerate(texts):
-        for at in range(0, len(text), LABEL_BYTES):
-            owners.append(i)
-            windows.append(text[at : at + LABEL_BYTES])
-            if len(windows) == AT_ONCE:
-                flush()
-    if windows:
-        flush()
+    stretches = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), LABEL_BYTES)]
+    size = lambda p: min(LABEL_BYTES, len(texts[p[0]]) - p[1])
+    stretches.sort(key=lambda p: (size(p), p))  # short ones together
+    step = max(8, AT_ONCE * 8 // max(8, languages))
+    for k in range(0, len(stretches), step):
+        some = stretches[k : k + step]
+        windows = [texts[i][max(0, at - CONTEXT) : at + LABEL_BYTES + CONTEXT] for i, at in some]
+        x, mask = padded(windows, max(map(len, windows)))
+        before = np.array([min(CONTEXT, at) for _, at in some])
+        place = np.arange(len(x))[:, None]
+        own = (place >= before) & (place < before + np.array([size(p) for p in some]))
+        np.add.at(out, [i for i, _ in some], np.einsum("tbl,tb->bl", net.probabilities(x, mask), own.astype(np.float32)))
     return out / sizes[:, None]
 
 
