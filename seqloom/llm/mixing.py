@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-#: More sources than this stop the mix with an error: their names and sizes are gathered on the driver.
-MAX_SOURCES = 200_000
+#: Divisors that one pass over the sources tries; the range of the divisor shrinks by this factor a pass.
+DIVISORS = 64
 #: A source is split into shards of about so many tokens, MOST_SHARDS at most (the shards of one source meet in one task).
 SHARD_TOKENS, MOST_SHARDS = 1 << 17, 1 << 16
 
@@ -42,22 +42,61 @@ def sainte_lague(weights, seats: int, caps) -> np.ndarray:
     return out
 
 
-def capped_targets(sizes, weights, total: float, most: float) -> list[float]:
-    """Shares of the total by weight; what exceeds most * size is shared again by weight until none is above."""
-    n, free, left = len(sizes), set(range(len(sizes))), float(total)
-    out = [0.0] * n
-    while free:
-        unit = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / unit >= most * sizes[i]}
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / unit
+def capped_targets(sources: DataFrame, total: float, most: float) -> DataFrame:
+    """sources plus `target`: shares of the total by weight; what exceeds most * tokens is shared again by weight until
+    none is above. A pass over the sources settles all that the present share per weight fills; it takes as many passes
+    as the fill level rises."""
+    cap, level, over = F.col("tokens") * float(most), -1.0, F.lit(False)
+    while True:
+        free, full = sources.agg(F.sum(F.when(~over, F.col("weight"))), F.sum(F.when(over, cap))).first()
+        raised = (float(total) - (full or 0.0)) / free if free else float("inf")
+        if raised <= level or not free:
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        left -= sum(out[i] for i in over)
-        free -= over
-    return out
+        level, over = raised, F.lit(raised) * F.col("weight") >= cap
+    return sources.withColumn("target", F.when(over, cap).otherwise(F.lit(level) * F.col("weight")))
+
+
+def apportion(sources: DataFrame, seats: int, block_tokens: int, most: int) -> DataFrame:
+    """sources plus `quota`: `seats` blocks by the highest quotients target / (2 s + 1), ties to the earlier source, no
+    source above `most` times its own blocks. Passes over the sources close in on the divisor; the seats that are left
+    between its bounds are few and go by the quotients themselves. No table of the sources leaves the executors."""
+    cap = F.ceil(F.col("tokens") / block_tokens) * most
+    given = lambda d: F.floor(F.least(cap.cast("double"), F.col("target") / F.lit(d) + 0.5)).cast("long")
+    top, least, room = sources.where("target > 0").agg(F.max("target"), F.min("target"), F.sum(cap)).first()
+    seats = min(seats, room or 0)
+    if seats <= 0:
+        return sources.withColumn("quota", F.lit(0).cast("long"))
+    low, high = least / (2.0 * (room + 1)), 4 * top + 1
+    for _ in range(12):
+        tried = np.geomspace(low, high, DIVISORS + 1)[1:-1].tolist()
+        sums = sources.agg(*(F.sum(given(d)) for d in tried)).first()
+        above = sum(x > seats for x in sums)
+        low, high = [low, *tried, high][above], [low, *tried, high][above + 1]
+        some = sums[above] if above < len(tried) else 0
+        if seats - some <= DIVISORS:
+            break
+    left = seats - (sources.agg(F.sum(given(high))).first()[0] or 0)
+    next_ones = F.sequence(given(high), F.least(given(low), given(high) + F.lit(left)) - 1)
+    quotients = sources.where(given(low) > given(high)).select("src", "target", F.explode(next_ones).alias("s"))
+    won = quotients.orderBy((F.col("target") / (2 * F.col("s") + 1)).desc(), "src", "s").limit(int(left)).groupBy("src").agg(F.count("*").alias("won"))
+    return sources.join(won, "src", "left").withColumn("quota", given(high) + F.coalesce("won", F.lit(0))).drop("won")
+
+
+def numbered_sources(sized: DataFrame, weights) -> DataFrame:
+    """(src, source_name, tokens, weight) of the sources by code point, null last: ranges of names are numbered each for
+    itself, after the counts of the ranges before."""
+    spark = sized.sparkSession
+    each = sized.groupBy("source").agg(F.sum("size").alias("tokens"))
+    ranged = each.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    ranged = cut(ranged.select("source", "tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    counts = sorted((r.part, r["count"]) for r in ranged.groupBy("part").count().collect())  # a row per range
+    before, n = {}, 0
+    for part, count in counts:
+        before[part], n = n, n + count
+    offsets = spark.createDataFrame(list(before.items()), "part int, before long")
+    src = F.col("place") + F.col("before")
+    weight = F.array(*map(F.lit, weights))[(src % len(weights)).cast("int")].cast("double")
+    return ranged.join(F.broadcast(offsets), "part").select(src.alias("src"), F.col("source").alias("source_name"), "tokens", weight.alias("weight"))
 
 
 def _shard_quotas(block_tokens: int, most: int):
@@ -80,37 +119,29 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, block_tokens: int = 1
     run are taken in part. Returns doc_id, size, source_size, target, taken, passes (whole copies), cut_from and cut_to
     (the run's words in the document, up to two stretches), and the columns named in `keep` under `kept`.
 
-    Null texts and texts without words have size 0 and are never taken; a null doc_id is an id like any other;
-    repeated rows are documents of their own; an empty table gives no rows. Other columns are ignored.
+    Sources may be of any number: they are numbered, filled and apportioned in Spark. Shard and order of a document
+    follow from a hash of its id and text, so null and repeated ids spread. Null texts and texts without words have size
+    0 and are never taken; a null doc_id is an id like any other; repeated rows are documents of their own; an empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     sized = docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id"), F.xxhash64("doc_id", "text").alias("code"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         *([F.struct(*keep).alias("kept")] if keep else []),
     )
     if not keep:
         sized = cut(sized)
-    sources = sized.groupBy("source").agg(F.sum("size").alias("tokens")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes, total = [r.tokens for r in sources], sum(r.tokens for r in sources)
-    targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], total, most)
-    quotas = sainte_lague(targets, round(total / block_tokens), [-(-s // block_tokens) * most for s in sizes]) if total else [0] * len(sizes)
-    shards = [max(1, min(MOST_SHARDS, -(-s // SHARD_TOKENS))) for s in sizes]
-    table = spark.createDataFrame(
-        [(i, r.source, int(sizes[i]), float(targets[i]), int(quotas[i]), int(shards[i])) for i, r in enumerate(sources)],
-        "src int, source_name string, source_size long, target double, quota long, shards int",
-    )
-    rows = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("source_name"))).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int")
-    )
+    sources = cut(numbered_sources(sized, weights))
+    total = sources.agg(F.sum("tokens")).first()[0] or 0
+    table = capped_targets(sources, total, most) if total else sources.withColumn("target", F.lit(0.0))
+    table = apportion(cut(table), round(total / block_tokens), block_tokens, most)
+    shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("tokens") / SHARD_TOKENS))).cast("int")
+    table = cut(table.select("src", "source_name", F.col("tokens").alias("source_size"), "target", "quota", shards.alias("shards")))
+    rows = sized.join(table, F.col("source").eqNullSafe(F.col("source_name"))).withColumn("shard", F.pmod(F.xxhash64("code", F.lit(seed)), F.col("shards")).cast("int"))
     per_shard = (
         rows.groupBy("src", "shard").agg(F.sum("size").alias("tokens"), F.first("quota").alias("quota"))
-        .groupBy("src").applyInPandas(_shard_quotas(block_tokens, most), "src int, shard int, n long, q long")
+        .groupBy("src").applyInPandas(_shard_quotas(block_tokens, most), "src long, shard int, n long, q long")
     )
-    laid = Window.partitionBy("src", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    laid = Window.partitionBy("src", "shard").orderBy(F.xxhash64("code", F.lit(seed + 1)), "code", "doc_id", "size")
     end = F.sum("size").over(laid.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("end", end).join(per_shard, ["src", "shard"])
     b = F.lit(block_tokens)
