@@ -27,14 +27,19 @@ MARKED = (
     "subscription newsletter signup login search nav navbar navigation menu breadcrumb breadcrumbs pager pagination footer foot header head "
     "masthead toolbar widget widgets popup modal overlay copyright legal disclaimer tags taglist skip complementary contentinfo"
 ).split()
-COMMENTS = {"comment", "comments", "respond", "reply", "replies", "disqus", "discussion"}
+# Words that may stand beside those in such a name; with any other word the name says something else.
+BESIDE = (
+    "area bar block bottom box button buttons center col column container element footer global group holder inner item items layout left link links "
+    "list module outer page panel primary right row secondary section site small strip text top unit view wrap wrapper"
+).split()
 
-_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: The inside of a tag: quotes enclose a value only right after an equals sign.
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])" + _REST + r"(?<=/)>"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + _REST + r">.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<quiet>" + "|".join(x for x in SILENT if x not in RAW) + r")(?=[\s/>])" + _REST + r">.*?</(?P=quiet)\s*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>" + _REST + r")>|<[!?/][^>]*>",
     re.I | re.S,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -115,39 +120,40 @@ def _marks(tag: str, rest: str) -> set[str]:
     found = set()
     for m in _NAMES.finditer(rest) if tag not in ("html", "body") else ():
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = [p for p in re.split(r"[^a-z]+", name) if p]
-            if parts and parts[0] not in ("has", "no", "with", "without", "main", "content", "article", "entry", "post"):
-                found |= {p for p in (parts[0], parts[-1]) if p in _MARKED}
+            parts = {p for p in re.split(r"[^a-z]+", name) if p}
+            if parts <= _MAY_STAND:
+                found |= parts & _MARKED
     return found
 
 
+_MAY_STAND = {*MARKED, *BESIDE}
 _MARKED, _BLOCK, _VOID, _HEADING = set(MARKED), set(BLOCK), set(VOID), {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def blocks(html: str) -> list[list]:
     """[text, words, words in links, in article, marked, heading, item] of the flat text blocks in page order."""
     out: list[list] = []
-    stack: list[tuple] = []  # tag, in article, marked, marked as comments, heading, item, in link
+    stack: list[tuple] = []  # tag, in article, marked, heading, item, in link
     pieces: list[tuple[str, bool]] = []
-    state = (False, False, False, False, False, False)
+    state = (False, False, False, False, False)
 
     def close():
         if pieces:
             text = _SPACE.sub(" ", unescape("".join(p for p, _ in pieces))).strip()
             if text:
                 linked = sum(len(unescape(p).split()) for p, link in pieces if link)
-                out.append([text, len(text.split()), linked, *state[:2], *state[3:5]])
+                out.append([text, len(text.split()), linked, *state[:4]])
             pieces.clear()
 
     def pop_to(i: int):
         nonlocal state
         del stack[i:]
-        state = stack[-1][1:] if stack else (False, False, False, False, False, False)
+        state = stack[-1][1:] if stack else (False, False, False, False, False)
 
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at:
-            pieces.append((html[at : m.start()], state[5]))
+            pieces.append((html[at : m.start()], state[4]))
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -170,20 +176,18 @@ def blocks(html: str) -> list[list]:
                     pop_to(i)
         if tag in _VOID or m["rest"].endswith("/") and tag not in _BLOCK:
             continue
-        article, marked, comments, heading, item, link = state
+        article, marked, heading, item, link = state
         names = _marks(tag, m["rest"])
         if article:
             names -= {"header", "head", "alert"}
         own = bool(names) or tag in ("nav", "aside", "footer", "form", "dialog", "menu") or tag == "header" and not article
-        if tag in ("article", "main") and not own:
-            article, marked = True, comments
-        else:
-            marked = marked or own
-        comments = comments or bool(names & COMMENTS)
-        state = (article, marked, comments, heading or tag in _HEADING, item or tag in ("li", "dd", "dt", "td"), link or tag == "a")
+        if tag in ("article", "main") and not own and not marked:
+            article = True
+        marked = marked or own
+        state = (article, marked, heading or tag in _HEADING, item or tag in ("li", "dd", "dt", "td"), link or tag == "a")
         stack.append((tag, *state))
     if at < len(html):
-        pieces.append((html[at:], state[5]))
+        pieces.append((html[at:], state[4]))
     close()
     return out
 
