@@ -53,6 +53,7 @@ def linear(df: DataFrame, features: str, label: str, kind: str = "logistic", pen
         out = out.withColumn("_prediction", (F.array_position(values, F.array_max(values)) - 1).cast("double"))
     else:
         raise ValueError(f"unknown kind {kind!r}")
+    x.unpersist()
     return back.transform(out).select(*df.columns, "prediction")
 
 

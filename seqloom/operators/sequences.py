@@ -36,7 +36,8 @@ def along(df: DataFrame, make, adds: list[str] = ()) -> DataFrame:
     """df with what make(frame, bounds) returns: columns by name, those of df replaced and `adds` (doubles) new.
 
     The rows come from a window over the sequence, which leaves them clustered and in order; where the plan below is
-    partitioned by sequence already (any operator of this package is), that adds no shuffle."""
+    partitioned by sequence already (any operator of this package is), that adds no shuffle. Spark doesn't know that the
+    rows that come back still are, so the next operator that needs it shuffles once."""
     fields = [f for f in df.schema.fields if f.name not in adds]
     schema = T.StructType([*fields, *(T.StructField(a, T.DoubleType()) for a in adds)])
 

@@ -162,7 +162,7 @@ def resampled(df: DataFrame, names: list[str], native: int, target: int, quatern
 
 def with_spectra(df: DataFrame, signals: list[str], rate: float, stft: dict | None, cwt: dict | None) -> tuple[DataFrame, list[str]]:
     """df with the numbers of stft_features and cwt_features of every signal on each row of its sequence, as
-    <signal>_stft0_<name> and <signal>_cwt0_<name>, and their names. No shuffle of its own (see sequences.along)."""
+    <signal>_stft0_<name> and <signal>_cwt0_<name>, and their names (shuffles: see sequences.along)."""
     makers = []
     if stft is not None:
         how = {"size": 32, "overlap": None, "scaling": "density"} | stft

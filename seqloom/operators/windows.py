@@ -68,10 +68,11 @@ def interpolated(df: DataFrame, names: list[str]) -> DataFrame:
     """Nulls between known values become points on the line between them, by row position; edges are held."""
     down = backwards().rowsBetween(Window.unboundedPreceding, 0)
     keep, work = df.columns, df.withColumn("_i", position())
-    for n in names:
-        at = F.when(F.col(n).isNotNull(), F.col("_i"))
-        last = lambda x, w: F.last(x, ignorenulls=True).over(w)
-        work = work.withColumns({f"_{n}_a": last(F.col(n), so_far()), f"_{n}_ia": last(at, so_far()), f"_{n}_b": last(F.col(n), down), f"_{n}_ib": last(at, down)})
+    at = {n: F.when(F.col(n).isNotNull(), F.col("_i")) for n in names}
+    last = lambda x, w: F.last(x, ignorenulls=True).over(w)
+    # all forward frames, then all backward ones: one sort each
+    work = work.withColumns({f"_{n}_{k}": last(x, so_far()) for n in names for k, x in (("a", F.col(n)), ("ia", at[n]))})
+    work = work.withColumns({f"_{n}_{k}": last(x, down) for n in names for k, x in (("b", F.col(n)), ("ib", at[n]))})
     def value(n: str) -> Column:
         a, b, ia, ib = (F.col(f"_{n}_{x}") for x in ("a", "b", "ia", "ib"))
         return F.when(F.col(n).isNotNull(), F.col(n)).otherwise(F.coalesce(a + (b - a) * (F.col("_i") - ia) / (ib - ia), a, b))

@@ -24,9 +24,9 @@ class SensorPipeline:
     """Order of the steps: problematic sequences go, gaps are filled, resampling, dt, clip, gravity, motion filter,
     features of motion, rotation, depth and temperature, context, spectra.
 
-    Every step is a projection over the same window, or hands whole sequences to NumPy in the order and partitioning of
-    that window, so the plan has one shuffle on sequence_id, whatever is switched on (but for skew_limit, which reads the
-    table a second time for the sequences to drop). Names are known before anything runs.
+    Every native step is a projection over the same window, so they share one shuffle on sequence_id. A step that hands
+    whole sequences to NumPy (resample, motion_filter, spectra) takes that partitioning as it is and costs one shuffle
+    after it. skew_limit reads the table a second time for the sequences to drop. Names are known before anything runs.
 
     grids: array columns of 64 pixels; thermo: temperature columns. resample: (native, target) rates of accelerations and
     orientations. stft and cwt: settings of spectral.with_spectra. linear_acceleration: world or body; without

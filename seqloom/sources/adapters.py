@@ -10,14 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _counter(partition: str, *order: str):
-    return (F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1).cast("long")
+def _counter(*order: str):
+    """Places within a sequence. The window is over the renamed key, so that what follows needs no shuffle of its own."""
+    return (F.row_number().over(Window.partitionBy("sequence_id").orderBy(*order)) - 1).cast("long").alias("sequence_counter")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One axis: a sequence per user, its events in time order."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
-    return e.select(F.col("user_id").alias("sequence_id"), _counter("user_id", "ts", "event_id").alias("sequence_counter"), F.col("value").alias("acc_x"), F.col("event_type").alias("phase"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("sequence_id"), "ts", "event_id", "value", "event_type")
+    return e.select("sequence_id", _counter("ts", "event_id"), F.col("value").alias("acc_x"), F.col("event_type").alias("phase"))
 
 
 def samples_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,31 +30,33 @@ def samples_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three axes: a sequence per order, its lines in a total order."""
     order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *order, "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sequence_id"), *order, "l_quantity", "l_discount", "l_tax", "l_returnflag")
     return li.select(
-        F.col("l_orderkey").alias("sequence_id"), _counter("l_orderkey", *order).alias("sequence_counter"),
+        "sequence_id", _counter(*order),
         F.col("l_quantity").alias("acc_x"), F.col("l_discount").alias("acc_y"), F.col("l_tax").alias("acc_z"), F.col("l_returnflag").alias("behavior"),
     )
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("sequence_id"), "vec_id", "embedding")
+
+
 def quats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orientations: the first four dimensions of every vector, and accelerations: the next three; a sequence per label."""
-    e, at = table(spark, sf_dir, "embeddings"), lambda i: F.col("embedding")[i].cast("double")
+    e, at = _vectors(spark, sf_dir), lambda i: F.col("embedding")[i].cast("double")
     names = [*(f"rot_{c}" for c in "wxyz"), *(f"acc_{c}" for c in "xyz")]
-    return e.select(F.col("label").alias("sequence_id"), _counter("label", "vec_id").alias("sequence_counter"), *(at(i).alias(n) for i, n in enumerate(names)))
+    return e.select("sequence_id", _counter("vec_id"), *(at(i).alias(n) for i, n in enumerate(names)))
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 depth grids in row-major order: components times 1000, the negative ones without return (-1)."""
     pixel = lambda x: F.when(x < 0, F.lit(-1.0)).otherwise(x.cast("double") * 1000)
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").alias("sequence_id"), _counter("label", "vec_id").alias("sequence_counter"), "vec_id", F.transform("embedding", pixel).alias("grid"))
+    return _vectors(spark, sf_dir).select("sequence_id", _counter("vec_id"), "vec_id", F.transform("embedding", pixel).alias("grid"))
 
 
 def thermo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five temperature channels: dimensions 10 to 14."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").alias("sequence_id"), _counter("label", "vec_id").alias("sequence_counter"), *(F.col("embedding")[9 + i].cast("double").alias(f"thm_{i}") for i in range(1, 6)))
+    return _vectors(spark, sf_dir).select("sequence_id", _counter("vec_id"), *(F.col("embedding")[9 + i].cast("double").alias(f"thm_{i}") for i in range(1, 6)))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,16 @@ def test_search_spaces():
 def test_names_of_columns():
     assert branches.existing(["a", "b"], ["b", "c", "b", "a"]) == ["b", "a"] and branches.except_columns(["a", "b"], ["a"]) == ["b"]
     assert branches.first_sensors(["tof_10", "tof_2", "tof_1"], 2) == ["tof_1", "tof_2"]
+
+
+def test_pipeline_shuffles_once(spark):
+    names = [*(f"acc_{c}" for c in "xyz"), *(f"rot_{c}" for c in "wxyz"), "thm_1"]
+    df = spark.createDataFrame([("a", i, *([0.5] * 8), [1.0] * 64) for i in range(9)], "sequence_id string, sequence_counter long, " + ", ".join(f"{n} double" for n in names) + ", tof_1 array<double>")
+    native = {
+        "acc_modes": "raw|velocity|dead_reckoning", "rotation_modes": "quaternion|angular_velocity", "linear_acceleration": "body", "grids": ["tof_1"], "depth_modes": "regions|motion",
+        "thermo": ["thm_1"], "thermo_modes": "centered_diff|mean", "global_context": True, "frame_stats": ("mean",),
+    }
+    for more, shuffles in (({}, 1), ({"motion_filter": True}, 2), ({"motion_filter": True, "resample": (20, 10), "stft": {}}, 4)):
+        frame = SensorPipeline(**native, **more).frame(df)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == shuffles
