@@ -98,68 +98,67 @@ def _linked(rest: np.ndarray, one: np.uint64, most: int) -> np.ndarray:
     return near[np.bitwise_count(x[near]) <= most]
 
 
-def _posting_stars(fps: np.ndarray, most: int, long: int = 20_000) -> list[np.ndarray]:
-    """The connected groups (two members at least) among the distinct fingerprints of one posting list."""
-    groups, rest = [], fps
-    masks = None
-    if len(fps) > long:
-        # a long list: look the neighbours up instead, a number of probes per member that doesn't grow with the list
-        free = [i for i in range(64) if ((fps ^ fps[0]) >> np.uint64(i) & np.uint64(1)).any()]
-        if sum(1 for k in range(most + 1) for _ in combinations(free, k)) < len(fps):
-            masks = np.array([sum(1 << i for i in c) for k in range(1, most + 1) for c in combinations(free, k)], np.uint64)
-    alive = np.ones(len(fps), bool) if masks is not None else None
-    fps = np.sort(fps)
-    if masks is None:
-        while len(rest):
-            group, todo, rest = [rest[0]], [rest[0]], rest[1:]
-            while todo and len(rest):
-                near = _linked(rest, todo.pop(), most)
-                if len(near):
-                    found = rest[near]
-                    group += list(found)
-                    todo += list(found)
-                    rest = np.delete(rest, near)
-            if len(group) > 1:
-                groups.append(np.array(group, np.uint64))
-        return groups
-    for i in range(len(fps)):
-        if not alive[i]:
-            continue
-        alive[i] = False
-        group, todo = [fps[i]], [fps[i]]
-        while todo:
-            wanted = masks ^ todo.pop()
-            at = np.minimum(np.searchsorted(fps, wanted), len(fps) - 1)
-            found = np.unique(at[(fps[at] == wanted) & alive[at]])
-            alive[found] = False
-            group += list(fps[found])
-            todo += list(fps[found])
+def _connected(rest: np.ndarray, most: int) -> list[np.ndarray]:
+    """The connected groups (two members at least) among some distinct fingerprints."""
+    groups = []
+    while len(rest):
+        group, todo, rest = [rest[0]], [rest[0]], rest[1:]
+        while todo and len(rest):
+            near = _linked(rest, todo.pop(), most)
+            if len(near):
+                group += list(rest[near])
+                todo += list(rest[near])
+                rest = np.delete(rest, near)
         if len(group) > 1:
             groups.append(np.array(group, np.uint64))
     return groups
 
 
-def _edges(most: int):
+def _posting_stars(fps: np.ndarray, most: int, shared: int, leaf: int = 512) -> list[np.ndarray]:
+    """Connected groups that hold every link among the distinct fingerprints of one posting list, whose members share
+    `shared` positional bytes. A list above `leaf` becomes a list for each further byte at each other position: a link
+    shares BYTES - most bytes, so it stands in one of them."""
+    if len(fps) <= leaf or shared >= BYTES - most:
+        return _connected(fps, most)
+    groups, octets = [], fps.view(np.uint8).reshape(-1, BYTES)
+    agree = (octets == octets[0]).all(axis=0)
+    if agree.sum() >= BYTES - most:  # the list can't be told apart by what its links must share
+        return _connected(fps, most)
+    for p in np.flatnonzero(~agree):
+        order = np.argsort(octets[:, p], kind="stable")
+        cuts = np.flatnonzero(np.diff(octets[order, p])) + 1
+        for part in np.split(fps[order], cuts):
+            if len(part) > 1:
+                groups += _posting_stars(part, most, int(agree.sum()) + 1, leaf)
+    return groups
+
+
+def _edges(most: int, shared: int):
     def edges_of(key: np.ndarray, fp: np.ndarray):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
         many = ends - starts > 1
         for a, b in zip(starts[many], ends[many]):
-            for group in _posting_stars(fp[a:b].astype(np.int64).view(np.uint64), most):
+            for group in _posting_stars(fp[a:b].astype(np.int64).view(np.uint64), most, shared):
                 signed = group.view(np.int64)
                 low = signed.min()
                 yield from ((low, x) for x in signed if x != low)
 
     def run(frames):
-        """The rows come sorted by key; a posting list may go on in the next frame."""
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """The rows come sorted by key; a posting list may go on in the next frames."""
+        rest: list[tuple] = []
         for frame in frames:
-            key, fp = np.concatenate([key, frame["key"].to_numpy()]), np.concatenate([fp, frame["fp"].to_numpy()])
-            last = np.searchsorted(key, key[-1]) if len(key) else 0
-            yield pd.DataFrame(list(edges_of(key[:last], fp[:last])) if last else [], columns=["src", "dst"], dtype="int64")
-            key, fp = key[last:], fp[last:]
-        if len(key):
-            yield pd.DataFrame(list(edges_of(key, fp)), columns=["src", "dst"], dtype="int64")
+            key, fp = frame["key"].to_numpy(), frame["fp"].to_numpy()
+            if not len(key):
+                continue
+            last = np.searchsorted(key, key[-1])
+            if last or rest and rest[0][0][0] != key[0]:
+                key_of, fp_of = (np.concatenate(x) for x in zip(*rest, (key[:last], fp[:last])))
+                yield pd.DataFrame(list(edges_of(key_of, fp_of)), columns=["src", "dst"], dtype="int64")
+                rest = []
+            rest.append((key[last:], fp[last:]))
+        if rest:
+            yield pd.DataFrame(list(edges_of(*(np.concatenate(x) for x in zip(*rest)))), columns=["src", "dst"], dtype="int64")
 
     return run
 
@@ -169,23 +168,26 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
 
     Two such fingerprints share at least 8 - most of their 8 positional bytes. Postings are kept for sets of four
     positional bytes (with more differing bits, of fewer) chosen so that any 8 - most positions hold one of the sets:
-    single-byte postings would hold a 256th of all documents each. In a posting list, the shared positional bytes of a
+    single-byte postings would hold a 256th of all documents each; a list that is still long is split by a further byte
+    as long as its links must share one. In a posting list, the shared positional bytes of a
     pair are tallied, pairs below the guaranteed minimum go, the others are verified. A list gives a star per connected
     group, not its pairs, so thousands of near copies cost as many rows as there are copies.
     """
-    sets = covering(min(4, BYTES - most), BYTES - most)
+    size = min(4, BYTES - most)
+    sets = covering(size, BYTES - most)
     byte = lambda i: F.shiftrightunsigned(F.col("fp"), 8 * i).bitwiseAND(F.lit(255).cast("long"))
     packed = lambda c: sum((F.shiftleft(byte(p), 8 * j) for j, p in enumerate(c)), F.lit(0).cast("long"))
     keys = F.array(*(packed(c) + F.lit(i << 40).cast("long") for i, c in enumerate(sets)))
     postings = distinct.select("fp", F.explode(keys).alias("key"))
     n = shuffle_partitions(distinct.sparkSession)
-    return postings.repartition(n, "key").sortWithinPartitions("key", "fp").mapInPandas(_edges(most), "src long, dst long").distinct()
+    return postings.repartition(n, "key").sortWithinPartitions("key", "fp").mapInPandas(_edges(most, size), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, most: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, n_shingles, component_id): documents whose fingerprints differ in `most` or fewer bits link, a
     component's id is its smallest doc_id. Every row of docs comes back once, repeated rows too; equal texts share
-    their fingerprint and so their component; an empty table gives no rows. Other columns are ignored."""
+    their fingerprint and so their component. A row without an id belongs to a component like any other, but a component
+    of such rows alone has no id; an empty table gives no rows. Other columns are ignored."""
     prints = cut(fingerprints(docs, shingle, seed))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = connected_components(links(first.select("fp"), most))
