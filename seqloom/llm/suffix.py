@@ -19,7 +19,7 @@ GRAM = 24
 #: Text bytes of a group of candidate hashes, and of one suffix array.
 GROUP_BYTES, ARRAY_BYTES = 8 << 20, 1 << 20
 #: Minimizers that a task packs, and documents whose contexts it gathers, at a time.
-MINIMIZERS, DOCUMENTS = 500_000, 2_500
+MINIMIZERS, DOCUMENTS = 300_000, 1_500
 #: A reduced string with more names than this is sorted by doubling: passes over its buckets would be mostly empty.
 WIDE = 2_000
 _U = np.uint64
@@ -360,13 +360,13 @@ def _repeats(length: int):
         for _, same in groupby(by_gram, key=lambda i: keys[i][0][keys[i][1] : keys[i][1] + GRAM]):
             same = list(same)
             own = int(sizes[same].sum())
-            if own > 2 * ARRAY_BYTES:
+            if own > ARRAY_BYTES:
                 split(same, 0, length - GRAM)
                 continue
-            part, size = part + same, size + own
-            if size >= ARRAY_BYTES:
+            if part and size + own > ARRAY_BYTES:
                 search(part)
                 part, size = [], 0
+            part, size = part + same, size + own
         if part:
             search(part)
         return pd.DataFrame(np.concatenate(out), columns=["doc_key", "code", "start", "stop"])
