@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -12,7 +12,8 @@ from .common import cut
 
 def integer_vectors(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """(vec_id, v array<long>): every component x as floor(scale * x). Null vectors and vectors holding null or
-    non-finite components are left out, rows that repeat both id and vector count once."""
+    non-finite components are left out, rows that repeat both id and vector count once. Sums and products are 64-bit:
+    beyond components of about 2^22 (in millions of dimensions; fewer dimensions allow larger ones) scores wrap."""
     x = F.col("embedding")
     whole = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return (
@@ -76,7 +77,7 @@ def _best(k: int):
     return best
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 512, row_block: int = 4096) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 2048, row_block: int = 4096) -> DataFrame:
     """The k rows of highest inner product for each query row, ties to the smaller vec_id; a query's own id is no
     candidate. Both inputs have (vec_id, v array<long>); missing dimensions count as zero.
 
@@ -93,10 +94,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, query_block: int = 51
     right = rows.withColumn("rb", block(row_blocks, 2)).withColumn("qb", every(query_blocks))
     found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(_best(k), "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("i", "b")).select(
-        "query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.m")).alias("score")
-    )
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)  # k a query stay before the exchange
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark, sf_dir):
