@@ -22,6 +22,8 @@ ANCHORS = (
 ).split()
 #: Content words in a chain.
 CHAIN = 3
+#: Text bytes of a range of neighbouring ids, and the most ranges (their bounds stand in the plan).
+RANGE_BYTES, MOST_RANGES = 24 << 20, 4_096
 #: Tables and lists hold no common words: one content word in so many, by its hash, is an anchor for the chain that it begins.
 RARER = 8
 _GLUE = "\x01"
@@ -76,7 +78,8 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     Ids are cut into ranges of like size at their quantiles; a range is one window. The rows at the top of a range also
     visit the range above it (those of the highest the lowest) as end markers, so no window needs another's rows and
     each row is moved once. Equal ids order by text; null ids come last."""
-    n = 2 * shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MOST_RANGES, max(2 * shuffle_partitions(docs.sparkSession), -(-size // RANGE_BYTES)))
     bounds = docs.agg(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n)], 10_000).alias("b")).first().b
     bounds = sorted(set(bounds or []))
     root = max(1, math.isqrt(len(bounds)))
@@ -92,7 +95,10 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     places = F.when(F.array_contains("_list", F.col("doc_id")), F.array(spot(F.col("_range"), False), spot(above, True))).otherwise(F.array(spot(F.col("_range"), False)))
     rows = rows.withColumn("_place", F.explode(places)).drop("_c", "_list", "_range")
     order = Window.partitionBy("_place.at").orderBy("_place.mark", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).where("not _place.mark")
+    after = F.lead(F.struct(*columns)).over(order)
+    if not bounds:  # without any id there is one range, which ends where it starts
+        after = F.coalesce(after, F.first(F.struct(*columns)).over(order))
+    rows = rows.withColumn("_next", after).where("not _place.mark")
     return rows.select(*docs.columns, *(F.when(F.col("_next").isNull(), F.col(c)).otherwise(F.col("_next").getField(c)).alias(f"next_{c}") for c in columns))
 
 
