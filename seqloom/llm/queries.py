@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lm, mixing, quality, simhash, spotsigs, suffix, topk
+from . import bpe, filter_audit, html, langid, lm, mixing, negatives, quality, simhash, spotsigs, suffix, token_counts, topk
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix.query,
         "op9_bpe": bpe.query,
         "op10_quality_gam": quality.query,
+        "op11_token_counts": token_counts.query,
+        "op12_filter_audit": filter_audit.query,
+        "op13_hard_negatives": negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_hard_negatives": negatives.ORACLE}
