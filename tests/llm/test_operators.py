@@ -631,6 +631,12 @@ def test_every_query_on_awkward_folders(spark, tmp_path):
         if name == "op1_topk_search":
             assert {r.query_id for r in got} == {0, 50, 150, 250, 350} and all(r.vec_id != r.query_id for r in got)
             continue
+        if name == "op12_filter_audit":
+            assert len(got) == 3 * 600 and sum(r.kept + r.removed for r in got if r.step == 1 and r.filter_order == "ABCDE") == len(rows)
+            continue
+        if name == "op13_hard_negatives":
+            assert all(r.anchor_id % 100 == 0 and r.rank <= 5 for r in got)
+            continue
         assert len(got) == (4 if name == "op4_html_extract" else len(rows)), name
         if "held_out" in got[0].asDict():
             n, rest = {"op6_langid_bigru": (4, 2), "op7_ctw_lm": (7, 2), "op10_quality_gam": (3, 1)}[name]
