@@ -182,7 +182,8 @@ def test_reading_stops_below_every_kth_score():
         found = lists.search(anchor, allowed, windows, 5)
         early += int((lists.scores != rows @ anchor).any())
         for (least, most), places in zip(windows, found):
-            s = np.where(allowed & (rows @ anchor >= least) & (rows @ anchor <= most), rows @ anchor, negatives.LEAST)
-            best = np.argsort(-s, kind="stable")[: min(5, int((s > negatives.LEAST).sum()))]
-            assert places[np.argsort(-(rows @ anchor)[places], kind="stable")[:5]].tolist() == best.tolist()
+            score = rows @ anchor
+            fit = np.flatnonzero(allowed & (score >= least) & (score <= most))
+            best = fit[np.argsort(-score[fit], kind="stable")[:5]]
+            assert places[np.argsort(-score[places], kind="stable")[:5]].tolist() == best.tolist()
     assert early > 0
