@@ -129,6 +129,12 @@ def fft_energy(grid: Column) -> tuple[Column, Column]:
     return low, total(F.transform(grid, lambda p: p * p)) * (SIDE * SIDE) - low
 
 
+def difference(grid: Column, before: Column) -> Column:
+    """Change of every pixel since the frame before; 0 where either has no return, and in a first frame."""
+    changed = F.zip_with(grid, before, lambda a, b: F.when((a != NO_RETURN) & (b != NO_RETURN), a - b).otherwise(0.0))
+    return F.coalesce(changed, F.transform(grid, lambda _: F.lit(0.0)))
+
+
 def with_frame_spatial(df: DataFrame, grid: str, *keep: str) -> DataFrame:
     """keep and numbers about each grid, in which pixels out of range become the median of the others (0 without any):
     levels, quadrants, centre against edge, asymmetries, centre of mass and gradients."""

@@ -103,6 +103,13 @@ def with_angular_velocity(df: DataFrame, prefix: str = "rot", dt: str = "dt", fr
     return df.withColumn(f"{prefix}_angular_velocity_magnitude", F.sqrt(sum((F.col(n) * F.col(n) for n in names[1:]), F.col(names[0]) * F.col(names[0]))))
 
 
+def upside_down(df: DataFrame, turned: Column, acc: list[str], rates: list[str] = (), prefix: str = "rot") -> DataFrame:
+    """df with accelerations, the vector part of the orientation and angular rates negated on rows where `turned` holds
+    (sensors worn upside down); a null condition counts as not turned. Columns that df doesn't have are left out."""
+    names = [n for n in (*acc, *(f"{prefix}_{c}" for c in "xyz"), *rates) if n in df.columns]
+    return df.withColumns({n: F.when(turned, -F.col(n)).otherwise(F.col(n)) for n in names})
+
+
 def mirrored(acc, q: Quat, left: Column):
     """Left-handed recordings as right-handed ones: acc_x and the pitch and yaw angles change sign."""
     roll, pitch, yaw = euler(q)

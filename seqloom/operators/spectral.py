@@ -15,6 +15,9 @@ from .sequences import along, bounds, whole_sequences
 from .windows import AT, SEQ, entire, position
 
 
+NOT_UNIFORM = "samples must be uniform: the counter must rise by one for every row; interpolate missing samples first"
+
+
 def _per_sequence(df: DataFrame, signals: list[str], make, names: list[str], uniform: bool = False) -> DataFrame:
     """(sequence_id, signal, names...) of make(values) for every sequence and signal. With `uniform`, a sequence whose
     counter doesn't rise by one from row to row is an error. Partitions follow the size of the table."""
@@ -25,7 +28,7 @@ def _per_sequence(df: DataFrame, signals: list[str], make, names: list[str], uni
             starts = np.flatnonzero(frame[SEQ].to_numpy()[1:] != frame[SEQ].to_numpy()[:-1]) + 1
             ids, out = [], {n: [] for n in ("signal", *names)}
             if uniform and ((np.diff(frame[AT].to_numpy(float)) != 1) & (frame[SEQ].to_numpy()[1:] == frame[SEQ].to_numpy()[:-1])).any():
-                raise ValueError("samples must be uniform: the counter must rise by one for every row; interpolate missing samples first")
+                raise ValueError(NOT_UNIFORM)
             values = {s: frame[s].to_numpy(float) for s in signals}
             for a, b in zip([0, *starts], [*starts, len(frame)]):
                 for s in signals:
@@ -162,7 +165,8 @@ def resampled(df: DataFrame, names: list[str], native: int, target: int, quatern
 
 def with_spectra(df: DataFrame, signals: list[str], rate: float, stft: dict | None, cwt: dict | None) -> tuple[DataFrame, list[str]]:
     """df with the numbers of stft_features and cwt_features of every signal on each row of its sequence, as
-    <signal>_stft0_<name> and <signal>_cwt0_<name>, and their names (shuffles: see sequences.along)."""
+    <signal>_stft0_<name> and <signal>_cwt0_<name>, and their names (shuffles: see sequences.along). A sequence whose
+    counter doesn't rise by one from row to row is an error."""
     makers = []
     if stft is not None:
         how = {"size": 32, "overlap": None, "scaling": "density"} | stft
@@ -174,7 +178,10 @@ def with_spectra(df: DataFrame, signals: list[str], rate: float, stft: dict | No
     names = [f"{s}_{kind}_{n}" for s in signals for kind, f in makers for n in f(np.zeros(4))]
 
     def make(frame, at):
-        out = {n: np.empty(len(frame)) for n in names}
+        out, inner = {n: np.empty(len(frame)) for n in names}, np.ones(max(len(frame) - 1, 0), bool)
+        inner[at[1:-1] - 1] = False  # steps from one sequence to the next
+        if (np.diff(frame[AT].to_numpy(float))[inner] != 1).any():
+            raise ValueError(NOT_UNIFORM)
         for s in signals:
             values = frame[s].to_numpy(float)
             for a, b in zip(at, at[1:]):

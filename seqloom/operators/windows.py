@@ -103,6 +103,15 @@ def with_motion(df: DataFrame, names: list[str], dt: str = "dt") -> DataFrame:
     return df.withColumns({f"{n}_displacement": _integral(F.col(f"{n}_velocity") * F.col(dt)) for n in names})
 
 
+def dead_reckoned(df: DataFrame, names: list[str], detrend: bool = True, dt: str = "dt") -> DataFrame:
+    """<name>_dr_vel and <name>_dr_pos of each acceleration: its integral, and the integral of that; the first row adds
+    nothing. detrend: each without the line from its first to its last value, the velocity before it is integrated."""
+    for source, kind in (("", "_dr_vel"), ("_dr_vel", "_dr_pos")):
+        df = df.withColumns({f"{n}{kind}": _integral(F.col(f"{n}{source}") * F.col(dt)) for n in names})
+        df = df.withColumns({f"{n}{kind}": detrended(f"{n}{kind}") for n in names}) if detrend else df
+    return df
+
+
 def magnitude(*names: str) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, (F.col(n) * F.col(n) for n in names)))
 

@@ -192,6 +192,15 @@ def t18(spark, d):
     return g.select("vec_id", F.round(gr.total(F.transform("v", lambda p: F.abs(p - F.col("m")))), 4).alias("deviation"), F.round(F.coalesce(F.array_min("v"), F.lit(-999.0)), 6).alias("least"))
 
 
+@query("t18_difference", """WITH b AS (SELECT *, lag(grid) OVER (PARTITION BY sequence_id ORDER BY sequence_counter) AS before FROM grids),
+d AS (SELECT sequence_id, sequence_counter, list_transform(range(1, 65), lambda i: CASE WHEN grid[i] <> -1 AND before[i] <> -1 THEN grid[i] - before[i] ELSE 0 END) AS d FROM b)
+SELECT sequence_id, sequence_counter, round(list_sum(d), 4) + 0.0 AS change, round(list_max(d), 6) + 0.0 AS most, round(d[10], 6) + 0.0 AS pixel_9 FROM d""", "grids")
+def t18_difference(spark, d):
+    g = src.grids(spark, d)
+    g = g.withColumn("d", gr.difference(GRID, F.lag("grid").over(w.ordered())))
+    return g.select("sequence_id", "sequence_counter", r(gr.total(F.col("d")), 4).alias("change"), r(F.array_max("d")).alias("most"), r(F.col("d")[9]).alias("pixel_9"))
+
+
 @query("s27_pooled_diff", f"WITH m AS (SELECT sequence_id, sequence_counter, coalesce(list_avg({VALID}), 0) AS m FROM grids) SELECT sequence_id, sequence_counter, round(coalesce(m - lag(m) OVER (PARTITION BY sequence_id ORDER BY sequence_counter), 0), 6) + 0.0 AS diff FROM m", "grids")
 def s27(spark, d):
     g = src.grids(spark, d).select("sequence_id", "sequence_counter", F.coalesce(gr.mean(gr.known(gr.valid(GRID))), F.lit(0.0)).alias("m"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.branches import branch, branch_summary
 from seqloom.operators import augment as au
+from seqloom.operators import clusters as cl
+from seqloom.operators import hierarchy
 from seqloom.operators import labels as lb
 from seqloom.operators import models as ml
 from seqloom.operators import search
@@ -13,6 +15,7 @@ from seqloom.operators import spectral as sp
 from seqloom.operators import stats as st
 from seqloom.sources import adapters as src
 
+from .ordered import RECKONED
 from .pipeline import SensorPipeline
 from .registry import query
 
@@ -90,6 +93,54 @@ def l14m(spark, d):
     return ml.mixture_sweep(st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std")), ["acc_x_mean", "acc_x_std"])
 
 
+def planar(spark, d):
+    """The first two dimensions of every vector."""
+    return src.table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in (0, 1)))
+
+
+PLANAR = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+APART = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+
+
+@query("l14_dbscan", f"""WITH RECURSIVE {PLANAR},
+n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {APART} <= 0.02),
+c AS (SELECT a AS id FROM n GROUP BY 1 HAVING count(*) >= 5),
+e AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
+r AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a),
+k AS (SELECT id, min(root) AS cluster FROM r GROUP BY 1),
+j AS (SELECT n.a AS id, min(k.cluster) AS cluster FROM n JOIN k ON n.b = k.id GROUP BY 1)
+SELECT p.id AS vec_id, coalesce(k.cluster, j.cluster) AS cluster, k.id IS NOT NULL AS core FROM p LEFT JOIN k ON p.id = k.id LEFT JOIN j ON p.id = j.id""")
+def l14_dbscan(spark, d):
+    return cl.dbscan(planar(spark, d), "vec_id", ["x0", "x1"], 0.02, 5)
+
+
+@query("l14_k_distance_curve", f"""WITH {PLANAR},
+n AS (SELECT a.id, {APART} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {APART}) AS k FROM p a, p b),
+q AS (SELECT unnest(range(0, 101)) AS i),
+v AS (SELECT quantile_cont(d, list_transform(range(0, 101), lambda i: 1.0 - i / 100.0)) AS v FROM n WHERE k = 4)
+SELECT CAST(i AS DOUBLE) AS percent, round(v[i + 1], 9) AS k_distance FROM q, v""")
+def l14_k_distance_curve(spark, d):
+    curve = cl.k_distance_curve(planar(spark, d), "vec_id", ["x0", "x1"], 4)
+    return curve.withColumn("k_distance", F.round("k_distance", 9))
+
+
+@query("l14_hdbscan")
+def l14_hdbscan(spark, d):
+    return hierarchy.hdbscan(planar(spark, d), "vec_id", ["x0", "x1"], 5)
+
+
+@query("l14_agglomerative")
+def l14_agglomerative(spark, d):
+    f = st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std", "max"))
+    return cl.agglomerative(f, "sequence_id", ["acc_x_mean", "acc_x_std", "acc_x_max"], 4, "ward")[0]
+
+
+@query("l14_merge_table")
+def l14_merge_table(spark, d):
+    f = st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std", "max"))
+    return cl.agglomerative(f, "sequence_id", ["acc_x_mean", "acc_x_std", "acc_x_max"], 4, "average", 500)[1]
+
+
 @query("l18_boosted_trees")
 def l18(spark, d):
     f, names = features(spark, d)
@@ -132,6 +183,27 @@ def pipeline_frame(spark, d):
     return f.select("sequence_id", F.round("acc_mag_mean", 6).alias("acc_mag_mean"), F.round("acc_x_jerk_std", 5).alias("jerk_std"), "acc_y_max")
 
 
+@query("pipeline_reckoning", f"WITH {RECKONED} SELECT sequence_id, round(avg(v), 7) + 0.0 AS acc_x_dr_vel_mean, round(avg(p), 7) + 0.0 AS acc_x_dr_pos_mean, round(max(p), 7) + 0.0 AS acc_x_dr_pos_max FROM d GROUP BY 1", "samples")
+def pipeline_reckoning(spark, d):
+    f = SensorPipeline(acc=["acc_x"], acc_modes="dead_reckoning", magnitude=False, crop=None).frame(src.samples(spark, d))
+    return f.select("sequence_id", *((F.round(n, 7) + 0.0).alias(n) for n in ("acc_x_dr_vel_mean", "acc_x_dr_pos_mean", "acc_x_dr_pos_max")))
+
+
+@query("pipeline_depth", """WITH b AS (SELECT *, lag(grid) OVER (PARTITION BY sequence_id ORDER BY sequence_counter) AS before, list_filter(grid, lambda p: p <> -1) AS v, list_transform(grid, lambda p: CASE WHEN p = -1 THEN 255::DOUBLE ELSE p END) AS filled FROM grids)
+SELECT sequence_id, round(avg(coalesce(list_avg(v), 0)), 5) + 0.0 AS tof_pooled_valid_mean_mean, round(avg(len(v) / 64.0::DOUBLE), 6) + 0.0 AS tof_pooled_valid_fraction_mean,
+  round(max(CASE WHEN grid[10] <> -1 AND before[10] <> -1 THEN grid[10] - before[10] ELSE 0 END), 6) + 0.0 AS grid_difference_9_max,
+  round(avg(list_sum(list_transform(filled, lambda p: p * p)) * 64), -2) + 0.0 AS grid_power
+FROM b GROUP BY 1""", "grids")
+def pipeline_depth(spark, d):
+    """All depth modes in one plan; the sum of the spectrum's two parts is that of the squares."""
+    steps = src.grids(spark, d).select("sequence_id", "sequence_counter", "grid", F.lit(0.0).alias("acc_x"))
+    kinds = "pooled_stats|difference|fft|haar|singular_values|blob"
+    f = SensorPipeline(acc=["acc_x"], acc_modes="raw", magnitude=False, grids=["grid"], depth_modes=kinds, crop=None, frame_stats=("mean", "max")).frame(steps)
+    names = {"tof_pooled_valid_mean_mean": 5, "tof_pooled_valid_fraction_mean": 6, "grid_difference_9_max": 6}
+    power = F.round(F.col("grid_fft_low_mean") + F.col("grid_fft_high_mean"), -2) + 0.0
+    return f.select("sequence_id", *((F.round(n, k) + 0.0).alias(n) for n, k in names.items()), power.alias("grid_power"))
+
+
 @query("pipeline_chunks")
 def pipeline_chunks(spark, d):
     c = SensorPipeline(acc=["acc_x"], acc_modes="raw|jerk", magnitude=False).chunks(src.samples(spark, d), 32, 16)

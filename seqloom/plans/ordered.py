@@ -157,6 +157,25 @@ def s17(spark, d):
     return df.select(*KEY, r(w.detrended("acc_x_velocity"), 10).alias("reckoned"))
 
 
+#: Velocity v and position p of samples, each as its integral (raw) and without the line between its ends.
+ENDS = "count(*) OVER a AS n, row_number() OVER w - 1 AS i FROM {t} WINDOW w AS (PARTITION BY sequence_id ORDER BY sequence_counter), a AS (PARTITION BY sequence_id ORDER BY sequence_counter ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+STRAIGHT = "CASE WHEN n <= 1 THEN 0 ELSE x - (f + (l - f) * i / (n - 1)) END"
+RECKONED = f"""{MOTION},
+v1 AS (SELECT sequence_id, sequence_counter, dt, vel AS x, first_value(vel) OVER a AS f, last_value(vel) OVER a AS l, {ENDS.format(t='v')}),
+v2 AS (SELECT *, {STRAIGHT} AS v FROM v1),
+p1 AS (SELECT *, sum(v * dt) OVER w - first_value(v * dt) OVER w AS p, sum(x * dt) OVER w - first_value(x * dt) OVER w AS raw FROM v2 {WIN}),
+p2 AS (SELECT sequence_id, sequence_counter, v, raw, p AS x, first_value(p) OVER a AS f, last_value(p) OVER a AS l, {ENDS.format(t='p1')}),
+d AS (SELECT sequence_id, sequence_counter, v, raw, {STRAIGHT} AS p FROM p2)"""
+
+
+@query("s17_dead_reckoned_position", f"WITH {RECKONED} SELECT sequence_id, sequence_counter, round(v, 8) + 0.0 AS velocity, round(p, 8) + 0.0 AS position, round(raw, 6) + 0.0 AS drifting_position FROM d", "samples")
+def s17_position(spark, d):
+    df = w.with_dt(src.samples(spark, d))
+    straight = w.dead_reckoned(df, ["acc_x"])
+    drifting = w.dead_reckoned(straight.select(*KEY, "dt", "acc_x", F.col("acc_x_dr_vel").alias("v"), F.col("acc_x_dr_pos").alias("p")), ["acc_x"], detrend=False)
+    return drifting.select(*KEY, r("v", 8).alias("velocity"), r("p", 8).alias("position"), r("acc_x_dr_pos").alias("drifting_position"))
+
+
 @query("s18_detrend", """WITH e AS (SELECT *, first_value(acc_x) OVER a AS f, last_value(acc_x) OVER a AS l, count(*) OVER a AS n, row_number() OVER w - 1 AS i FROM samples WINDOW w AS (PARTITION BY sequence_id ORDER BY sequence_counter), a AS (PARTITION BY sequence_id ORDER BY sequence_counter ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT sequence_id, sequence_counter, round(CASE WHEN n <= 1 THEN 0 ELSE acc_x - (f + (l - f) * i / (n - 1)) END, 8) + 0.0 AS detrended FROM e""", "samples")
 def s18(spark, d):
@@ -285,6 +304,12 @@ def m05(spark, d):
     return src.quats(spark, d).select(*KEY, (F.when(F.col("sequence_id").isin(3, 5), -r("rot_x")).otherwise(r("rot_x"))).alias("rot_x"))
 
 
+@query("m05_upside_down_sensors", "SELECT sequence_id, sequence_counter, " + ", ".join(f"round(CASE WHEN sequence_id % 3 = 0 THEN -{c} ELSE {c} END, 6) + 0.0 AS {c}" for c in ("rot_x", "rot_y", "rot_z", "acc_x", "acc_y", "acc_z")) + ", round(rot_w, 6) + 0.0 AS rot_w FROM quats", "quats")
+def m05_all(spark, d):
+    df = rot.upside_down(src.quats(spark, d), F.col("sequence_id") % 3 == 0, ["acc_x", "acc_y", "acc_z"], ["ang_vel_x"])
+    return df.select(*KEY, *(r(c).alias(c) for c in ("rot_w", "rot_x", "rot_y", "rot_z", "acc_x", "acc_y", "acc_z")))
+
+
 @query("m06_rotate_vector", f"""WITH {UNIT}, t AS (SELECT *, 2 * (y * 3 - z * 2) AS tx, 2 * (z * 1 - x * 3) AS ty, 2 * (x * 2 - y * 1) AS tz FROM unit)
 SELECT sequence_id, sequence_counter, round(1 + w * tx + y * tz - z * ty, 6) + 0.0 AS x, round(2 + w * ty + z * tx - x * tz, 6) + 0.0 AS y, round(3 + w * tz + x * ty - y * tx, 6) + 0.0 AS z FROM t""", "quats")
 def m06(spark, d):

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import grids as gr
+from seqloom.functions import numeric as nm
 from seqloom.functions import rotation as rot
 from seqloom.functions.branches import first_sensors, modes
 from seqloom.operators import chunking, scans, spectral, stats
 from seqloom.operators import windows as w
+from seqloom.operators.sequences import along
 
 ACC = {"raw", "smoothed", "velocity", "displacement", "jerk", "dead_reckoning"}
 ROTATION = {"quaternion", "euler", "delta_euler", "angular_velocity", "rot6d"}
-DEPTH = {"stats", "pooled_stats", "pool_2x2", "regions", "zones", "centre", "edges", "motion"}
+DEPTH = {"stats", "pooled_stats", "pool_2x2", "regions", "zones", "centre", "edges", "motion", "difference", "fft", "haar", "singular_values", "blob"}
+#: Depth features that NumPy computes, from filled grids.
+FRAME_WISE = {"singular_values": (nm.singular_values, ("sv1", "sv2", "sv3", "sv_ratio", "rank2_energy")), "blob": (nm.near_blob, ("blob_area", "blob_row", "blob_column"))}
 THERMO = {"raw", "centered", "diff", "centered_diff", "diff_per_second", "mean"}
 
 
@@ -45,6 +50,7 @@ class SensorPipeline:
     smooth_window: int = 7
     skew_limit: float | None = None
     skew_many: int = 6
+    dead_reckoning_detrend: bool = True
     grids: list[str] = field(default_factory=list)
     depth_modes: str = "stats"
     depth_fill: str = "far_255"
@@ -100,13 +106,13 @@ class SensorPipeline:
         turns = self._turns(df)
         df, names = self.clean(df), []
         moving = [m for m in ("velocity", "displacement", "jerk") if m in self._acc]
-        if moving or "dead_reckoning" in self._acc:
+        if moving:
             df = w.with_motion(df, self.acc)
         names += self.acc if "raw" in self._acc else []
         names += [f"{n}_{m}" for m in moving for n in self.acc]
         if "dead_reckoning" in self._acc:
-            df = df.withColumns({f"{n}_dr_vel": w.detrended(f"{n}_velocity") for n in self.acc})
-            names += [f"{n}_dr_vel" for n in self.acc]
+            df = w.dead_reckoned(df, self.acc, self.dead_reckoning_detrend)
+            names += [f"{n}_dr_{k}" for k in ("vel", "pos") for n in self.acc]
         if "smoothed" in self._acc:
             df = df.withColumns({f"{n}_smooth": w.rolling_mean(F.col(n), self.smooth_window) for n in self.acc})
             names += [f"{n}_smooth" for n in self.acc]
@@ -120,6 +126,8 @@ class SensorPipeline:
         for g in self._grids:
             df, more = self._depths(df, g)
             names += more
+        df, more = self._all_depths(df)
+        names += more
         df, more = self._temperatures(df)
         names += more
         if self.global_context:
@@ -170,14 +178,48 @@ class SensorPipeline:
             new |= dict(zip((f"{grid}_centre_row", f"{grid}_centre_column"), gr.centre_of_mass(gr.valid(F.col(grid)))))
         if "edges" in self._depth:
             new |= {f"{grid}_edge_mean": gr.mean(gr.sobel(full))}
+        if "fft" in self._depth:
+            new |= dict(zip((f"{grid}_fft_low", f"{grid}_fft_high"), gr.fft_energy(full)))
+        if "haar" in self._depth:
+            new |= {f"{grid}_haar_{k}": c for k, c in gr.haar(full).items()}
         names = list(new)
         df = df.withColumns(new)
+        if "difference" in self._depth:
+            df = df.withColumn("_difference", gr.difference(F.col(grid), F.lag(grid).over(w.ordered())))
+            pixels = {f"{grid}_difference_{i}": F.coalesce(F.col("_difference")[i], F.lit(0.0)) for i in range(64)}
+            df, names = df.withColumns(pixels).drop("_difference"), [*names, *pixels]
         if "motion" in self._depth:
             before = F.lag(full).over(w.ordered())
             moved = F.zip_with(full, before, lambda a, b: F.abs(a - b))
             df, names = df.withColumn(f"{grid}_motion", F.coalesce(gr.mean(moved), F.lit(0.0))), [*names, f"{grid}_motion"]
         return df.drop("_full", "_pool_2x2", "_regions"), names
 
+    def _all_depths(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Numbers about the pixels of all sensors together, and those that NumPy computes frame by frame."""
+        new = {}
+        if self._grids and "pooled_stats" in self._depth:
+            together = F.concat(*(F.coalesce(F.col(g), F.array_repeat(F.lit(gr.NO_RETURN), 64)) for g in self._grids))
+            df = df.withColumn("_together", together)
+            new = {f"tof_pooled_{k}": c for k, c in gr.sensor_stats(F.col("_together"), self.depth_fill).items()}
+            df = df.withColumns(new).drop("_together")
+        kinds = [k for k in FRAME_WISE if k in self._depth]
+        added = [f"{g}_{n}" for g in self._grids for k in kinds for n in FRAME_WISE[k][1]]
+        if added:
+            df = df.withColumns({f"_full_{g}": gr.imputed(F.col(g), self.depth_fill) for g in self._grids})
+
+            def make(frame, at):
+                out = {n: np.zeros(len(frame)) for n in added}
+                for g in self._grids:
+                    for i, full in enumerate(frame[f"_full_{g}"]):
+                        if full is not None:
+                            for k in kinds:
+                                for n, v in zip(FRAME_WISE[k][1], FRAME_WISE[k][0](np.array(full, float).reshape(8, 8))):
+                                    out[f"{g}_{n}"][i] = v
+                return out
+
+            df = along(df, make, added).drop(*(f"_full_{g}" for g in self._grids))
+        return df, [*new, *added]
+
     def _temperatures(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         new: dict = {}
         for n in self._thm:
