@@ -189,6 +189,23 @@ def _digest_batch(doc_id, ids: list[bytes], own: Vocabulary) -> pa.RecordBatch:
     )
 
 
+def _chunks(chunk: int, overlap: int):
+    """Overlapping chunks of long texts, some at a time; every text is walked through once."""
+
+    def run(batches):
+        for batch in batches:
+            for row, doc_id, text in zip(*(batch.column(c) for c in ("row", "doc_id", "text"))):
+                whole = text.as_py()
+                starts = range(0, len(whole), chunk)
+                for few in (starts[i : i + 16] for i in range(0, len(starts), 16)):
+                    size = len(few)
+                    columns = [[row.as_py()] * size, [doc_id.as_py()] * size, [len(whole)] * size, [a // chunk for a in few], list(few), [whole[a : a + chunk + overlap] for a in few]]
+                    kinds = [pa.int64(), doc_id.type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["row", "doc_id", "n", "chunk", "at", "text"])
+
+    return run
+
+
 def _bounds(pattern: str, chunk: int, overlap: int):
     """The boundaries that a chunk's own pre-tokenisation finds in the stretches it shares with its neighbours."""
 
@@ -239,10 +256,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chun
     short = whole(rows.where(F.length("text") <= chunk))
 
     long = cut(rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()))
-    last = F.floor((F.length("text") - 1) / chunk)
-    chunks = long.select("row", "doc_id", F.length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"), "text")
-    at = F.col("chunk") * F.lit(chunk)
-    chunks = chunks.select("row", "doc_id", "n", "chunk", at.alias("at"), F.substring("text", (at + 1).cast("int"), F.lit(chunk + overlap)).alias("text"))
+    chunks = long.select("row", "doc_id", "text").mapInArrow(_chunks(chunk, overlap), f"row long, doc_id {kind}, n long, chunk long, at long, text string")
     seen = chunks.mapInPandas(_bounds(pattern, chunk, overlap), f"{_ddl(chunks)}, left array<bigint>, right array<bigint>")
     by = Window.partitionBy("row").orderBy("chunk")
     meet = F.array_min(F.array_intersect("right", F.lead("left").over(by)))
