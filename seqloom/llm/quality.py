@@ -152,20 +152,21 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, usable=No
     return fit(x, (rows.quality.to_numpy(float) > 0.5).astype(float))
 
 
-def score(docs: DataFrame, model: Additive) -> DataFrame:
-    """docs plus `quality_score` (0 to 1); null and empty texts get a score too. A column of that name is replaced."""
+def score(docs: DataFrame, model: Additive, out: str = "quality_score") -> DataFrame:
+    """docs plus `out` (0 to 1); null and empty texts get a score too. A column of that name is replaced; other columns
+    and repeated rows stay. A model that saw no usable label gives 0.5 to all; an empty table gives no rows."""
     from pyspark.sql import types as T
 
-    kept = docs.drop("quality_score")
+    kept = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed number of bins
     at = kept.columns.index("text")
 
     def run(batches):
         for b in batches:
             x = _matrix(None if t is None else t.encode() for t in (v.as_py() for v in b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], [*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(x), pa.float64())], [*b.schema.names, out])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def query(spark, sf_dir):

@@ -421,6 +421,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return spans
 
 
+#: The columns that deduplicate() adds.
+NEW = ("n_bytes", "n_removed", "n_spans", "kept")
+
+
 def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs plus n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, the remaining bytes): every byte
     that a string of `length` bytes starting earlier (smaller doc_id, or same document and earlier start) covers goes.
@@ -431,9 +435,8 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
 
     Equal strings share a gram of least hash. Places whose gram stands elsewhere too are found by hash bucket; the
     bytes around them go to the shard of the gram, equal contexts once, and each shard sorts their suffixes."""
-    new = ["n_bytes", "n_removed", "n_spans", "kept"]
-    names = [c for c in docs.columns if c.lower() not in (*new, "text")]
-    key, code, spans, body = (unused(c, [*names, *new]) for c in ("key", "code", "spans", "body"))
+    names = [c for c in docs.columns if c.lower() not in (*NEW, "text")]
+    key, code, spans, body = (unused(c, [*names, *NEW]) for c in ("key", "code", "spans", "body"))
     keyed = docs.select(*names, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(body))
     keyed = keyed.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn(code, F.xxhash64(body))
     found = repeated_spans(keyed.select(F.col(key).alias("doc_key"), F.col(code).alias("code"), F.col(body).alias("text")), length)
@@ -445,16 +448,18 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def deduplicated_documents(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with what deduplicate() keeps of their texts (and n_chars, if there, to match). Where a cut falls inside a
-    character, its remaining bytes go; documents that lose all their bytes go, empty ones stay."""
+    character, its remaining bytes go; documents that lose all their bytes go, empty ones stay. Other columns stay as
+    they are, also those with a name of NEW. Nulls, repeats and shared ids: see deduplicate()."""
+    away = {c: unused(c, [*docs.columns, *NEW]) for c in docs.columns if c.lower() in NEW}
 
     @F.pandas_udf("string")
     def whole_characters(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
-    out = deduplicate(docs, length).where("n_removed = 0 or n_removed < n_bytes").withColumn("text", whole_characters("kept"))
+    out = deduplicate(docs.withColumnsRenamed(away), length).where("n_removed = 0 or n_removed < n_bytes").withColumn("text", whole_characters("kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select([F.col(away.get(c, c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir):
