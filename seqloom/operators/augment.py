@@ -1,70 +1,83 @@
-"""Seeded augmentation of sequences: what happens to a sequence depends on its id and the seed, not on partitions."""
+"""Seeded augmentation of sequences. What happens to a sequence depends on its id and the seed, not on partitions: every
+random number is drawn from the MD5 of the sequence's id, what it is for, and the seed. Kinds that change a row by its own
+place are columns; those that look up other rows of the sequence are NumPy over whole sequences."""
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from math import pi
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from .windows import AT, SEQ
+from .sequences import along
+from .windows import AT, SEQ, entire, position
 
+_SPAN = float(1 << 32)
 
-def jitter(x, rng, sigma=0.03):
-    return x + rng.normal(0, sigma, x.shape)
 
+def draw(*what) -> Column:
+    """A number between 0 and 1 for each sequence and purpose; columns among `what` draw anew for each of their values."""
+    text = [w if isinstance(w, Column) else F.lit(str(w)) for w in what]
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(SEQ).cast("string"), *text)), 1, 8), 16, 10)
+    return (bits.cast("double") + 0.5) / _SPAN
 
-def gaussian_noise(x, rng, std=0.05):
-    return x + rng.normal(0, 1, x.shape) * std * x.std(axis=0)
 
+def drawn(sequence, *what) -> float:
+    """What draw() gives, in Python."""
+    return (int(hashlib.md5(":".join(map(str, (sequence, *what))).encode()).hexdigest()[:8], 16) + 0.5) / _SPAN
 
-def scaling(x, rng, sigma=0.1):
-    return x * rng.normal(1, sigma)
 
+def normal(*what) -> Column:
+    """A standard normal number by the method of Box and Muller."""
+    return F.sqrt(-2 * F.log(draw(*what, "r"))) * F.cos(2 * pi * draw(*what, "a"))
 
-def time_shift(x, rng, share=0.1):
-    by = int(rng.integers(-int(len(x) * share), int(len(x) * share) + 1))
-    return x[np.clip(np.arange(len(x)) - by, 0, len(x) - 1)]
+
+# Kinds of columns: (names, seed) to the changed columns. _i is the row's place in its sequence, _n the sequence's length.
+
+
+def jitter(names, seed, sigma=0.03):
+    return {n: F.col(n) + sigma * normal("jitter", n, F.col(AT).cast("string"), seed) for n in names}
 
 
-def crop_resize(x, rng, low=0.5, high=0.9):
-    size = max(2, int(len(x) * rng.uniform(low, high)))
-    if size >= len(x):
-        return x
-    part = x[(at := int(rng.integers(0, len(x) - size + 1))) : at + size]
-    place = np.linspace(0, size - 1, len(x))
-    return np.stack([np.interp(place, np.arange(size), c) for c in part.T], axis=1)
+def gaussian_noise(names, seed, std=0.05):
+    """Noise in units of the channel's deviation in the sequence, of known values; of 1 where that is 0 or unknown."""
+    known = lambda n: F.when(~F.isnan(F.col(n).cast("double")), F.col(n))
+    width = lambda n: F.coalesce(F.nullif(F.stddev_pop(known(n)).over(entire()), F.lit(0.0)), F.lit(1.0))
+    return {n: F.col(n) + std * width(n) * normal("gaussian_noise", n, F.col(AT).cast("string"), seed) for n in names}
 
 
-def temporal_mask(x, rng, share=0.1, masks=1):
-    x, size = x.copy(), max(1, int(len(x) * share))
-    for _ in range(masks):
-        at = int(rng.integers(0, max(1, len(x) - size + 1)))
-        x[at : at + size] = 0
-    return x
+def scaling(names, seed, sigma=0.1):
+    factor = 1 + sigma * normal("scaling", seed)
+    return {n: F.col(n) * factor for n in names}
 
 
-def channel_drop(x, rng, chance=0.1):
-    return x * (rng.random(x.shape[1]) >= chance)
+def temporal_mask(names, seed, share=0.1, masks=1):
+    """Zero in `masks` stretches of a share of the rows, one row at least."""
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
+    hidden = F.lit(False)
+    for m in range(masks):
+        after = F.col("_i") - F.floor(draw("temporal_mask", m, seed) * (F.col("_n") - size + 1))
+        hidden = hidden | (after >= 0) & (after < size)
+    return {n: F.when(hidden, 0.0).otherwise(F.col(n)) for n in names}
 
 
-#: Sensors by the beginnings of their columns' names.
+def channel_drop(names, seed, chance=0.1):
+    return {n: F.when(draw("channel_drop", n, seed) < chance, 0.0).otherwise(F.col(n)) for n in names}
+
+
+# Sensors by the beginnings of their columns' names.
 SENSORS = {"acc": ("acc_", "lin_acc"), "rot": ("rot",), "tof": ("tof_", "depth_"), "thm": ("thm_", "thermal_", "temp_")}
 
 
-def sensor_groups(names: list[str]) -> dict[str, list[int]]:
-    found = {k: [i for i, n in enumerate(names) if n.startswith(starts)] for k, starts in SENSORS.items()}
-    return {k: v for k, v in found.items() if v}
+def sensor_of(name: str) -> str | None:
+    return next((s for s, starts in SENSORS.items() if name.startswith(starts)), None)
 
 
-def sensor_drop(x, rng, names=(), chance=0.3):
-    """Zeroes all columns of a sensor; each sensor goes by its own draw."""
-    x = x.copy()
-    for places in sensor_groups(list(names)).values():
-        if rng.random() < chance:
-            x[:, places] = 0
-    return x
+def sensor_drop(names, seed, chance=0.3):
+    """Each sensor goes as a whole, by its own draw; columns of no sensor stay."""
+    return {n: F.when(draw("sensor_drop", sensor_of(n), seed) < chance, 0.0).otherwise(F.col(n)) for n in names if sensor_of(n)}
 
 
 def spline(place: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -85,88 +98,124 @@ def spline(place: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarr
     return (m[i] * t**3 + m[i + 1] * s**3) / (6 * w) + (values[i] / w - m[i] * w / 6) * t + (values[i + 1] / w - m[i + 1] * w / 6) * s
 
 
-def magnitude_warp(x, rng, sigma=0.2, knots=4):
-    """Every channel times a smooth curve of its own through random knots."""
-    knots = max(2, min(knots, len(x)))
-    if len(x) < 2:
-        return x
-    return x * spline(np.arange(len(x), dtype=float), np.linspace(0, len(x) - 1, knots), rng.normal(1, sigma, (knots, x.shape[1])))
+def _cardinal(knots: int) -> np.ndarray:
+    """(pieces, knots, 4): the coefficients by which each knot's value enters the spline within each piece."""
+    place = np.arange(knots - 1)[:, None] + np.arange(4) / 3
+    values = spline(place.ravel(), np.arange(knots, dtype=float), np.eye(knots)).reshape(knots - 1, 4, knots)
+    return np.einsum("cs,psk->pkc", np.linalg.inv(np.vander(np.arange(4) / 3, 4, increasing=True)), values)
 
 
-def time_stretch(x, rng, low=0.8, high=1.2):
-    """Plays the sequence faster or slower from its start; the end holds."""
-    place = np.clip(np.arange(len(x)) * rng.uniform(low, high), 0, len(x) - 1)
+def magnitude_warp(names, seed, sigma=0.2, knots=4):
+    """Every channel times a smooth curve of its own: the spline through knots of mean 1 that stand evenly over the sequence.
+    Sequences with fewer rows have a knot for each; one row alone stays."""
+
+    def curve(name: str, k: int) -> Column:
+        at = F.col("_i") * (k - 1) / (F.col("_n") - 1)
+        piece = F.least(F.floor(at), F.lit(k - 2)).cast("int")
+        t, table = at - piece, _cardinal(k)
+        of = lambda j, c: F.element_at(F.array(*(F.lit(float(table[p, j, c])) for p in range(k - 1))), piece + 1)
+        weight = lambda j: of(j, 0) + t * (of(j, 1) + t * (of(j, 2) + t * of(j, 3)))
+        return sum((weight(j) * (1 + sigma * normal("magnitude_warp", name, j, seed)) for j in range(k)), F.lit(0.0))
+
+    def factor(name: str) -> Column:
+        out = F.when(F.col("_n") < 2, 1.0)
+        for k in range(2, knots):
+            out = out.when(F.col("_n") == k, curve(name, k))
+        return out.otherwise(curve(name, knots))
+
+    return {n: F.col(n) * factor(n) for n in names}
+
+
+def quaternion_flip(names, seed):
+    """The same rotations by quaternions of the other sign."""
+    return {n: -F.col(n) for n in names if n in ("rot_w", "rot_x", "rot_y", "rot_z")}
+
+
+# Kinds over whole sequences: (rows x channels, u) with draws u(name) between 0 and 1.
+
+
+def time_shift(x, u, share=0.1):
+    """Rows move by up to a share of the length, one row at least; the rows at the end repeat."""
+    most = max(1, int(len(x) * share))
+    by = int(u("by") * (2 * most + 1)) - most
+    return x[np.clip(np.arange(len(x)) - by, 0, len(x) - 1)]
+
+
+def _read(x, place):
     return np.stack([np.interp(place, np.arange(len(x)), c) for c in x.T], axis=1)
 
 
-def quaternion_flip(x, rng, names=()):
-    """The same rotations by quaternions of the other sign (names rot_w, rot_x, rot_y, rot_z)."""
-    x = x.copy()
-    x[:, [i for i, n in enumerate(names) if n in ("rot_w", "rot_x", "rot_y", "rot_z")]] *= -1
-    return x
+def crop_resize(x, u, low=0.5, high=0.9):
+    """A random stretch of the rows, drawn out to the whole length."""
+    size = min(len(x), max(2, int(len(x) * (low + (high - low) * u("size")))))
+    return _read(x, int(u("at") * (len(x) - size + 1)) + np.linspace(0, size - 1, len(x)))
+
 
+def time_stretch(x, u, low=0.8, high=1.2):
+    """Plays the sequence faster or slower from its start; the end holds."""
+    return _read(x, np.arange(len(x)) * (low + (high - low) * u("speed")))
 
-def frequency_filter(x, rng, low=0.2, high=0.8):
+
+def frequency_filter(x, u, low=0.2, high=0.8):
     """Frequencies above a random share of the highest go."""
     spectrum = np.fft.rfft(x, axis=0)
-    spectrum[max(1, int(len(spectrum) * rng.uniform(low, high))) :] = 0
+    spectrum[max(1, int(len(spectrum) * (low + (high - low) * u("share")))) :] = 0
     return np.fft.irfft(spectrum, len(x), axis=0)
 
 
+COLUMNS = {jitter, gaussian_noise, scaling, temporal_mask, channel_drop, sensor_drop, magnitude_warp, quaternion_flip}
 #: In the order in which a sequence meets them.
 AUGMENTATIONS = {f.__name__: f for f in (jitter, gaussian_noise, scaling, time_shift, crop_resize, temporal_mask, channel_drop, sensor_drop, magnitude_warp, time_stretch, quaternion_flip, frequency_filter)}
-#: Those that look at the names of the columns.
-NAMED = {sensor_drop, quaternion_flip}
 
 
 def augmented(df: DataFrame, names: list[str], kinds: list[str] | None = None, chance: float = 0.5, each: float = 0.5, seed: int = 42) -> DataFrame:
-    """df with augmented columns: a sequence is changed with probability `chance`, then by each kind with `each`."""
+    """df with augmented columns: a sequence is changed with probability `chance`, then by each kind with `each`. Nulls
+    stay null where a kind is a column; over whole sequences they count as not a number."""
     unknown = set(kinds or ()) - set(AUGMENTATIONS)
     if unknown:
         raise ValueError(f"unknown augmentations {sorted(unknown)}")
-    chosen = [k for k in AUGMENTATIONS if kinds is None or k in kinds]
+    fields = df.columns
+    df = df.withColumns({n: F.col(n).cast("double") for n in names}).withColumns({"_i": position(), "_n": F.count("*").over(entire())})
+    for kind in (k for k in AUGMENTATIONS if kinds is None or k in kinds):
+        change = AUGMENTATIONS[kind]
+        if change in COLUMNS:
+            meets = (draw("changed", seed) < chance) & (draw(kind, "met", seed) < each)
+            df = df.withColumns({n: F.when(meets, c).otherwise(F.col(n)) for n, c in change(names, seed).items()})
+        else:
+            df = along(df, _along(kind, names, chance, each, seed))
+    return df.select(fields)
+
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(AT).copy()
-        rng = np.random.default_rng([seed, zlib.crc32(str(frame[SEQ].iloc[0]).encode())])
-        if rng.random() < chance:
-            x = frame[names].to_numpy(float)
-            for k in chosen:
-                if rng.random() < each:
-                    change = AUGMENTATIONS[k]
-                    x = change(x, rng, names) if change in NAMED else change(x, rng)
-            frame[names] = x
-        return frame
+def _along(kind: str, names: list[str], chance: float, each: float, seed: int):
+    def make(frame, at):
+        x, ids = frame[names].to_numpy(float), frame[SEQ].to_numpy()
+        for a, b in zip(at, at[1:]):
+            if drawn(ids[a], "changed", seed) < chance and drawn(ids[a], kind, "met", seed) < each:
+                x[a:b] = AUGMENTATIONS[kind](x[a:b], lambda what: drawn(ids[a], kind, what, seed))
+        return dict(zip(names, x.T))
 
-    return df.groupBy(SEQ).applyInPandas(run, df.schema)
+    return make
 
 
 def mixup(df: DataFrame, names: list[str], alpha: float = 0.2, seed: int = 42) -> DataFrame:
     """Feature rows (one per sequence) blended with a seeded partner each: rows and partners are both numbered within
-    buckets by their hashes, so one join on (bucket, number) finds every partner. The last row of a bucket meets the first."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
+    buckets by their draws, so one join on (bucket, number) finds every partner. The last row of a bucket meets the first."""
     buckets = max(1, df.count() // 50_000)  # counted at once, so that a bucket stays of one size
-    bucket = F.pmod(F.xxhash64(SEQ, F.lit(seed)), F.lit(buckets))
     w = Window.partitionBy("_b")
-    rows = df.select(SEQ, *names, bucket.alias("_b")).withColumns({"_i": F.row_number().over(w.orderBy(F.xxhash64(SEQ, F.lit(seed + 1)), SEQ)), "_n": F.count("*").over(w)})
+    rows = df.select(SEQ, *names, F.floor(draw("bucket", seed) * buckets).alias("_b"))
+    rows = rows.withColumns({"_i": F.row_number().over(w.orderBy(draw("order", seed), SEQ)), "_n": F.count("*").over(w)})
     other = rows.select("_b", F.when(F.col("_i") == 1, F.col("_n")).otherwise(F.col("_i") - 1).alias("_i"), F.col(SEQ).alias("partner"), *(F.col(n).alias(f"_{n}") for n in names))
-    share = F.pmod(F.xxhash64(SEQ, F.lit(seed + 2)), F.lit(1000)) / 1000.0 * alpha
+    share = draw("share", seed) * alpha
     return rows.join(other, ["_b", "_i"]).select(SEQ, "partner", *(((1 - share) * F.col(n) + share * F.col(f"_{n}")).alias(n) for n in names))
 
 
 def cutmix(df: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
     """Sequences of which a seeded run of rows comes from the same places of a partner: (sequence_id, partner,
     sequence_counter, names...). The share that is replaced is drawn evenly from 0 to 1; rows that the partner lacks stay."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     ids = df.groupBy(SEQ).agg(F.count("*").alias("_n"))
     pairs = mixup(ids, [], 0.0, seed).join(ids, SEQ)
-    draw = lambda k: F.pmod(F.xxhash64(SEQ, F.lit(seed + k)), F.lit(10_000)) / 10_000.0
-    size = F.floor(draw(3) * F.col("_n"))
-    pairs = pairs.select(SEQ, "partner", size.alias("_size"), F.floor(draw(4) * (F.col("_n") - size + 1)).alias("_from"))
+    size = F.floor(draw("size", seed) * F.col("_n"))
+    pairs = pairs.select(SEQ, "partner", size.alias("_size"), F.floor(draw("from", seed) * (F.col("_n") - size + 1)).alias("_from"))
     place = F.row_number().over(Window.partitionBy(SEQ).orderBy(AT)) - 1
     rows = df.select(SEQ, AT, *names, place.alias("_i"))
     other = rows.select(F.col(SEQ).alias("partner"), "_i", F.struct(*names).alias("_other"))
@@ -176,10 +225,5 @@ def cutmix(df: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
 
 
 def noisy(df: DataFrame, names: list[str], sigma: float = 0.01, seed: int = 42) -> DataFrame:
-    """Additive noise on a feature table, from the hash of id, column and seed (Box-Muller)."""
-    from math import pi
-
-    from pyspark.sql import functions as F
-
-    unit = lambda *k: (F.pmod(F.xxhash64(SEQ, *map(F.lit, k)), F.lit(1_000_003)) + 1) / 1_000_004.0
-    return df.withColumns({n: F.col(n) + sigma * F.sqrt(-2 * F.log(unit(n, seed))) * F.cos(2 * pi * unit(n, seed + 1)) for n in names})
+    """Additive normal noise on a feature table, drawn for each sequence and column."""
+    return df.withColumns({n: F.col(n) + sigma * normal("noisy", n, seed) for n in names})

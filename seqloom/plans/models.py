@@ -153,17 +153,60 @@ def a07(spark, d):
     return au.augmented(src.samples(spark, d), ["acc_x"])
 
 
-for _kind in au.AUGMENTATIONS:
+def drawn_sql(*what: str) -> str:
+    """A draw of augment.draw as SQL; columns come in parentheses."""
+    text = " || ':' || ".join(["CAST(sequence_id AS VARCHAR)", *(w if w[0] == "(" else f"'{w}'" for w in what)])
+    return f"((CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)"
+
+
+def normal_sql(*what: str) -> str:
+    return f"(sqrt(-2 * ln({drawn_sql(*what, 'r')})) * cos(2 * pi() * {drawn_sql(*what, 'a')}))"
+
+
+ROW = "(CAST(sequence_counter AS VARCHAR))"
+SIZED = "s AS (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY sequence_counter) - 1 AS i, count(*) OVER (PARTITION BY sequence_id) AS n, stddev_pop(acc_x) OVER (PARTITION BY sequence_id) AS dev FROM samples)"
+HIDDEN = f"i - floor({drawn_sql('temporal_mask', '0', '42')} * (n - greatest(1, floor(n * 0.1)) + 1))"
+#: The cubic through four knots, by Lagrange; the sequences of the table have four rows and more.
+WARP = " + ".join(
+    "(" + " * ".join(f"(u - {m}) / ({j} - {m})::DOUBLE" for m in range(4) if m != j) + f") * (1 + 0.2::DOUBLE * {normal_sql('magnitude_warp', 'acc_x', str(j), '42')})" for j in range(4)
+)
+AUGMENTED = {
+    "jitter": f"acc_x + 0.03::DOUBLE * {normal_sql('jitter', 'acc_x', ROW, '42')}",
+    "gaussian_noise": f"acc_x + 0.05::DOUBLE * CASE WHEN dev = 0 THEN 1 ELSE dev END * {normal_sql('gaussian_noise', 'acc_x', ROW, '42')}",
+    "scaling": f"acc_x * (1 + 0.1::DOUBLE * {normal_sql('scaling', '42')})",
+    "temporal_mask": f"CASE WHEN {HIDDEN} >= 0 AND {HIDDEN} < greatest(1, floor(n * 0.1)) THEN 0 ELSE acc_x END",
+    "channel_drop": f"CASE WHEN {drawn_sql('channel_drop', 'acc_x', '42')} < 0.1 THEN 0 ELSE acc_x END",
+    "magnitude_warp": f"acc_x * ({WARP})",
+}
+TURNED = {"quaternion_flip": ("-{c}", "{c}"), "sensor_drop": tuple(f"CASE WHEN {drawn_sql('sensor_drop', k, '42')} < 0.3 THEN 0 ELSE {{c}} END" for k in ("rot", "acc"))}
 
-    @query(f"a_{_kind}")
+for _kind in au.AUGMENTATIONS:
+    _sql, _cte = None, None
+    if _kind in AUGMENTED:
+        _sql = f"WITH {SIZED}, k AS (SELECT *, i * 3 / (n - 1)::DOUBLE AS u FROM s) SELECT sequence_id, sequence_counter, phase, round({AUGMENTED[_kind]}, 6) + 0.0 AS acc_x FROM k"
+        _cte = "samples"
+    elif _kind in TURNED:
+        _names = [(f"rot_{c}", TURNED[_kind][0]) for c in "wxyz"] + [(f"acc_{c}", TURNED[_kind][1]) for c in "xyz"]
+        _sql, _cte = "SELECT sequence_id, sequence_counter, " + ", ".join(f"round({how.format(c=n)}, 6) + 0.0 AS {n}" for n, how in _names) + " FROM quats", "quats"
+
+    @query(f"a_{_kind}", *([_sql, _cte] if _sql else []))
     def a(spark, d, kind=_kind):
-        names = ["acc_x", "acc_y", "acc_z", "rot_w", "rot_x", "rot_y", "rot_z"]
-        return au.augmented(src.quats(spark, d), names, [kind], 1.0, 1.0) if kind in ("sensor_drop", "quaternion_flip") else au.augmented(src.samples(spark, d), ["acc_x"], [kind], 1.0, 1.0)
-
-
-@query("a08_mixup")
+        if kind in TURNED:
+            names = ["acc_x", "acc_y", "acc_z", "rot_w", "rot_x", "rot_y", "rot_z"]
+            out = au.augmented(src.quats(spark, d), names, [kind], 1.0, 1.0)
+        else:
+            names, out = ["acc_x"], au.augmented(src.samples(spark, d), ["acc_x"], [kind], 1.0, 1.0)
+        return out.withColumns({n: F.round(n, 6) + 0.0 for n in names})
+
+
+@query("a08_mixup", f"""WITH f AS (SELECT sequence_id, avg(acc_x) AS m, stddev_pop(acc_x) AS s FROM samples GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY {drawn_sql('order', '42')}, sequence_id) AS i, count(*) OVER () AS n, {drawn_sql('share', '42')} * 0.2::DOUBLE AS share FROM f)
+SELECT a.sequence_id, b.sequence_id AS partner, round((1 - a.share) * a.m + a.share * b.m, 6) + 0.0 AS acc_x_mean, round((1 - a.share) * a.s + a.share * b.s, 6) + 0.0 AS acc_x_std
+FROM o a JOIN o b ON a.i = CASE WHEN b.i = 1 THEN b.n ELSE b.i - 1 END""", "samples")
 def a08(spark, d):
-    return au.mixup(st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std")), ["acc_x_mean", "acc_x_std"])
+    names = ["acc_x_mean", "acc_x_std"]
+    out = au.mixup(st.frame(src.samples(spark, d), ["acc_x"], ("mean", "std")), names)
+    return out.withColumns({n: F.round(n, 6) + 0.0 for n in names})
 
 
 @query("a08_cutmix")
@@ -171,9 +214,9 @@ def a08_cutmix(spark, d):
     return au.cutmix(src.samples(spark, d), ["acc_x"])
 
 
-@query("a09_tabular_noise")
+@query("a09_tabular_noise", f"WITH f AS (SELECT sequence_id, avg(acc_x) AS m FROM samples3 GROUP BY 1) SELECT sequence_id, round(m + 0.01::DOUBLE * {normal_sql('noisy', 'acc_x_mean', '42')}, 6) + 0.0 AS acc_x_mean FROM f", "samples3")
 def a09(spark, d):
-    return au.noisy(st.frame(src.samples3(spark, d), ["acc_x"], ("mean",)), ["acc_x_mean"])
+    return au.noisy(st.frame(src.samples3(spark, d), ["acc_x"], ("mean",)), ["acc_x_mean"]).withColumn("acc_x_mean", F.round("acc_x_mean", 6) + 0.0)
 
 
 @query("pipeline_frame", """WITH m AS (SELECT *, 1 / CAST(20 AS DOUBLE) AS dt FROM samples3), c AS (SELECT *, sqrt(acc_x * acc_x + acc_y * acc_y + acc_z * acc_z) AS mag, coalesce(acc_x - lag(acc_x) OVER (PARTITION BY sequence_id ORDER BY sequence_counter), 0) / dt AS jerk FROM m)
