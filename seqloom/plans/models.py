@@ -289,11 +289,30 @@ for _kind in ("logistic", "svm", "ridge"):
         return ml.linear(f.join(y, "sequence_id"), "features", "sequence_type", kind).select("sequence_id", "prediction")
 
 
+SPACE = {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 5]}
+
+
+def folded(spark, d):
+    f, names = features(spark, d)
+    return lb.folds(f.withColumn("y", (F.col("sequence_type") == "Target").cast("double")), "sequence_id", 3), names
+
+
 @query("l16_random_search")
 def l16_random(spark, d):
-    f, names = features(spark, d)
-    f = lb.folds(f.withColumn("y", (F.col("sequence_type") == "Target").cast("double")), "sequence_id", 3)
-    return search.random_search(f, names, "y", "fold", {"numTrees": [5, 10, 20], "maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 5]}, 4)
+    f, names = folded(spark, d)
+    return search.random_search(f, names, "y", "fold", SPACE, 4)
+
+
+@query("l16_bayesian_search")
+def l16_bayesian(spark, d):
+    f, names = folded(spark, d)
+    return search.bayesian_search(f, names, "y", "fold", SPACE, n=4, batch=2)
+
+
+@query("l16_genetic_search")
+def l16_genetic(spark, d):
+    f, names = folded(spark, d)
+    return search.genetic_search(f, names, "y", "fold", SPACE, population=3, generations=2)
 
 
 @query("l16_grid_search")
