@@ -88,3 +88,22 @@ def episodes(df: DataFrame, key: str, label: str, ways: int, shots: int, queries
     turns = F.sequence(F.lit(0), F.floor((shots + queries - F.col("_place")) / F.col("_size")).cast("int"))
     rows = rows.select(label, key, "_place", "_size", F.explode(turns).alias("_turn")).withColumn("_place", F.col("_place") + F.col("_turn") * F.col("_size"))
     return rows.select(label, key, F.when(F.col("_place") <= shots, "support").otherwise("query").alias("role"))
+
+
+def many_episodes(df: DataFrame, key: str, label: str, n: int, ways: int, shots: int, queries: int, seed: int = 42) -> DataFrame:
+    """(episode, way, label, key, role) of n episodes: for each, `ways` labels in an order of its own, and of each label
+    a run of shots + queries keys, support first. The keys of a label stand in one seeded order; an episode's run begins
+    at a place drawn for it and goes on from the first key behind the last one, so that keys stand once in a run unless
+    the label has fewer. Labels, not keys, are multiplied by the episodes; the runs meet the keys in one join.
+    Rows without a label take no part; with fewer labels than `ways` an episode has all of them."""
+    known = df.where(F.col(label).isNotNull()).select(key, label)
+    number = lambda *what: F.md5(F.concat_ws(":", F.col(label).cast("string"), *(w.cast("string") if isinstance(w, Column) else F.lit(str(w)) for w in what)))
+    sizes = known.groupBy(label).agg(F.count("*").alias("_all")).select(label, "_all", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("episode"))
+    way = F.row_number().over(Window.partitionBy("episode").orderBy(number(F.col("episode"), seed), label))
+    picks = sizes.withColumn("way", way - 1).where(F.col("way") < ways)
+    start = F.conv(F.substring(number(F.col("episode"), seed, "start"), 1, 8), 16, 10).cast("long") % F.col("_all")
+    picks = picks.select("episode", "way", label, "_all", start.alias("_start"), F.explode(F.sequence(F.lit(0), F.lit(shots + queries - 1))).alias("_j"))
+    picks = picks.withColumn("_place", (F.col("_start") + F.col("_j")) % F.col("_all") + 1).drop("_all", "_start")
+    placed = seeded_places(known, key, [label], seed).drop("_size")
+    role = F.when(F.col("_j") < shots, "support").otherwise("query").alias("role")
+    return picks.join(placed, [label, "_place"]).select("episode", "way", label, key, role)

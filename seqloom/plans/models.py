@@ -10,7 +10,7 @@ from seqloom.operators import clusters as cl
 from seqloom.operators import hierarchy
 from seqloom.operators import labels as lb
 from seqloom.operators import models as ml
-from seqloom.operators import search
+from seqloom.operators import rocket, search
 from seqloom.operators import spectral as sp
 from seqloom.operators import stats as st
 from seqloom.sources import adapters as src
@@ -279,6 +279,13 @@ def l08(spark, d):
     return sp.kernel_features(src.samples(spark, d), "acc_x")
 
 
+@query("l08_rocket_features")
+def l08_rocket(spark, d):
+    """Learnt biases and four pooled numbers a kernel, on the sequences of all users."""
+    samples = src.samples(spark, d)
+    return rocket.transform(samples, "acc_x", rocket.fit(samples, "acc_x", most_dilations=3))
+
+
 for _kind in ("logistic", "svm", "ridge"):
 
     @query(f"l08_linear_{_kind}")

@@ -321,6 +321,17 @@ def p05(spark, d):
     return lb.episodes(labelled(spark, d), "sequence_id", "gesture", 3, 5, 10)
 
 
+@query("p05_many_episodes", f"""WITH {LABELS}, z AS (SELECT gesture, count(*) AS size FROM l WHERE gesture IS NOT NULL GROUP BY 1),
+e AS (SELECT gesture, size, CAST(i AS INTEGER) AS episode FROM z, range(0, 100) r(i)),
+w AS (SELECT *, CAST(row_number() OVER (PARTITION BY episode ORDER BY md5(gesture || ':' || episode || ':42'), gesture) - 1 AS INTEGER) AS way FROM e QUALIFY row_number() OVER (PARTITION BY episode ORDER BY md5(gesture || ':' || episode || ':42'), gesture) <= 3),
+p AS (SELECT *, CAST('0x' || substr(md5(gesture || ':' || episode || ':42:start'), 1, 8) AS BIGINT) % size AS start FROM w),
+k AS (SELECT gesture, sequence_id, row_number() OVER (PARTITION BY gesture ORDER BY md5(sequence_id || ':42'), sequence_id) AS place FROM l)
+SELECT p.episode, p.way, p.gesture, k.sequence_id, CASE WHEN j < 5 THEN 'support' ELSE 'query' END AS role
+FROM p, range(0, 15) s(j) JOIN k ON k.gesture = p.gesture AND k.place = (p.start + j) % p.size + 1""", "sequences")
+def p05_many(spark, d):
+    return lb.many_episodes(labelled(spark, d), "sequence_id", "gesture", 100, 3, 5, 10)
+
+
 SCORED = "s AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'non_bfrb' WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END AS truth, CASE WHEN toxic = 1 OR doc_id % 5 = 0 THEN 'non_bfrb' WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS pred FROM labels)"
 
 

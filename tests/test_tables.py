@@ -133,3 +133,21 @@ def test_pipeline_shuffles_once(spark):
         frame = SensorPipeline(**native, **more).frame(df)
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == shuffles
+
+
+def test_many_episodes(spark):
+    rows = [(i, "abcd"[i % 3]) for i in range(60)] + [(100, "d"), (101, "d"), (102, None)]
+    df = spark.createDataFrame(rows, "k long, y string").repartition(3)
+    got = lb.many_episodes(df, "k", "y", 20, 3, 2, 4).collect()
+    of, runs = dict(rows), {}
+    for r in got:
+        assert of[r.k] == r.y
+        runs.setdefault((r.episode, r.way), []).append(r)
+    assert {e for e, _ in runs} == set(range(20)) and {w for _, w in runs} == {0, 1, 2} and len(runs) == 60
+    for run in runs.values():
+        assert sorted(r.role for r in run) == ["query"] * 4 + ["support"] * 2 and len({r.y for r in run}) == 1
+        assert len({r.k for r in run}) == (2 if run[0].y == "d" else 6)
+    assert len({tuple(sorted(r.k for r in run)) for run in runs.values()}) > 20
+    assert all(len({runs[e, w][0].y for w in range(3)}) == 3 for e in range(20))
+    again = lb.many_episodes(df.repartition(7), "k", "y", 20, 3, 2, 4).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
