@@ -23,6 +23,8 @@ MINIMIZERS, DOCUMENTS = 300_000, 1_500
 #: A reduced string with more names than this is sorted by doubling: passes over its buckets would be mostly empty.
 WIDE = 2_000
 _U = np.uint64
+#: Odd factors of the prefix hashes.
+MIXERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------------------------
@@ -135,15 +137,17 @@ def suffix_array(s: np.ndarray, k: int, depth: int | None = None) -> np.ndarray:
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
     """For every place of the text, the common prefix (127 at most) with the suffix just before it in sorted order.
-    Common prefixes below `least`, rounded down to a power of two, may be given as 0."""
-    n, levels, h = len(s), [], s.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1)
+    Common prefixes below `least`, rounded down to a power of two, may be given as 0; those that reach a `least` above 1
+    do so by comparison, not by hashes alone."""
+    first, second, third = map(_U, MIXERS)
+    n, levels, h = len(s), [], s.astype(_U) * first + _U(1)
     for j in range(7):
         levels.append(h)
         m = 1 << j
         if n > m:
             h = h.copy()
-            h[:-m] = (h[:-m] ^ (h[:-m] >> _U(29))) * _U(0xBF58476D1CE4E5B9) + h[m:]
-            h[-m:] = np.arange(1, m + 1, dtype=_U) * _U(0x94D049BB133111EB) + _U(j)  # beyond the end nothing is alike
+            h[:-m] = (h[:-m] ^ (h[:-m] >> _U(29))) * second + h[m:]
+            h[-m:] = np.arange(1, m + 1, dtype=_U) * third + _U(j)  # beyond the end nothing is alike
     left = np.full(n, n)
     left[sa[1:]] = sa[:-1]
     out, at, top = np.zeros(n, np.int64), np.arange(n), least.bit_length() - 1
@@ -156,6 +160,11 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
             at = np.flatnonzero(alike)  # only these can reach it; their prefix is measured anew
             continue
         out[at] += np.where(alike, m, 0)
+    if top:  # hashes only propose: what reaches `least` is compared symbol by symbol
+        sure, strings = np.flatnonzero(out >= least), np.lib.stride_tricks.sliding_window_view(s.astype(np.min_scalar_type(int(s.max()))), least)
+        for lo in range(0, len(sure), 1 << 13):
+            few = sure[lo : lo + (1 << 13)]
+            out[few[(strings[few] != strings[left[few]]).any(axis=1)]] = 0
     return out
 
 

@@ -45,6 +45,20 @@ def test_nothing_goes_without_usable_labels(spark, tmp_path):
     assert pipeline.quality_filter(spark, docs, str(tmp_path)).count() == 3
 
 
+def test_prefixes_are_compared_when_hashes_agree(monkeypatch):
+    """With hashes that are all alike, only places whose bytes are alike reach the least length."""
+    from seqloom.llm import suffix
+
+    text = np.frombuffer((b"abcdefgh" * 3 + b"xyzw" + b"abcdefgh" * 3 + b"0123456789" * 4), np.uint8).astype(np.int64) + 1
+    s = np.r_[text, 0]
+    sa = suffix.suffix_array(s, 257)
+    want = suffix.permuted_lcp(s, sa, 16) >= 16
+    assert 0 < want.sum() < len(s)
+    monkeypatch.setattr(suffix, "MIXERS", (0, 0, 0))
+    got = suffix.permuted_lcp(s, sa, 16) >= 16
+    assert got.tolist() == want.tolist()
+
+
 def test_splitting_a_long_text_is_linear(spark):
     """Twice as many characters take about twice as long: each chunk is cut where it is, not counted from the start."""
     import pyarrow as pa
