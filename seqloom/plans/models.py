@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.branches import branch, branch_summary
 from seqloom.operators import augment as au
 from seqloom.operators import clusters as cl
-from seqloom.operators import hierarchy
+from seqloom.operators import hierarchy, machines
 from seqloom.operators import labels as lb
 from seqloom.operators import models as ml
 from seqloom.operators import rocket, search
@@ -304,6 +304,23 @@ def folded(spark, d):
     return lb.folds(f.withColumn("y", (F.col("sequence_type") == "Target").cast("double")), "sequence_id", 3), names
 
 
+for _kind in ("sgd", "pa"):
+
+    @query(f"l08_online_{_kind}")
+    def l08_online(spark, d, kind=_kind):
+        f, names = features(spark, d)
+        f = f.withColumn("x", F.array(*(F.coalesce(F.col(n), F.lit(0.0)) / 50 for n in names)))
+        machine = machines.trained(f, "x", "sequence_type", "sequence_id", kind, rounds=3, rate=0.05)
+        return machines.predicted(f, "x", machine).select("sequence_id", "prediction")
+
+
+@query("l18_radial_machine")
+def l18_radial(spark, d):
+    f, names = features(spark, d)
+    f = f.select("sequence_id", "sequence_type", F.array(*(F.coalesce(F.col(n), F.lit(0.0)) / 50 for n in names)).alias("x"))
+    return machines.radial_machine(f, "x", "sequence_type", 64).select("sequence_id", "prediction")
+
+
 @query("l16_random_search")
 def l16_random(spark, d):
     f, names = folded(spark, d)
