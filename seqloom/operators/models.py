@@ -12,6 +12,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.shared import cut
+
 from . import scoring
 
 
@@ -75,18 +77,25 @@ def centroids(df: DataFrame, vector: str, label: str) -> DataFrame:
     return places.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def nearest_centroid(df: DataFrame, vector: str, prototypes: DataFrame, label: str) -> DataFrame:
-    """df plus the class of the nearest prototype and its softmax probability. The prototypes, one a class, are held as
-    one literal on the driver; more than 10,000 classes are an error."""
-    rows = sorted(prototypes.limit(10_001).collect(), key=lambda r: r[label])
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 classes")
-    table = F.array(*(F.struct(F.lit(r[label]).alias("label"), F.array(*map(F.lit, r["centroid"])).alias("c")) for r in rows))
+def nearest_centroid(df: DataFrame, vector: str, prototypes: DataFrame, label: str, block: int = 1000) -> DataFrame:
+    """df plus the class of the nearest prototype (of equal distances the first label), its squared distance and its
+    softmax probability. The prototypes, one a class, meet the rows in blocks: each is a table of one row with about
+    `block` of them, small enough to be broadcast whatever the number of classes. No prototypes give nulls."""
+    blocks = -(-prototypes.count() // block)
+    tables = prototypes.select(label, "centroid", F.pmod(F.xxhash64(label), F.lit(max(1, blocks))).alias("_b"))
+    tables = cut(tables.groupBy("_b").agg(F.collect_list(F.struct(F.col("centroid").alias("c"), F.col(label).alias("label"))).alias("_p")))
     squared = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
-    df = df.withColumn("_d", F.transform(table, lambda p: F.struct(squared(p["c"]).alias("d"), p["label"].alias("label"))))
-    best = F.array_min("_d")
-    total = F.aggregate(F.transform("_d", lambda x: F.exp(best["d"] - x["d"])), F.lit(0.0), lambda s, v: s + v)
-    return df.withColumns({"nearest": best["label"], "distance": best["d"], "probability": 1 / total}).drop("_d")
+    kind = f"struct<d:double,label:{prototypes.schema[label].dataType.simpleString()}>"
+    df = df.withColumns({"_best": F.lit(None).cast(kind), "_sum": F.lit(0.0)})
+    for b in sorted(r["_b"] for r in tables.select("_b").collect()):  # a hash may leave a block empty
+        df = df.join(F.broadcast(tables.where(F.col("_b") == b).select("_p")))  # one row
+        df = df.withColumn("_d", F.transform("_p", lambda p: F.struct(squared(p["c"]).alias("d"), p["label"].alias("label")))).drop("_p")
+        df = df.withColumn("_low", F.least("_best", F.array_min("_d")))
+        own = F.aggregate("_d", F.lit(0.0), lambda s, x: s + F.exp(F.col("_low.d") - x["d"]))
+        before = F.coalesce(F.col("_sum") * F.exp(F.col("_low.d") - F.col("_best.d")), F.lit(0.0))
+        df = df.withColumn("_sum", before + own).withColumn("_best", F.col("_low")).drop("_d", "_low")
+    found = {"nearest": F.col("_best.label"), "distance": F.col("_best.d"), "probability": F.when(F.col("_sum") > 0, 1 / F.col("_sum"))}
+    return df.withColumns(found).drop("_best", "_sum")
 
 
 def principal_components(df: DataFrame, names: list[str], k: int = 2) -> DataFrame:

@@ -151,3 +151,22 @@ def test_many_episodes(spark):
     assert all(len({runs[e, w][0].y for w in range(3)}) == 3 for e in range(20))
     again = lb.many_episodes(df.repartition(7), "k", "y", 20, 3, 2, 4).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_nearest_prototypes_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    protos, points = rng.normal(size=(50, 3)), rng.normal(size=(40, 3))
+    protos[7] = protos[3]  # the first label of a tie
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, x array<double>").repartition(3)
+    table = spark.createDataFrame([(f"c{i:02}", v.tolist()) for i, v in enumerate(protos)], "label string, centroid array<double>")
+    d = ((points[:, None] - protos[None]) ** 2).sum(axis=2)
+    for block in (1000, 7):
+        got = {r.id: r for r in ml.nearest_centroid(df, "x", table, "label", block).collect()}
+        for i in range(40):
+            best = int(d[i].argmin())
+            assert got[i].nearest == f"c{best:02}" and got[i].distance == pytest.approx(d[i, best])
+            assert got[i].probability == pytest.approx(1 / np.exp(d[i, best] - d[i]).sum())
+    none = ml.nearest_centroid(df, "x", table.where("false"), "label").first()
+    assert none.nearest is None and none.probability is None
