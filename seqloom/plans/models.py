@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.branches import branch, branch_summary
 from seqloom.operators import augment as au
+from seqloom.operators import cascade
 from seqloom.operators import clusters as cl
 from seqloom.operators import hierarchy, machines
 from seqloom.operators import labels as lb
@@ -321,6 +322,12 @@ def l18_radial(spark, d):
     return machines.radial_machine(f, "x", "sequence_type", 64).select("sequence_id", "prediction")
 
 
+@query("l18_cascade_forest")
+def l18_cascade(spark, d):
+    f, names = folded(spark, d)
+    return cascade.cascade(f, names, "sequence_type", "fold", most_layers=2, trees=5, depth=4)[0].select("sequence_id", "prediction")
+
+
 @query("l16_random_search")
 def l16_random(spark, d):
     f, names = folded(spark, d)
