@@ -37,12 +37,18 @@ def samples3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ids of a block of vectors: within a block, the vectors of a label are a sequence.
+BLOCK = 512
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("sequence_id"), "vec_id", "embedding")
+    """Vectors in sequences of bounded length: one for each label and block of ids (labels are 0 to 9)."""
+    sequence = F.col("label") + 10 * F.floor(F.col("vec_id") / BLOCK)
+    return table(spark, sf_dir, "embeddings").select(sequence.cast("long").alias("sequence_id"), "vec_id", "embedding")
 
 
 def quats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orientations: the first four dimensions of every vector, and accelerations: the next three; a sequence per label."""
+    """Orientations: the first four dimensions of every vector, and accelerations: the next three; a sequence per label and block of ids."""
     e, at = _vectors(spark, sf_dir), lambda i: F.col("embedding")[i].cast("double")
     names = [*(f"rot_{c}" for c in "wxyz"), *(f"acc_{c}" for c in "xyz")]
     return e.select("sequence_id", _counter("vec_id"), *(at(i).alias(n) for i, n in enumerate(names)))
@@ -84,9 +90,9 @@ SQL = {
     "samples": "samples AS (SELECT user_id AS sequence_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence_counter, value AS acc_x, event_type AS phase FROM events)",
     "samples_gap": "all_samples AS (SELECT user_id AS sequence_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sequence_counter, CASE WHEN event_type <> 'error' THEN value END AS acc_x, event_type AS phase FROM events), samples_gap AS (SELECT * FROM all_samples WHERE phase <> 'signup')",
     "samples3": "samples3 AS (SELECT l_orderkey AS sequence_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS sequence_counter, l_quantity AS acc_x, l_discount AS acc_y, l_tax AS acc_z, l_returnflag AS behavior FROM lineitem)",
-    "quats": "quats AS (SELECT label AS sequence_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sequence_counter, CAST(embedding[1] AS DOUBLE) AS rot_w, CAST(embedding[2] AS DOUBLE) AS rot_x, CAST(embedding[3] AS DOUBLE) AS rot_y, CAST(embedding[4] AS DOUBLE) AS rot_z, CAST(embedding[5] AS DOUBLE) AS acc_x, CAST(embedding[6] AS DOUBLE) AS acc_y, CAST(embedding[7] AS DOUBLE) AS acc_z FROM embeddings)",
-    "grids": "grids AS (SELECT label AS sequence_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sequence_counter, vec_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(x AS DOUBLE) * 1000 END) AS grid FROM embeddings)",
-    "thermo": "thermo AS (SELECT label AS sequence_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sequence_counter, " + ", ".join(f"CAST(embedding[{9 + i + 1}] AS DOUBLE) AS thm_{i}" for i in range(1, 6)) + " FROM embeddings)",
+    "quats": "quats AS (SELECT CAST(label + 10 * (vec_id // 512) AS BIGINT) AS sequence_id, row_number() OVER (PARTITION BY label, vec_id // 512 ORDER BY vec_id) - 1 AS sequence_counter, CAST(embedding[1] AS DOUBLE) AS rot_w, CAST(embedding[2] AS DOUBLE) AS rot_x, CAST(embedding[3] AS DOUBLE) AS rot_y, CAST(embedding[4] AS DOUBLE) AS rot_z, CAST(embedding[5] AS DOUBLE) AS acc_x, CAST(embedding[6] AS DOUBLE) AS acc_y, CAST(embedding[7] AS DOUBLE) AS acc_z FROM embeddings)",
+    "grids": "grids AS (SELECT CAST(label + 10 * (vec_id // 512) AS BIGINT) AS sequence_id, row_number() OVER (PARTITION BY label, vec_id // 512 ORDER BY vec_id) - 1 AS sequence_counter, vec_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(x AS DOUBLE) * 1000 END) AS grid FROM embeddings)",
+    "thermo": "thermo AS (SELECT CAST(label + 10 * (vec_id // 512) AS BIGINT) AS sequence_id, row_number() OVER (PARTITION BY label, vec_id // 512 ORDER BY vec_id) - 1 AS sequence_counter, " + ", ".join(f"CAST(embedding[{9 + i + 1}] AS DOUBLE) AS thm_{i}" for i in range(1, 6)) + " FROM embeddings)",
     "sequences": "sequences AS (SELECT o_orderkey AS sequence_id, o_custkey AS subject, CASE WHEN o_orderstatus = 'F' THEN 'Target' ELSE 'Other' END AS sequence_type, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS gesture, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS orientation, o_totalprice AS weight FROM orders)",
     "subjects": "subjects AS (SELECT c_custkey AS subject, c_mktsegment AS sex, c_custkey % 40 + 8 AS age, CAST(c_nationkey % 2 AS BIGINT) AS handedness, c_acctbal AS height_cm FROM customer)",
 }
