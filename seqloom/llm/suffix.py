@@ -135,6 +135,26 @@ def suffix_array(s: np.ndarray, k: int, depth: int | None = None) -> np.ndarray:
     return _induce(s, k, small, lms[ranked])
 
 
+def _alike(s: np.ndarray, at: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of `length` symbols at two places are the same. at ascends. Where both places moved on by one
+    since the pair before, only the last symbol is new; a run with a difference in it is compared whole."""
+    strings = np.lib.stride_tricks.sliding_window_view(s.astype(np.min_scalar_type(int(s.max()))), length)
+
+    def whole(some: np.ndarray) -> np.ndarray:
+        parts = [some[lo : lo + (1 << 13)] for lo in range(0, len(some), 1 << 13)]
+        return np.concatenate([np.zeros(0, bool), *((strings[at[p]] == strings[other[p]]).all(axis=1) for p in parts)])
+
+    if not len(at):
+        return np.zeros(0, bool)
+    new = np.r_[True, (np.diff(at) != 1) | (np.diff(other) != 1)]
+    same = s[at + length - 1] == s[other + length - 1]
+    same[new] = whole(np.flatnonzero(new))
+    broken = ~np.logical_and.reduceat(same, np.flatnonzero(new))
+    again = np.flatnonzero(broken[np.cumsum(new) - 1])
+    same[again] = whole(again)
+    return same
+
+
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
     """For every place of the text, the common prefix (127 at most) with the suffix just before it in sorted order.
     Common prefixes below `least`, rounded down to a power of two, may be given as 0; those that reach a `least` above 1
@@ -161,10 +181,8 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, least: int = 1) -> np.ndarray:
             continue
         out[at] += np.where(alike, m, 0)
     if top:  # hashes only propose: what reaches `least` is compared symbol by symbol
-        sure, strings = np.flatnonzero(out >= least), np.lib.stride_tricks.sliding_window_view(s.astype(np.min_scalar_type(int(s.max()))), least)
-        for lo in range(0, len(sure), 1 << 13):
-            few = sure[lo : lo + (1 << 13)]
-            out[few[(strings[few] != strings[left[few]]).any(axis=1)]] = 0
+        sure = np.flatnonzero(out >= least)
+        out[sure[~_alike(s, sure, left[sure], least)]] = 0
     return out
 
 

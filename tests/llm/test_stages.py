@@ -57,6 +57,10 @@ def test_prefixes_are_compared_when_hashes_agree(monkeypatch):
     monkeypatch.setattr(suffix, "MIXERS", (0, 0, 0))
     got = suffix.permuted_lcp(s, sa, 16) >= 16
     assert got.tolist() == want.tolist()
+    s = np.r_[RNG.integers(1, 3, 600), RNG.integers(1, 3, 50).repeat(2), np.tile(RNG.integers(1, 3, 40), 6), 0]
+    at = np.unique(RNG.integers(0, len(s) - 9, 500))
+    for other in (np.minimum(at + 40, len(s) - 9), np.maximum(at - 1, 0), RNG.integers(0, len(s) - 9, len(at))):
+        assert suffix._alike(s, at, other, 8).tolist() == [s[a : a + 8].tolist() == s[b : b + 8].tolist() for a, b in zip(at, other)]
 
 
 def test_splitting_a_long_text_is_linear(spark):
