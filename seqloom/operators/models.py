@@ -17,6 +17,17 @@ from seqloom.shared import cut
 from . import scoring
 
 
+#: Rows of a partition while a model is fitted: forests keep a row's draw of every tree in memory.
+FIT_ROWS = 250_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in partitions of about FIT_ROWS rows, where the table is so large that those are more than the cluster's cores;
+    a scan packs files by bytes, whatever a fit makes of their rows."""
+    n = -(-df.count() // FIT_ROWS)
+    return df.repartition(n) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def assembled(df: DataFrame, names: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol=out, handleInvalid="keep").transform(df)
 
@@ -26,12 +37,12 @@ def forest(df: DataFrame, names: list[str], label: str, trees: int = 100, depth:
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(df)
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", weightCol="class_weight", numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_prediction")
     back = IndexToString(inputCol="_prediction", outputCol="prediction", labels=index.labels)
-    return Pipeline(stages=[index, VectorAssembler(inputCols=names, outputCol="_features"), rf, back]).fit(scoring.balanced_weights(df, label))
+    return Pipeline(stages=[index, VectorAssembler(inputCols=names, outputCol="_features"), rf, back]).fit(scoring.balanced_weights(spread(df.select(label, *names)), label))
 
 
 def boosted(df: DataFrame, names: list[str], label: str, rounds: int = 20, seed: int = 42) -> PipelineModel:
     """Gradient-boosted trees for a 0/1 label."""
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_features"), GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, seed=seed)]).fit(df)
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_features"), GBTClassifier(featuresCol="_features", labelCol=label, maxIter=rounds, seed=seed)]).fit(spread(df.select(label, *names)))
 
 
 def linear(df: DataFrame, features: str, label: str, kind: str = "logistic", penalty: float = 0.01) -> DataFrame:

@@ -31,9 +31,11 @@ def competition_score(df: DataFrame, truth: str, pred: str, other: str = "non_bf
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """df plus class_weight: rows / (classes * rows of the class), from one small aggregate."""
+    """df plus class_weight: rows / (classes * rows of the class), from one small aggregate. The aggregate is broadcast: a
+    shuffle by label would put all rows of a class in one task."""
     n = df.groupBy(label).agg(F.count("*").alias("_n"))
-    return df.join(n.withColumn("class_weight", F.sum("_n").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("_n"))).drop("_n"), label)
+    n = n.withColumn("class_weight", F.sum("_n").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("_n"))).drop("_n")
+    return df.join(F.broadcast(n), label)
 
 
 def pooled_predictions(df: DataFrame, key: str, classes: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from seqloom.operators import models as ml
 from seqloom.operators import rocket, search
 from seqloom.operators import spectral as sp
 from seqloom.operators import stats as st
+from seqloom.shared import cut
 from seqloom.sources import adapters as src
 
 from .ordered import RECKONED
@@ -22,9 +23,10 @@ from .registry import query
 
 
 def features(spark, d):
+    """A row of features a sequence, with its label, and their names; a written table, since fitting reads it many times."""
     f = st.frame(src.samples3(spark, d), ["acc_x", "acc_y", "acc_z"], ("mean", "std", "max"))
     y = src.sequences(spark, d).select("sequence_id", "sequence_type")
-    return f.join(y, "sequence_id"), [f"acc_{c}_{s}" for s in ("mean", "std", "max") for c in "xyz"]
+    return cut(f.join(y, "sequence_id")), [f"acc_{c}_{s}" for s in ("mean", "std", "max") for c in "xyz"]
 
 
 @query("l01_random_forest")
