@@ -7,13 +7,10 @@ import random
 from math import erf, pi
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import assembled
+from .models import cross_validated
 
 # The choices of the parameters that are names.
 CHOICES = {"sequence_crop_mode": ("head", "tail", "center", "none"), "window_cap_policy": ("last", "first", "uniform"), "final_window_mode": ("pad", "overlap"), "output_format": ("frame",)}
@@ -58,21 +55,6 @@ def drawn(space: dict[str, list], n: int, seed: int = 42) -> list[dict]:
     return out
 
 
-def cross_validated(df: DataFrame, names: list[str], label: str, fold: str, seed: int = 42):
-    """score(points): the mean f1 of forests at each point of a space that names parameters of the forest; one
-    CrossValidator fits all points of a call, side by side. Rows of one fold number are held out together."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
-    x = assembled(df, names).withColumn(fold, F.col(fold).cast("int"))
-    metric, folds = MulticlassClassificationEvaluator(labelCol=label, metricName="f1"), df.select(fold).distinct().count()
-
-    def score(points: list[dict]) -> list[float]:
-        grid = [{rf.getParam(k): v for k, v in p.items()} for p in points]
-        cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=metric, numFolds=folds, foldCol=fold, seed=seed, parallelism=min(4, max(1, len(points))))
-        return [float(s) for s in cv.fit(x).avgMetrics] if points else []
-
-    return score
-
-
 def _table(df: DataFrame, scored: list[tuple[dict, float, int]]) -> DataFrame:
     rows = [(json.dumps(p, sort_keys=True), s, turn) for p, s, turn in scored]
     return df.sparkSession.createDataFrame(rows, "params string, f1 double, round int").orderBy(F.desc("f1"), "params")
@@ -82,7 +64,8 @@ def random_search(df: DataFrame, names: list[str], label: str, fold: str, space:
     """(params as JSON, f1) of forests at n drawn points, cross-validated by the fold column; best first. `label` is
     numeric; the space names parameters of the forest."""
     points = drawn(space, n, seed)
-    scores = cross_validated(df, names, label, fold, seed)(points)
+    with cross_validated(df, names, label, fold, seed) as score:
+        scores = score(points)
     return _table(df, [(p, s, 0) for p, s in zip(points, scores)]).drop("round")
 
 
@@ -188,9 +171,11 @@ def genetic_points(
 
 def bayesian_search(df: DataFrame, names: list[str], label: str, fold: str, space: dict[str, list], n: int = 16, batch: int = 4, seed: int = 42) -> DataFrame:
     """(params as JSON, f1, round), best first: bayesian_points over cross-validated forests."""
-    return _table(df, bayesian_points(cross_validated(df, names, label, fold, seed), space, n, batch, seed))
+    with cross_validated(df, names, label, fold, seed) as score:
+        return _table(df, bayesian_points(score, space, n, batch, seed))
 
 
 def genetic_search(df: DataFrame, names: list[str], label: str, fold: str, space: dict[str, list], seed: int = 42, **how) -> DataFrame:
     """(params as JSON, f1, round: its generation), best first: genetic_points over cross-validated forests."""
-    return _table(df, genetic_points(cross_validated(df, names, label, fold, seed), space, seed=seed, **how))
+    with cross_validated(df, names, label, fold, seed) as score:
+        return _table(df, genetic_points(score, space, seed=seed, **how))

@@ -31,3 +31,32 @@ def test_features_are_computed_once(spark):
     frame, _ = features(spark, "/root/testdata/sf0.001")
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan and frame.count() > 0
+
+
+def test_equal_rows_count_as_often_as_they_stand(spark):
+    """Models of rows with weights against models of the repeated rows."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(3)
+    some = [(rng.integers(0, 3, 4).astype(float).tolist(), int(rng.integers(0, 3)), 1 + int(rng.integers(0, 40))) for _ in range(25)]
+    both = spark.createDataFrame(some, "_expanded array<double>, y int, n int").select("*", array_to_vector("_expanded").alias("_features"), F.col("y").cast("double").alias("_label"))
+    once = both.withColumn("w", F.col("n").cast("double"))
+    often = both.withColumn("w", F.lit(1.0)).withColumn("_r", F.explode(F.expr("sequence(1, n)")))
+    assert ml.shared_out(once, "w").agg(F.count("*"), F.max("w"), F.sum("w")).first() == (often.count(), 1.0, float(often.count()))
+    for kind, of in (("logistic", lambda m: [m.coefficientMatrix.toArray(), m.interceptVector.toArray()]), ("ridge", lambda m: [m.coefficients.toArray(), m.intercept]), ("svm", lambda m: [v for b in m.models for v in (b.coefficients.toArray(), b.intercept)])):
+        one, many = (ml.linear_models(rows, "w", kind, 0.05, 3) for rows in (ml.shared_out(once, "w") if kind == "svm" else once, often))
+        for a, b in zip(one, many):
+            assert all(np.allclose(x, y, atol=0.02 if kind == "svm" else 1e-4) for x, y in zip(of(a), of(b))), kind
+
+
+def test_a_linear_fit_reads_equal_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(ml, "LEAST_SHARE", 1.0)
+    sizes, real = [], ml.linear_models
+    monkeypatch.setattr(ml, "linear_models", lambda rows, *how: sizes.append(rows.count()) or real(rows, *how))
+    df = spark.range(600).select("id", F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("x"), F.when(F.col("id") % 3 == 1, "a").otherwise("b").alias("y"))
+    for kind in ("logistic", "svm", "ridge"):
+        out = ml.linear(df, "x", "y", kind, 0.001)
+        assert out.columns == ["id", "x", "y", "prediction"] and out.count() == 600
+    assert sizes == [3, 3, 3]
+    assert [r.prediction == r.y for r in ml.linear(df, "x", "y", "logistic", 0.001, lambda d: d.withColumn("_expanded", F.transform("x", lambda v: (v - 1) * (v - 1)))).collect()] == [True] * 600
