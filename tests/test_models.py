@@ -39,8 +39,8 @@ def test_equal_rows_count_as_often_as_they_stand(spark):
     from pyspark.ml.functions import array_to_vector
 
     rng = np.random.default_rng(3)
-    some = [(rng.integers(0, 3, 4).astype(float).tolist(), int(rng.integers(0, 3)), 1 + int(rng.integers(0, 40))) for _ in range(25)]
-    both = spark.createDataFrame(some, "_expanded array<double>, y int, n int").select("*", array_to_vector("_expanded").alias("_features"), F.col("y").cast("double").alias("_label"))
+    some = [(rng.integers(0, 3, 4).astype(float).tolist(), int(rng.integers(0, 3)), 1 + int(rng.integers(0, 40))) for _ in range(12)]
+    both = spark.createDataFrame(some, "_expanded array<double>, y int, n int").select("*", array_to_vector("_expanded").alias("_features"), F.col("y").cast("double").alias("_label")).coalesce(1)
     once = both.withColumn("w", F.col("n").cast("double"))
     often = both.withColumn("w", F.lit(1.0)).withColumn("_r", F.explode(F.expr("sequence(1, n)")))
     assert ml.shared_out(once, "w").agg(F.count("*"), F.max("w"), F.sum("w")).first() == (often.count(), 1.0, float(often.count()))
@@ -54,9 +54,18 @@ def test_a_linear_fit_reads_equal_rows_once(spark, monkeypatch):
     monkeypatch.setattr(ml, "LEAST_SHARE", 1.0)
     sizes, real = [], ml.linear_models
     monkeypatch.setattr(ml, "linear_models", lambda rows, *how: sizes.append(rows.count()) or real(rows, *how))
-    df = spark.range(600).select("id", F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("x"), F.when(F.col("id") % 3 == 1, "a").otherwise("b").alias("y"))
+    df = spark.range(600).coalesce(1).select("id", F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("x"), F.when(F.col("id") % 3 == 1, "a").otherwise("b").alias("y"))
     for kind in ("logistic", "svm", "ridge"):
         out = ml.linear(df, "x", "y", kind, 0.001)
         assert out.columns == ["id", "x", "y", "prediction"] and out.count() == 600
     assert sizes == [3, 3, 3]
     assert [r.prediction == r.y for r in ml.linear(df, "x", "y", "logistic", 0.001, lambda d: d.withColumn("_expanded", F.transform("x", lambda v: (v - 1) * (v - 1)))).collect()] == [True] * 600
+
+
+def test_cross_validation_fits_once_a_fold_and_point(spark, monkeypatch):
+    fits, real = [], ml.RandomForestClassifier.fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, rows, params: fits.append((rows.count(), rows.columns)) or real(self, rows, params))
+    df = spark.range(60).coalesce(1).select("id", (F.col("id") % 2).alias("fold"), (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 5 > 2).cast("double").alias("y"))
+    with ml.cross_validated(df, ["a"], "y", "fold") as score:
+        assert score([{"numTrees": 2, "maxDepth": 3}, {"numTrees": 2, "maxDepth": 0}])[0] > 0.9
+    assert fits == [(30, ["features", "y", "fold"])] * 4
