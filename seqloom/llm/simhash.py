@@ -310,9 +310,14 @@ def _members(docs: DataFrame, shingle: int, similarity: float, seed: int) -> Dat
     prints = cut(texts.mapInArrow(_least_keys(shingle, seed), "doc_id long, code long, node long, keys array<long>"))
     first = cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "code")).alias("first")))
 
-    # lists: the distinct sets that share a key
+    # groups of the SimHash operator; texts are known by their code, those without shingles aren't compared
+    groups = near_duplicates(texts.select(F.col("code").alias("doc_id"), "text"), shingle, seed=seed)
+    groups = groups.select(F.col("doc_id").alias("code"), F.col("component_id").alias("key")).distinct()
+    grouped = prints.where(F.size("keys") > 0).select("code", "node").distinct().join(groups, "code").select("node", "key")
+
+    # lists: the distinct sets that share a key or a group
     list_of = Window.partitionBy("key")
-    postings = prints.select("node", "keys").distinct().select("node", F.explode("keys").alias("key")).distinct()
+    postings = prints.select("node", "keys").distinct().select("node", F.explode("keys").alias("key")).union(grouped).distinct()
     lists = postings.select("key", "node", F.min("node").over(list_of).alias("low"), F.count("*").over(list_of).alias("n"))
     lists = cut(lists.where("n > 1"))
     some = first.join(lists.select("node").distinct(), "node").select("node", "first.doc_id", "first.code")
@@ -347,7 +352,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     """(doc_id, component_id): documents whose sets of word shingles have a Jaccard similarity of `similarity` or more
     link; a component's id is its smallest doc_id.
 
-    Candidates share one of 40 keys, each made of five least hashes. Every text of such a list is compared with the list's
+    Candidates are the groups of near_duplicates(), whose fingerprints link at three or fewer bits, and texts that share
+    one of 40 keys, each made of five least hashes: fingerprints of texts alike by 0.8 mostly differ in more bits. Every text of such a list is compared with the list's
     first by the whole sets; where that leaves a list in several components, all pairs across them are compared. So no
     pair below the bound links, and one at 0.8 isn't met with probability 1.3e-7. Texts with fewer words than a shingle
     count as one. Null texts and texts without words link to one another; repeated rows come back as often as they stand;
