@@ -69,11 +69,40 @@ class Network:
         return np.concatenate([f, b], axis=2)
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """(T, B, languages): the label probabilities at every position."""
-        z = self.states(x, mask) @ self.p["V"] + self.p["c"]
-        z -= z.max(axis=2, keepdims=True)
+        """(T, languages, B): the label probabilities at every position. Both directions go along at once, with texts in
+        the last axis, so that every slice of the gates is one piece of memory."""
+        h, (length, b) = self.h, x.shape
+        sign = np.repeat(np.float32([-1, -2]), (2 * h, h))  # every gate is 1 / (1 + exp(.)), as tanh(v) is 2 / (1 + exp(-2 v)) - 1
+        tables = [np.ascontiguousarray(((self.p[f"W{d}"] + self.p[f"b{d}"]) * sign).T) for d in "fb"]
+        u = np.stack([(self.p[f"U{d}"] * sign).T for d in "fb"])
+        a, g, r, s = (np.zeros((2, k, b), np.float32) for k in (3 * h, 3 * h, h, h))
+        gates, n, at, out = a[:, : 2 * h], a[:, 2 * h :], x.astype(np.intp), np.empty((length, 2, h, b), np.float32)
+        whole = mask.all(axis=1)
+        for t in range(length):
+            for i, place in enumerate((t, length - 1 - t)):
+                np.take(tables[i], at[place], axis=1, out=a[i], mode="clip")
+            np.matmul(u, s, out=g)
+            gates += g[:, : 2 * h]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(gates[:, h:], g[:, 2 * h :], out=r)
+            n += r
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
+            s -= n
+            s *= gates[:, :h]
+            s += n
+            for i, place in enumerate((t, length - 1 - t)):
+                if not whole[place]:
+                    s[i] *= mask[place]
+                out[place, i] = s[i]
+        z = np.ascontiguousarray(self.p["V"].T) @ out.reshape(length, 2 * h, b) + self.p["c"][:, None]
+        z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(axis=2, keepdims=True)
+        z /= z.sum(axis=1, keepdims=True)
         return z
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -179,7 +208,7 @@ def pooled(net: Network, texts: list[bytes], languages: int) -> np.ndarray:
         before = np.array([min(CONTEXT, at) for _, at in some])
         place = np.arange(len(x))[:, None]
         own = (place >= before) & (place < before + np.array([size(p) for p in some]))
-        np.add.at(out, [i for i, _ in some], np.einsum("tbl,tb->bl", net.probabilities(x, mask), own.astype(np.float32)))
+        np.add.at(out, [i for i, _ in some], np.einsum("tlb,tb->bl", net.probabilities(x, mask), own.astype(np.float32)))
     return out / sizes[:, None]
 
 
