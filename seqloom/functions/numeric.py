@@ -285,3 +285,19 @@ def kernel_shares_of(values: np.ndarray, at: np.ndarray, dilations: tuple[int, .
             out[a:b, i * len(KERNELS) : (i + 1) * len(KERNELS)] = (np.add.reduceat(positive, at[a:b] - at[a], axis=1, dtype=np.int64) / n).T
         a = b
     return out
+
+
+def peaks_settled(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The amplitudes m of x's transform, those that all but tie for the highest from sums of cosines and sines in row
+    order. A fast transform leaves to its rounding which of equal amplitudes is the highest one (a single value that isn't
+    0 has equal ones everywhere). The work is the number of ties times that of values that aren't 0, which is about len(x)."""
+    near = np.flatnonzero((m >= m.max() * (1 - 1e-9)) & (m > 0))
+    if len(near) > 1:
+        m, n, some = m.copy(), len(x), [(int(i), float(x[i])) for i in np.flatnonzero(x)]
+        for k in near.tolist():
+            c = s = 0.0
+            for i, v in some:
+                angle = 2 * math.pi * i * k / n
+                c, s = c + v * math.cos(angle), s + v * math.sin(angle)
+            m[k] = math.sqrt(c * c + s * s)
+    return m

@@ -118,7 +118,7 @@ def fft_features(df: DataFrame, signals: list[str], rate: float = 20.0, bands=nm
         x = np.nan_to_num(x)
         m = np.abs(np.fft.fft(x))[: max(1, len(x) // 2)]
         f = np.arange(len(m)) * rate / len(x)
-        m = m if dc_offset is None else np.where(f <= dc_offset, 0.0, m)
+        m = nm.peaks_settled(x, m if dc_offset is None else np.where(f <= dc_offset, 0.0, m))
         return {"peak_frequency": float(f[m.argmax()]), "peak": float(m.max()), "energy": float((m**2).sum())} | {f"band{i}": float((m[(f >= a) & (f < b)] ** 2).sum()) for i, (a, b) in enumerate(bands)}
 
     return _per_sequence(df, signals, make, list(make(np.zeros(4))))
@@ -201,7 +201,7 @@ def signal_summary(df: DataFrame, signals: list[str], rate: float = 20.0, n_band
     def make(x):
         x = x[np.isfinite(x)]
         x = x if len(x) else np.zeros(1)
-        m = np.abs(np.fft.rfft(x))
+        m = nm.peaks_settled(x, np.abs(np.fft.rfft(x)))
         f, width = np.arange(len(m)) * rate / len(x), rate / 2 / n_bands
         out = {"mean": x.mean(), "std": x.std(), "min": x.min(), "max": x.max(), "median": np.median(x), "range": np.ptp(x), "energy": (x * x).sum(), "rms": np.sqrt((x * x).mean())}
         out |= {"fft_peak_frequency": f[m.argmax()], "fft_peak_magnitude": m.max(), "fft_total_energy": (m * m).sum(), "fft_mean": m.mean(), "fft_std": m.std()}

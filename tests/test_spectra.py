@@ -77,3 +77,11 @@ def test_native_transform_agrees_with_numpy(spark):
     got = {r.bin: r.power for r in sp.frame_spectrum(df, "x").collect()}
     want = np.abs(np.fft.rfft(x * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)))) ** 2
     assert all(abs(got[b] - want[b]) < 1e-9 for b in (1, 2, 3, 4))
+
+
+def test_equal_amplitudes_peak_where_the_sums_do(spark):
+    """One value that isn't 0 has the same amplitude everywhere; the fast transform's rounding put the peak at 4 Hz."""
+    lists = {1: [0, 0, 0.07, 0, 0], 2: [0, 0.05, 0, 0, 0, 0], 3: [0, 0.02, 0, 0, 0.09, 0, 0], 4: [0, 0, 0, 0, 0]}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in lists.items() for i, v in enumerate(x)], "sequence_id long, sequence_counter long, acc_x double")
+    got = {r.sequence_id: (r.peak_frequency, round(r.peak, 6)) for r in sp.fft_features(df, ["acc_x"]).collect()}
+    assert got == {1: (0.0, 0.07), 2: (0.0, 0.05), 3: (0.0, 0.11), 4: (0.0, 0.0)}
