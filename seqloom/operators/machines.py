@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,14 @@ def trained(
 ) -> Machine:
     """A machine fitted in `rounds` passes. Rows are dealt to `parts` partitions by the hash of their key; in a round each
     partition learns from its rows in seeded order, starting at the common weights, and the new weights are averaged by
-    numbers of rows. What is averaged is summed in Spark, weight by weight, so the driver sees one set of weights
+    numbers of rows. Only the first dealing moves rows. What is averaged is summed in Spark, weight by weight, so the driver sees one set of weights
     a round. With one part this is the plain loop over all rows.
 
     Features are an array column without gaps; rows without features or label are left out. No rows give no classes."""
     if kind not in ("sgd", "pa"):
         raise ValueError(f"unknown kind {kind!r}")
     rows = df.where(F.col(features).isNotNull() & F.col(label).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(features).cast("array<double>").alias("x"), F.col(label).alias("y"))
-    rows = cut(rows)  # read in every round
+    rows = cut(rows)
     classes = tuple(r[0] for r in rows.select("y").distinct().orderBy("y").collect())
     width = (rows.agg(F.max(F.size("x"))).first()[0] or 0) + 1
     number, weights = {c: i for i, c in enumerate(classes)}, np.zeros((len(classes), width))
@@ -68,12 +69,13 @@ def trained(
         if n:
             yield pd.DataFrame({"i": np.arange(now.size), "w": now.ravel() * n, "n": n})
 
+    dealt = rows.repartition(parts, "k").persist(StorageLevel.DISK_ONLY)  # each round only sorts it anew
     for turn in range(rounds if classes else 0):
         order = F.md5(F.concat_ws(":", "k", F.lit(str(seed)), F.lit(str(turn))))
-        dealt = rows.repartition(parts, "k").sortWithinPartitions(order, "k")
-        sums = dealt.mapInPandas(lambda frames, start=weights: learn(frames, start), "i long, w double, n long")
+        sums = dealt.sortWithinPartitions(order, "k").mapInPandas(lambda frames, start=weights: learn(frames, start), "i long, w double, n long")
         sums = sums.groupBy("i").agg(F.sum("w") / F.sum("n")).collect()
         weights = np.array([v for _, v in sorted(map(tuple, sums))]).reshape(weights.shape)
+    dealt.unpersist()
     return Machine(classes, weights)
 
 

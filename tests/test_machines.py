@@ -63,3 +63,13 @@ def test_radial_machine_bends(spark):
     df = spark.createDataFrame(rows, "k long, x array<double>, y string")
     got = mc.radial_machine(df, "x", "y", 256, penalty=0.001).collect()
     assert sum(r.y == r.prediction for r in got) > 0.9 * len(got) and got[0].asDict().keys() == {"k", "x", "y", "prediction"}
+
+
+def test_rows_are_dealt_once(spark, monkeypatch):
+    """Each round used to shuffle all rows again."""
+    _, df = table(spark)
+    dealt, real = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *how: dealt.append(how) or real(self, *how))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    mc.trained(df, "x", "y", "k", "pa", rounds=3, parts=4)
+    assert dealt == [(4, "k")] and spark.sparkContext._jsc.getPersistentRDDs().size() == held
