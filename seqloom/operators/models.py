@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -15,7 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.shared import cut
+from seqloom.shared import a_file_a_partition, cut, drop_cut
 
 from . import scoring
 
@@ -184,11 +183,13 @@ def grid_search(df: DataFrame, names: list[str], label: str, fold: str, depths=(
 @contextmanager
 def cross_validated(df: DataFrame, names: list[str], label: str, fold: str, seed: int = 42):
     """score(points): the mean f1 of forests at each point of a space that names parameters of the forest. Rows of one
-    fold number are held out together. The table stays persisted within the context; a forest, which keeps a row for each
-    of its own, is fitted after the other, and none is fitted to all folds."""
+    fold number are held out together. A forest keeps a row for each of its own in memory, and on disk what doesn't fit, so
+    one is fitted after the other, none to all folds, and the table isn't kept beside them: it is a written one, read
+    in its small partitions, and deleted at the end."""
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed)
     metric = MulticlassClassificationEvaluator(labelCol=label, metricName="f1")
-    x = spread(assembled(df, names).select("features", label, fold)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut(spread(df.select(*names, label, fold)))
+    x = assembled(rows, names).select("features", label, fold)
     folds = sorted(r[0] for r in x.select(fold).distinct().collect())
 
     def score(points: list[dict]) -> list[float]:
@@ -200,7 +201,8 @@ def cross_validated(df: DataFrame, names: list[str], label: str, fold: str, seed
                 sums[i] += float(metric.evaluate(model.transform(held)))
         return [s / len(folds) for s in sums]
 
-    try:
-        yield score
-    finally:
-        x.unpersist()
+    with a_file_a_partition(df.sparkSession):
+        try:
+            yield score
+        finally:
+            drop_cut(rows)

@@ -69,3 +69,13 @@ def test_cross_validation_fits_once_a_fold_and_point(spark, monkeypatch):
     with ml.cross_validated(df, ["a"], "y", "fold") as score:
         assert score([{"numTrees": 2, "maxDepth": 3}, {"numTrees": 2, "maxDepth": 0}])[0] > 0.9
     assert fits == [(30, ["features", "y", "fold"])] * 4
+
+
+def test_a_search_keeps_its_table_on_disk(spark):
+    """Forests keep rows of their own in memory; the table beside them drove those to disk."""
+    df = spark.range(60).coalesce(1).select((F.col("id") % 2).alias("fold"), F.col("id").cast("double").alias("a"), (F.col("id") > 30).cast("double").alias("y"))
+    held, cost = spark.sparkContext._jsc.getPersistentRDDs().size(), spark.conf.get("spark.sql.files.openCostInBytes")
+    with ml.cross_validated(df, ["a"], "y", "fold") as score:
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+        assert score([{"numTrees": 2, "maxDepth": 2}])[0] > 0.9
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
