@@ -45,6 +45,13 @@ def _spanning(ids: np.ndarray, w: np.ndarray) -> list[tuple]:
     return sorted(out)
 
 
+def _reachability(x: np.ndarray, core: np.ndarray) -> np.ndarray:
+    """The largest of the distance and both core distances, in the array of the distances."""
+    w = nb.distances(x, x)
+    np.maximum(w, core[:, None], out=w)
+    return np.maximum(w, core[None], out=w)
+
+
 def _find(parent: list, i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -61,7 +68,7 @@ def _inside(where: nb.Index, dims: int):
     def work(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id", kind="stable")
         x, core, leaf = nb.matrix(f.x, dims), f.core.to_numpy(float), int(f.leaf.iloc[0])
-        edges = _spanning(f.id.to_numpy(), np.maximum(np.maximum(core[:, None], core[None]), nb.distances(x, x)))
+        edges = _spanning(f.id.to_numpy(), _reachability(x, core))
         out = np.minimum((x - low[leaf]).min(axis=1), (high[leaf] - x).min(axis=1))
         out = (np.maximum(core, out) if leaf in whole else core).tolist()  # nothing outside is nearer
         parent, rows, ids = list(range(len(f))), [], f.id.tolist()
@@ -106,7 +113,7 @@ def _shortest(dims: int):
 
 def _representatives(f: pd.DataFrame) -> pd.DataFrame:
     x, core, out = np.array(f.x.tolist()), f.core.to_numpy(), []
-    w = np.maximum(np.maximum(core[:, None], core[None]), nb.distances(x, x))
+    w = _reachability(x, core)
     np.fill_diagonal(w, np.inf)
     for i, j in enumerate(w.argmin(axis=1)) if len(f) > 1 else ():
         (a, u), (b, v) = sorted([(f.id.iloc[i], f["group"].iloc[i]), (f.id.iloc[j], f["group"].iloc[j])])
@@ -193,6 +200,12 @@ class Clusters:
         self.born = [edges[i][0] if i < len(edges) else np.inf for i in self.ends]
         self.merged = [0.0] * n + [e[0] for e in edges]
 
+    def for_tasks(self) -> Clusters:
+        """What leaving() reads: every Python worker holds a copy, so it has no part of the tree that only chosen() needs."""
+        out = object.__new__(Clusters)
+        out.place, out.order, out.parent, out.ends = self.place, self.order, self.parent, self.ends
+        return out
+
     def leaving(self, basins, edges) -> np.ndarray:
         """The clusters that crumbs join by their edges (w, a, b): of the basin's ancestors the one that is there then."""
         at = np.array([self.place[b] for b in basins], np.int64)
@@ -248,7 +261,8 @@ def hdbscan(df: DataFrame, key: str, names: list[str], min_cluster_size: int = 5
         rest = rest.join(basins.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end)
     merging = [tuple(r) for r in rest.orderBy("w", "a", "b").select("w", "a", "b", "_u", "_v").collect()]  # a row for each peak but one
     peaks = [r[0] for r in basins.select("component").distinct().orderBy("component").collect()]
-    clusters = spark.sparkContext.broadcast(Clusters(peaks, merging))
+    tree_of = Clusters(peaks, merging)
+    clusters = spark.sparkContext.broadcast(tree_of.for_tasks())
 
     def locate(frames):
         for f in frames:
@@ -259,7 +273,7 @@ def hdbscan(df: DataFrame, key: str, names: list[str], min_cluster_size: int = 5
     size = parts.groupBy("crumb").agg(F.count("*").alias("n"))
     level = F.when(F.col("w") == 0, F.lit(float("inf"))).otherwise(1 / F.col("w"))
     sums = joins.join(size, "crumb").groupBy("at").agg(F.sum("n").alias("n"), F.sum(F.col("n") * level).alias("levels"))
-    chosen = clusters.value.chosen({r["at"]: (r["n"], r["levels"]) for r in sums.collect()})  # two rows for each peak
+    chosen = tree_of.chosen({r["at"]: (r["n"], r["levels"]) for r in sums.collect()})  # two rows for each peak
     names_ = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(chosen)], "at long, chosen long"))
     out = parts.join(joins.select("crumb", "at"), "crumb").join(names_, "at").select("id", F.expr("nullif(chosen, -1)").alias("chosen"))
     named = out.where("chosen IS NOT NULL").groupBy("chosen").agg(F.min("id").alias("cluster"))

@@ -95,12 +95,13 @@ def matrix(x: pd.Series, dims: int) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances, dimension by dimension: no more than one array of the result's size is added to another."""
-    out = np.zeros((len(a), len(b)))
+    """Euclidean distances, dimension by dimension: no more than two arrays of the result's size at a time."""
+    out, d = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
     for j in range(a.shape[1]):
-        d = a[:, j, None] - b[None, :, j]
-        out += d * d
-    return np.sqrt(out)
+        np.subtract(a[:, j, None], b[None, :, j], out=d)
+        d *= d
+        out += d
+    return np.sqrt(out, out=out)
 
 
 def points(df: DataFrame, key: str, names: list[str]) -> DataFrame:

@@ -211,3 +211,25 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 33: 30}
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_a_unit_holds_two_matrices():
+    """Every worker of an executor holds a unit; it took four arrays of the unit's distances."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    n = 1024
+    frame = pd.DataFrame({"id": np.arange(n), "x": list(np.random.default_rng(3).normal(size=(n, 2))), "core": 0.01, "leaf": 0})
+    where = SimpleNamespace(tree=SimpleNamespace(low=np.full((1, 2), -np.inf), high=np.full((1, 2), np.inf)), sizes={0: n})
+    work = hierarchy._inside(where, 2)
+    tracemalloc.start()
+    edges = work(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.6 * 8 * n * n and edges.settled.notna().sum() == n - 1
+
+
+def test_tasks_get_no_more_of_the_tree_than_they_read():
+    clusters = hierarchy.Clusters([1, 5, 9], [(1.0, 1, 5, 1, 5), (2.0, 5, 9, 5, 9)])
+    some = ([1, 9, 5], [(0.5, 1, 2), (1.5, 9, 10), (3.0, 5, 6)])
+    assert clusters.for_tasks().leaving(*some).tolist() == clusters.leaving(*some).tolist() and not hasattr(clusters.for_tasks(), "children")
