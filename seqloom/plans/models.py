@@ -327,7 +327,7 @@ def l18_radial(spark, d):
 @query("l18_cascade_forest")
 def l18_cascade(spark, d):
     f, names = folded(spark, d)
-    return cascade.cascade(f, names, "sequence_type", "fold", most_layers=2, trees=5, depth=4)[0].select("sequence_id", "prediction")
+    return cascade.cascade(f, names, "sequence_type", "fold", most_layers=2, trees=5, depth=4, kept=["sequence_id"])[0].select("sequence_id", "prediction")
 
 
 @query("l16_random_search")
