@@ -62,6 +62,20 @@ def test_a_linear_fit_reads_equal_rows_once(spark, monkeypatch):
     assert [r.prediction == r.y for r in ml.linear(df, "x", "y", "logistic", 0.001, lambda d: d.withColumn("_expanded", F.transform("x", lambda v: (v - 1) * (v - 1)))).collect()] == [True] * 600
 
 
+def test_a_linear_fit_keeps_no_features_beside_its_blocks(spark, monkeypatch):
+    """Whole partitions of features were persisted, then once more in blocks: executors ran out of memory."""
+    fits, real = [], ml.LinearSVC.fit
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    monkeypatch.setattr(ml.LinearSVC, "fit", lambda self, rows, *how: fits.append((rows.rdd.getNumPartitions(), "InMemory" in rows._jdf.queryExecution().optimizedPlan().toString(), held())) or real(self, rows, *how))
+    df = spark.range(90).coalesce(1).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), (F.col("id") < 40).cast("string").alias("y"))
+    whole = [r.prediction for r in ml.linear(df, "x", "y", "svm").orderBy("id").collect()]
+    monkeypatch.setattr(ml, "FIT_ROWS", 10)
+    parts = [r.prediction for r in ml.linear(df, "x", "y", "svm").orderBy("id").collect()]
+    wide = lambda d: d.withColumn("_expanded", F.array_repeat(F.col("x")[0], 128))
+    ml.linear(df, "x", "y", "svm", 0.01, wide)
+    assert whole == parts and [n for n, *_ in fits[2:]] == [9, 9, 18, 18] and {f[1:] for f in fits} == {(False, held())}
+
+
 def test_cross_validation_fits_once_a_fold_and_point(spark, monkeypatch):
     fits, real = [], ml.RandomForestClassifier.fit
     monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, rows, params: fits.append((rows.count(), rows.columns)) or real(self, rows, params))
