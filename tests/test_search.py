@@ -62,3 +62,20 @@ def test_coordinates_keep_order_and_kinds_apart():
 def test_genetic_population_of_a_small_space():
     found = search.genetic_points(lambda ps: [float(p["a"]) for p in ps], {"a": [1, 2, 3]}, population=6, generations=5, mutation=0.5)
     assert sorted(p["a"] for p, *_ in found) == [1, 2, 3]
+
+
+def test_the_query_breeds_as_many_generations_as_the_operator(monkeypatch):
+    """Three points and one generation of children were left of the search."""
+    from contextlib import contextmanager
+
+    from seqloom.plans import models
+
+    @contextmanager
+    def scored(*_):
+        yield lambda points: [p["numTrees"] + p["maxDepth"] / 10 for p in points]
+
+    monkeypatch.setattr(models, "folded", lambda spark, d: (None, []))
+    monkeypatch.setattr(search, "cross_validated", scored)
+    monkeypatch.setattr(search, "_table", lambda df, found: found)
+    found = models.l16_genetic(None, "")
+    assert found == search.genetic_points(scored().__enter__(), models.SPACE) and sum(turn == 0 for *_, turn in found) == 8 and max(turn for *_, turn in found) > 1
